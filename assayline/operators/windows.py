@@ -125,14 +125,12 @@ def window_starts(
         ).otherwise(state)
 
     fresh = F.struct(F.col("carry").alias("free"), F.array().cast("array<int>").alias("starts"))
-    return folds.join(fold_entry, [*key, "fold"]).select(
+    opened = folds.join(fold_entry, [*key, "fold"]).select(
         *key,
-        (
-            F.explode(F.aggregate("hits", fresh, open_windows, lambda s: s["starts"]))
-            + F.col("fold") * lines_per
-            + 1
-        ).alias(line_no),
+        "fold",
+        F.explode(F.aggregate("hits", fresh, open_windows, lambda s: s["starts"])).alias("start"),
     )
+    return opened.select(*key, (F.col("fold") * lines_per + F.col("start") + 1).alias(line_no))
 
 
 def window_lines(lines: DataFrame, starts: DataFrame, key: Sequence[str], line_no: str, k: int = CONTEXT_LINES) -> DataFrame:

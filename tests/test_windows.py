@@ -1,0 +1,132 @@
+import random
+
+from pyspark.sql import functions as F
+
+from assayline.operators.attempts import latest_payload, resolve_attempts, reuse_check
+from assayline.operators.windows import NO_ERROR_TEXT, error_blocks, error_line, first_occurrence, window_starts
+
+
+def greedy(hits, k):
+    starts, free = [], 0
+    for hit in sorted(hits):
+        if hit >= free:
+            starts.append(hit)
+            free = hit + k
+    return starts
+
+
+def line_table(spark, files):
+    rows = [(f, n, t) for f, texts in files.items() for n, t in enumerate(texts, 1)]
+    return spark.createDataFrame(rows, "file string, line_no bigint, line string")
+
+
+def starts_of(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.file, []).append(r.line_no)
+    return {f: sorted(v) for f, v in out.items()}
+
+
+def test_windows_swallow_triggers(spark):
+    texts = ["! x" if n in (1, 4, 11, 30) else "ok" for n in range(1, 40)]
+    df = line_table(spark, {"a": texts})
+    assert starts_of(window_starts(df, ["file"], "line_no", error_line("line"))) == {"a": [1, 11, 30]}
+
+
+def test_windows_against_a_plain_scan(spark):
+    rng = random.Random(7)
+    files, want = {}, {}
+    for i in range(40):
+        density = rng.choice([0.02, 0.2, 0.6, 1.0])
+        hits = [n for n in range(1, rng.randint(2, 400)) if rng.random() < density]
+        texts = ["! e" if n in set(hits) else "." for n in range(1, 401)]
+        files[f"f{i}"] = texts
+        if hits:
+            want[f"f{i}"] = hits
+    df = line_table(spark, files).repartition(7)
+    for k, lines, group in [(10, 16, 4), (3, 8, 2), (1, 8, 4), (10, 10, 3), (7, 4096, 1024)]:
+        got = starts_of(
+            window_starts(df, ["file"], "line_no", error_line("line"), k, fold_lines=lines, fold_group=group)
+        )
+        assert got == {f: greedy(h, k) for f, h in want.items()}, (k, lines, group)
+
+
+def test_partition_count_does_not_matter(spark):
+    texts = {"a": ["! e" if n % 7 == 0 else "x" for n in range(300)]}
+    df = line_table(spark, texts)
+    seen = []
+    for parts in (1, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        seen.append(starts_of(window_starts(df.repartition(parts), ["file"], "line_no", error_line("line"))))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1]
+
+
+def test_error_line_forms(spark):
+    yes = ["! Undefined", "Package xcolor Error: x", "latex error: y", "Runaway argument?", "Emergency stop.",
+           "  ==> Fatal error occurred", "PACKAGE p@q ERROR: z"]
+    no = [" ! late", "see LaTeX Error:", "Package Error:", "Runaway argument", "Emergency stop", ""]
+    df = spark.createDataFrame([(t, True) for t in yes] + [(t, False) for t in no], "t string, want boolean")
+    assert df.filter(error_line("t") != F.col("want")).count() == 0
+
+
+def test_error_blocks_dedup_and_placeholder(spark):
+    texts = ["x"] * 45
+    texts[0] = texts[29] = " ! same "[1:]
+    texts[33] = "! swallowed"
+    texts[41] = "! other"
+    df = line_table(spark, {"a": texts, "b": ["fine", "fine"]})
+    rows = {(r.file, r.start_line): r for r in error_blocks(df, ["file"]).collect()}
+    assert set(rows) == {("a", 1), ("a", 42), ("b", None)}
+    assert rows[("a", 1)].block == "\n".join(["! same "] + ["x"] * 9)
+    assert rows[("a", 1)].trigger_text == "! same"
+    assert rows[("a", 42)].block == "\n".join(["! other"] + ["x"] * 3)
+    assert rows[("b", None)].block == NO_ERROR_TEXT
+    kept = error_blocks(df, ["file"], dedup=False, placeholder=False)
+    assert sorted(r.start_line for r in kept.collect()) == [1, 30, 42]
+
+
+def test_first_occurrence(spark):
+    df = spark.createDataFrame(
+        [("a", "k", 3, "late"), ("a", "k", 1, "first"), ("a", "j", 2, "only"), ("b", "k", 9, "b")],
+        "g string, k string, n int, v string",
+    )
+    assert {tuple(r) for r in first_occurrence(df, ["g"], ["k"], ["n"]).collect()} == {
+        ("a", "k", 1, "first"), ("a", "j", 2, "only"), ("b", "k", 9, "b")
+    }
+
+
+CHAINS = {
+    "ok3": [("busy", None), ("truncated", "half"), ("ok", "full")],
+    "auth1": [("auth", None), ("ok", "never")],
+    "dry": [("not_found", "prose"), ("missing", "")],
+    "first": [("ok", "a"), ("ok", "b")],
+    "late": [("busy", None)] * 9 + [("truncated", "t"), ("auth", ""), ("ok", "z")],
+}
+WANT = {
+    "ok3": ("ok", 3, "m3", "full"),
+    "auth1": ("aborted", 1, None, None),
+    "dry": ("exhausted", 2, None, "prose"),
+    "first": ("ok", 1, "m1", "a"),
+    "late": ("aborted", 11, None, "t"),
+}
+
+
+def test_resolve_attempts(spark):
+    rows = [(k, i, f"m{i}", s, p) for k, chain in CHAINS.items() for i, (s, p) in enumerate(chain, 1)]
+    df = spark.createDataFrame(rows, "key string, attempt int, model string, status string, raw string")
+    for per_slice in (None, 3, 1):
+        got = resolve_attempts(
+            df, ["key"], ["attempt"], "status", "raw", "model", fatal=["auth"], rows_per_slice=per_slice
+        )
+        assert {r.key: (r.outcome, r.attempts, r.winner, r.last_payload) for r in got.collect()} == WANT, per_slice
+
+
+def test_latest_payload_then_status(spark):
+    df = spark.createDataFrame(
+        [("a", 1, "ok", "full"), ("a", 2, "truncated", "half"), ("b", 1, "not_found", "x"), ("b", 5, "ok", "y")],
+        "key string, ts int, status string, raw string",
+    )
+    rows = {r.key: r for r in reuse_check(latest_payload(df, ["key"], ["ts"])).collect()}
+    assert (rows["a"].raw, rows["a"].reusable, rows["a"].reuse_error) == ("half", False, "truncated")
+    assert (rows["b"].raw, rows["b"].reusable, rows["b"].reuse_error) == ("y", True, None)
