@@ -36,6 +36,10 @@ def _as_number(name: str, kind: T.DataType) -> Column:
         return F.conv(head, 16, 10).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(col).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        # Counted from its fields: a cast would go through the session's time zone and its gaps.
+        clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.expr(f"extract(SECOND FROM `{name}`)")
+        return F.unix_date(col.cast("date")).cast("double") * 86400 + clock.cast("double")
     return col.cast("double")
 
 
