@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.colour import HEX6_PATTERN, clean_hex, contrast, luminance
-from assayline.operators.scale import spread_join
+from assayline.operators.scale import hot_keys, spread_join
 
 # Patterns of the artifact and the roles behind its colour aliases.
 DEFINITION = r"\\definecolor\{([A-Za-z0-9_]+)\}\{HTML\}\{([0-9A-Fa-f]{3,8})\}"
@@ -244,9 +244,10 @@ def layered_defaults(
     """Add ``column``: the value of the first table in ``layers`` (one row per key) that has one,
     else the value ``base`` itself holds under that name, else ``default``."""
     joined, names = base, []
+    hot = hot_keys(base, on, **sizing)
     for i, layer in enumerate(layers):
         name = f"__layer_{i}"
-        joined = spread_join(joined, layer.select(*on, F.col(column).alias(name)), on, "left", **sizing)
+        joined = spread_join(joined, layer.select(*on, F.col(column).alias(name)), on, "left", hot=hot)
         names.append(name)
     stack = [F.col(n) for n in names] + ([F.col(column)] if column in base.columns else [])
     return joined.withColumn(column, layered(mode, *stack, F.lit(default))).drop(*names)
@@ -267,7 +268,9 @@ def reconcile(
     """
     targets = tgt.select(*on_target).distinct().withColumn("__target", F.lit(True))
     held = inventory.select(*on_inventory).distinct().withColumn("__held", F.lit(True))
-    joined = spread_join(spread_join(src, targets, on_target, **sizing), held, on_inventory, **sizing)
+    hot = [hot_keys(src, on, **sizing) for on in (on_target, on_inventory)]
+    matched = spread_join(src, targets, on_target, hot=hot[0])
+    joined = spread_join(matched, held, on_inventory, hot=hot[1])
     return joined.withColumn(
         "status",
         F.when(F.col("__target").isNull(), "no_target")

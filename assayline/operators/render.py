@@ -39,7 +39,7 @@ def assemble(
         body = F.col("__text")
     items = F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), body.alias("t"))))
     return (
-        lines.withColumn("part", F.floor((F.col("__n") - 1) / size))
+        lines.withColumn("part", F.expr(f"(__n - 1) div {size}"))
         .groupBy(*key, "part")
         .agg(
             F.count(F.lit(1)).alias("items"),

@@ -101,13 +101,15 @@ def running_total(
     order: Sequence[str],
     totals: dict[str, Column],
     rows_per_slice: int | None = None,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per key along ``order`` (which must be unique per key).
 
     On large inputs each (key, slice) is its own window and a carry row brings in the sum of
-    the slices before it, so no task holds more than one slice of a key.
+    the slices before it, so no task holds more than one slice of a key. ``slices`` measured on a
+    cheaper table with the same order column saves computing ``df`` once more to measure it.
     """
-    slices = order_slices(df, order[0], rows_per_slice)
+    slices = slices or order_slices(df, order[0], rows_per_slice)
     valued = df.select("*", *[c.alias(f"__v_{n}") for n, c in totals.items()])
     if not slices.is_cut:
         window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -138,9 +140,10 @@ def numbered(
     order: Sequence[str],
     name: str = "line_no",
     rows_per_slice: int | None = None,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Dense 1-based row numbers per key along a unique ``order``."""
-    return running_total(df, keys, order, {name: F.lit(1).cast("bigint")}, rows_per_slice)
+    return running_total(df, keys, order, {name: F.lit(1).cast("bigint")}, rows_per_slice, slices)
 
 
 def hot_keys(
@@ -172,13 +175,16 @@ def spread_join(
     how: str = "left",
     share: float | None = None,
     min_rows: int | None = None,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Join rows with a table of at most one row per key.
 
     Hot keys of ``big`` number at most ``1 / share`` (1000), so their rows of ``small`` are
     broadcast and ``big`` is not shuffled for them; all other keys take the shuffled join.
+    ``hot`` takes the result of an earlier ``hot_keys`` on the same key columns.
     """
-    hot = hot_keys(big, on, share, min_rows)
+    if hot is None:
+        hot = hot_keys(big, on, share, min_rows)
     if not hot:
         return big.join(small, list(on), how)
     is_hot = F.xxhash64(*on).isin(hot)

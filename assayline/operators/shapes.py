@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.colour import full_hex, is_hex
-from assayline.operators.scale import numbered, spread_join
+from assayline.operators.scale import numbered, order_slices, spread_join
 
 # Grid kinds with the sizes each needs, and the colour rule used when none fits.
 GRID_SIZES = {"circle_grid": ("radius",), "rect_grid": ("width", "height")}
@@ -30,7 +31,8 @@ def first_seen_dictionary(
         .agg(F.min(F.struct(*order)).alias("__first"))
         .select(*group, value, F.col(f"__first.{order[0]}").alias("__lead"), "__first")
     )
-    ids = numbered(seen, group, ["__lead", "__first", value], "__n", rows_per_slice)
+    slices = replace(order_slices(df, order[0], rows_per_slice), column="__lead")
+    ids = numbered(seen, group, ["__lead", "__first", value], "__n", slices=slices)
     return ids.select(*group, value, (F.col("__n") - 1).alias(name))
 
 

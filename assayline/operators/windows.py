@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.text import strip_space
+from assayline.session import ensure_checkpoint_dir
 
 # Line starts that open an error block of a typesetter log, any case, and the
 # block length and placeholder of a log without one.
@@ -48,48 +49,58 @@ def window_starts(
     per_group = FOLD_GROUP if fold_group is None else fold_group
     if k > lines_per:
         raise ValueError("a window must not be longer than a fold")
-    at = F.col(line_no) - 1
     folds = (
         lines.filter(trigger)
         .select(
             *key,
-            F.floor(at / lines_per).alias("fold"),
-            (at % lines_per).cast("int").alias("at"),
+            F.expr(f"(`{line_no}` - 1) div {lines_per}").alias("fold"),
+            ((F.col(line_no) - 1) % lines_per).cast("int").alias("at"),
         )
         .groupBy(*key, "fold")
         .agg(F.array_sort(F.collect_list("at")).alias("hits"))
     )
+    # The few trigger numbers are read several times below; the numbering behind them is not.
+    ensure_checkpoint_dir(lines.sparkSession)
+    folds = folds.checkpoint()
+    last = folds.agg(F.max("fold")).first()[0] or 0
+    carried = _entering_folds(folds, key, k, lines_per, per_group, last) if last else folds.withColumn("carry", F.lit(0))
+
+    def open_windows(state: Column, hit: Column) -> Column:
+        return F.when(
+            hit >= state["free"],
+            F.struct((hit + k).alias("free"), F.array_append(state["starts"], hit).alias("starts")),
+        ).otherwise(state)
+
+    fresh = F.struct(F.col("carry").alias("free"), F.array().cast("array<int>").alias("starts"))
+    opened = carried.select(
+        *key,
+        "fold",
+        F.explode(F.aggregate("hits", fresh, open_windows, lambda s: s["starts"])).alias("start"),
+    )
+    return opened.select(*key, (F.col("fold") * lines_per + F.col("start") + 1).alias(line_no))
 
-    def shift(entry: Column) -> Column:
-        return F.greatest(entry - lines_per, F.lit(0))
 
+def _entering_folds(
+    folds: DataFrame, key: Sequence[str], k: int, lines_per: int, per_group: int, last: int
+) -> DataFrame:
+    """Add ``carry`` to every fold: the lines at its start that an earlier window still covers."""
     every = F.sequence(F.lit(0), F.lit(k - 1))
+
+    # Covered lines on leaving a fold, for each number of covered lines on entering it.
+    def step(free: Column, hit: Column) -> Column:
+        return F.transform(free, lambda f: F.when(hit >= f, hit + k).otherwise(f))
+
     leaving = F.transform(
-        F.aggregate("hits", every, lambda free, hit: F.transform(free, lambda f: F.when(hit >= f, hit + k).otherwise(f))),
-        shift,
+        F.aggregate("hits", every, step), lambda free: F.greatest(free - lines_per, F.lit(0))
     )
-    steps = folds.select(*key, "fold", F.floor(F.col("fold") / per_group).alias("grp"), leaving.alias("next"))
-    grouped = steps.groupBy(*key, "grp").agg(
-        F.array_sort(F.collect_list(F.struct("fold", "next"))).alias("steps")
+    grouped = (
+        folds.select(*key, "fold", F.expr(f"fold div {per_group}").alias("grp"), leaving.alias("next"))
+        .groupBy(*key, "grp")
+        .agg(F.array_sort(F.collect_list(F.struct("fold", "next"))).alias("steps"))
     )
-
-    # A fold without triggers covers nothing, so a gap in the numbers resets to zero.
-    def chain(state: Column, step: Column) -> Column:
-        apart = step["fold"] != state["fold"] + 1
-        onward = F.transform(
-            state["next"], lambda c: F.get(step["next"], F.when(apart, F.lit(0)).otherwise(c))
-        )
-        return F.struct(step["fold"].alias("fold"), onward.alias("next"))
-
     first = F.col("grp") * per_group
-    whole = F.aggregate("steps", F.struct((first - 1).alias("fold"), every.alias("next")), chain)
-    reaches_end = F.col("whole.fold") == first + per_group - 1
-    groups = grouped.select(*key, "grp", whole.alias("whole")).select(
-        *key,
-        "grp",
-        F.when(reaches_end, F.col("whole.next")).otherwise(F.array_repeat(F.lit(0), k)).alias("next"),
-    )
 
+    # A fold without triggers covers nothing, so a gap in the numbers resets to zero.
     def enter(items: str, number: str, carry: Column, name: str) -> Column:
         """Array of (number, covered lines on entry) by walking the items from ``carry``."""
         start = F.struct(
@@ -109,28 +120,50 @@ def window_starts(
 
         return F.aggregate(items, start, walk, lambda state: state["seen"])
 
-    by_key = groups.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("grp", "next"))).alias("groups"))
-    group_entry = by_key.select(*key, F.inline(enter("groups", "grp", F.lit(0), "entry")))
-    # The first fold of a group continues the group before it only when it is the group's first.
-    head = F.element_at("steps", 1)["fold"]
-    carried = F.when(head == first, F.col("entry")).otherwise(F.lit(0))
-    fold_entry = grouped.join(group_entry, [*key, "grp"]).select(
-        *key, F.inline(enter("steps", "fold", carried, "carry"))
+    if last < per_group:
+        entered = grouped.withColumn("entry", F.lit(0))
+    else:
+        groups = grouped.select(*key, "grp", _through_group("steps", first, per_group, every, k).alias("next"))
+        by_key = groups.groupBy(*key).agg(
+            F.array_sort(F.collect_list(F.struct("grp", "next"))).alias("groups")
+        )
+        entry = by_key.select(*key, F.inline(enter("groups", "grp", F.lit(0), "entry")))
+        entered = _join_null_safe(grouped, entry, [*key, "grp"])
+    # Only a group that has its first fold continues the group before it.
+    continues = F.element_at("steps", 1)["fold"] == first
+    fold_entry = entered.select(
+        *key, F.inline(enter("steps", "fold", F.when(continues, F.col("entry")).otherwise(0), "carry"))
     )
+    return _join_null_safe(folds, fold_entry, [*key, "fold"])
 
-    def open_windows(state: Column, hit: Column) -> Column:
-        return F.when(
-            hit >= state["free"],
-            F.struct((hit + k).alias("free"), F.array_append(state["starts"], hit).alias("starts")),
-        ).otherwise(state)
 
-    fresh = F.struct(F.col("carry").alias("free"), F.array().cast("array<int>").alias("starts"))
-    opened = folds.join(fold_entry, [*key, "fold"]).select(
-        *key,
-        "fold",
-        F.explode(F.aggregate("hits", fresh, open_windows, lambda s: s["starts"])).alias("start"),
+def _through_group(steps: str, first: Column, per_group: int, every: Column, k: int) -> Column:
+    """Covered lines on leaving a group of folds, for each number on entering it."""
+
+    def chain(state: Column, item: Column) -> Column:
+        apart = item["fold"] != state["fold"] + 1
+        onward = F.transform(
+            state["next"], lambda c: F.get(item["next"], F.when(apart, F.lit(0)).otherwise(c))
+        )
+        return F.struct(item["fold"].alias("fold"), onward.alias("next"))
+
+    start = F.struct((first - 1).alias("fold"), every.alias("next"))
+    nothing = F.array_repeat(F.lit(0), k)
+    return F.aggregate(
+        steps,
+        start,
+        chain,
+        lambda end: F.when(end["fold"] == first + per_group - 1, end["next"]).otherwise(nothing),
     )
-    return opened.select(*key, (F.col("fold") * lines_per + F.col("start") + 1).alias(line_no))
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which a NULL key meets a NULL key."""
+    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(other, match).drop(*[f"__r_{c}" for c in on])
 
 
 def window_lines(lines: DataFrame, starts: DataFrame, key: Sequence[str], line_no: str, k: int = CONTEXT_LINES) -> DataFrame:
@@ -141,7 +174,7 @@ def window_lines(lines: DataFrame, starts: DataFrame, key: Sequence[str], line_n
         F.col(line_no).alias("start_line"),
         F.explode(F.sequence(F.col(line_no), F.col(line_no) + (k - 1))).alias(line_no),
     )
-    return lines.join(wanted, [*key, line_no])
+    return _join_null_safe(lines, wanted, [*key, line_no])
 
 
 def error_blocks(

@@ -27,8 +27,10 @@ def build_session(master: str | None = None, app: str = "assayline", **conf: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names; fall back to a local one only when none is set."""
+    context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="assayline-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
+    if folder is None:
+        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="assayline-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder

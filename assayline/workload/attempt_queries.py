@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayline.operators import attempts, files, windows
-from assayline.operators.render import error_summary
-from assayline.plans.incidents import incident_counts, incident_windows
+from assayline.plans.incidents import incident_counts, incident_windows, log_reports
 from assayline.workload.registry import query
 from assayline.workload.text_queries import LINE_SQL, document_lines
 
@@ -164,17 +163,13 @@ _LOG_SQL = (
 )
 
 
-def _log_blocks(t):
-    lines = document_lines(t)
-    return windows.error_blocks(lines, ["doc_id"], trigger=F.col("line").rlike("^[TE]"), k=3)
-
-
 @query(
     "log_blocks",
     _LOG_SQL + "SELECT doc_id, start_line, md5(trigger_text) AS trigger_digest, md5(block) AS digest FROM p",
 )
 def log_blocks(t):
-    return _log_blocks(t).select(
+    blocks = windows.error_blocks(document_lines(t), ["doc_id"], trigger=F.col("line").rlike("^[TE]"), k=3)
+    return blocks.select(
         "doc_id", "start_line", F.md5("trigger_text").alias("trigger_digest"), F.md5("block").alias("digest")
     )
 
@@ -189,9 +184,9 @@ def log_blocks(t):
     FROM r GROUP BY doc_id
     """,
 )
-def log_reports(t):
-    placed = _log_blocks(t).withColumn("at", F.coalesce(F.col("start_line"), F.lit(0)))
-    return error_summary(placed, ["doc_id"], ["at"]).select("doc_id", "part", "items", F.md5("text").alias("digest"))
+def log_reports_by_document(t):
+    reports = log_reports(document_lines(t), ["doc_id"], trigger=F.col("line").rlike("^[TE]"), k=3)
+    return reports.select("doc_id", "part", "items", F.md5("text").alias("digest"))
 
 
 # --- catalogue ---------------------------------------------------------------
