@@ -85,7 +85,7 @@ def resolve_attempts(
     on its own and then the few slice results of the key are merged, so a key may be any size.
     """
     wins = [ok] if isinstance(ok, str) else list(ok)
-    slices = order_slices(df, order[0], rows_per_slice)
+    slices = order_slices(df, key, order[0], rows_per_slice)
     part = [*key, "__slice"] if slices.is_cut else list(key)
     rows = df.select(
         *key,

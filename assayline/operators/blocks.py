@@ -33,7 +33,8 @@ PLACEMENT = (
 )
 COLOUR_DEFINITION = r"\\definecolor\{[^}]+\}\{HTML\}\{[0-9A-Fa-f]+\}"
 ARC = r"arc\s*\([^)]*\)"
-LONG_NUMBER = r"(?<![a-zA-Z{])(\d{3,}\.?\d*)"
+# The guard follows the first digit it guards, so the scan stops at digits only.
+LONG_NUMBER = r"(\d(?<![a-zA-Z{]\d)\d{2,}\.?\d*)"
 NUMBER_LIMIT = 150.0
 
 # (name, group, type) of the placement fields.
@@ -107,6 +108,11 @@ def suspect_numbers(
     )
 
 
+def listed(prefix: str, items: Column) -> Column:
+    """The prefix and the items, or NULL when there are none; ``items`` is evaluated once."""
+    return F.concat(F.lit(prefix), F.nullif(F.array_join(items, ", "), F.lit("")))
+
+
 def cover_rules(col: str) -> dict[str, Column]:
     """Rules of the cover block: each gives a message, or NULL when the block passes."""
     block = F.col(col)
@@ -129,23 +135,15 @@ def cover_rules(col: str) -> dict[str, Column]:
             F.contains(block, F.lit(PLACEMENT_MARK)) & undeclared,
             F.format_string("placement role %s is not declared; declared: %s", role, F.array_join(declared, ", ")),
         ),
-        "macros": F.when(
-            F.size(missing) > 0, F.concat(F.lit("missing macros: "), F.array_join(missing, ", "))
-        ),
-        "range": F.when(
-            F.size(suspects) > 0,
-            F.concat(F.lit("numbers out of range: "), F.array_join(F.slice(suspects, 1, 5), ", ")),
-        ),
+        "macros": listed("missing macros: ", missing),
+        "range": listed("numbers out of range: ", F.slice(suspects, 1, 5)),
     }
 
 
 def validate_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Add ``warnings``, an array of (rule, message), empty for a clean row."""
-    checks = [
-        F.when(message.isNotNull(), F.struct(F.lit(name).alias("rule"), message.alias("message")))
-        for name, message in rules.items()
-    ]
-    return df.withColumn("warnings", F.array_compact(F.array(*checks)))
+    checks = [F.struct(F.lit(name).alias("rule"), message.alias("message")) for name, message in rules.items()]
+    return df.withColumn("warnings", F.filter(F.array(*checks), lambda c: c["message"].isNotNull()))
 
 
 def rule_report(df: DataFrame) -> DataFrame:

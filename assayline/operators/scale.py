@@ -1,12 +1,13 @@
 """Helpers that keep one hot key from landing in one task.
 
-``order_slices``  cuts an ordered column into slices of about equal row counts,
-``running_total`` sums along an order per key, slice by slice,
-``hot_keys``      names keys that hold a large share of the rows, and
-``spread_join``   joins those keys without shuffling them.
-
-The first and third run one small aggregate job to size the data, the way a range
-partitioning does; below their thresholds the plain one-shuffle plan is used.
+``hot_keys``      names the keys that hold a large share of the rows,
+``order_slices``  cuts the rows of those keys into slices along an ordered column,
+``running_total`` sums along an order per key, slice by slice for hot keys, and
+``spread_join``   joins hot keys without shuffling them.
+
+Sizing a table takes one count and, on large tables, one sampled aggregate, much as a range
+partitioning does. It steers the plan only: results are the same for any list of hot keys and
+any slice bounds. Tables below the thresholds get the plain one-shuffle plan.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_SLICE = 1_000_000
+# A key is hot above both limits, so at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 1 / 4000
+HOT_MIN_ROWS = 4_000_000
+SAMPLE_ROWS = 4_000_000
+SAMPLE_SEED = 17
+
 QUANTILES = 128
 STEPS_PER_QUANTILE = 64
 
-HOT_SHARE = 1 / 1000
-HOT_MIN_ROWS = 1_000_000
-SKETCH_SIZE = 10_000
-
 
 def _as_number(name: str, kind: T.DataType) -> Column:
     """A double that never decreases as the column grows."""
@@ -43,12 +45,39 @@ def _as_number(name: str, kind: T.DataType) -> Column:
     return col.cast("double")
 
 
+def key_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*keys)
+
+
+def _sampled(df: DataFrame, rows: int) -> tuple[DataFrame, float]:
+    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
+    return (df if share == 1.0 else df.sample(share, seed=SAMPLE_SEED)), share
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], min_rows: int | None = None, share: float | None = None
+) -> list[int]:
+    """Hashes of the keys with more than ``min_rows`` rows and more than ``share`` of all rows:
+    at most ``1 / share`` of them. Counted on a sample when the table is large."""
+    least = HOT_MIN_ROWS if min_rows is None else min_rows
+    part = HOT_SHARE if share is None else share
+    rows = df.count()
+    if rows <= least:
+        return []
+    sample, rate = _sampled(df.select(key_hash(keys).alias("h")), rows)
+    found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(least, rows * part) * rate)
+    return sorted(r["h"] for r in found.collect())
+
+
 @dataclass(frozen=True)
 class Slices:
-    """Slice number of a row: a quantile interval and an equal-width step inside it."""
+    """Slice number of a row: 0 for other keys; for hot keys the quantile interval of the order
+    column and an equal-width step inside it."""
 
+    keys: tuple[str, ...]
     column: str
     kind: T.DataType
+    hot: tuple[int, ...] = field(default=())
     bounds: tuple[float, ...] = field(default=())
     steps: int = 1
 
@@ -56,18 +85,19 @@ class Slices:
     def is_cut(self) -> bool:
         return len(self.bounds) > 1
 
+    def is_hot(self) -> Column:
+        return key_hash(self.keys).isin(list(self.hot))
+
     def number(self) -> Column:
         if not self.is_cut:
             return F.lit(0)
         value = F.coalesce(_as_number(self.column, self.kind), F.lit(self.bounds[0]))
         tree = self._search(value, 0, len(self.bounds) - 2)
-        return tree.cast("int")
+        return F.when(self.is_hot(), tree).otherwise(0).cast("int")
 
     def _search(self, value: Column, low: int, high: int) -> Column:
         if low == high:
             left, right = self.bounds[low], self.bounds[low + 1]
-            if right <= left:
-                return F.lit(low * self.steps)
             step = F.floor((value - left) / (right - left) * self.steps)
             return low * self.steps + F.greatest(F.lit(0), F.least(F.lit(self.steps - 1), step))
         mid = (low + high) // 2
@@ -76,23 +106,31 @@ class Slices:
         )
 
 
-def order_slices(df: DataFrame, column: str, rows_per_slice: int | None = None) -> Slices:
-    """Measure ``column`` and plan slices: no slice exceeds about 1/128 of all rows, whatever
-    the key skew, since bounds are quantiles over all keys together."""
-    per_slice = ROWS_PER_SLICE if rows_per_slice is None else rows_per_slice
+def order_slices(
+    df: DataFrame, keys: Sequence[str], column: str, rows_per_slice: int | None = None
+) -> Slices:
+    """Plan slices for the keys of ``df`` that hold more than ``rows_per_slice`` rows.
+
+    Bounds are quantiles of ``column`` over all hot rows, so no slice of a key holds more than
+    about 1/128 of them, and far less where values spread evenly between two quantiles.
+    """
+    per_slice = HOT_MIN_ROWS if rows_per_slice is None else rows_per_slice
     kind = df.schema[column].dataType
+    plain = Slices(tuple(keys), column, kind)
+    hot = hot_keys(df, keys, per_slice)
+    if not hot:
+        return plain
+    rows = df.filter(key_hash(keys).isin(hot)).select(_as_number(column, kind).alias("x"))
+    total = rows.count()
     points = [i / QUANTILES for i in range(QUANTILES + 1)]
-    measured = df.select(_as_number(column, kind).alias("x")).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("x", points, F.lit(10_000)).alias("q")
-    ).first()
-    rows, quantiles = measured["n"], measured["q"]
-    if rows <= per_slice or not quantiles:
-        return Slices(column, kind)
-    wanted = -(-rows // per_slice)
+    quantiles = _sampled(rows, total)[0].agg(F.percentile_approx("x", points, F.lit(10_000)).alias("q")).first()["q"]
+    if not quantiles:
+        return plain
+    wanted = -(-total // per_slice)
     every = max(1, QUANTILES // min(wanted, QUANTILES))
     bounds = sorted({*quantiles[::every], quantiles[-1]})
     steps = min(STEPS_PER_QUANTILE, -(-wanted // QUANTILES))
-    return Slices(column, kind, tuple(bounds), steps)
+    return Slices(tuple(keys), column, kind, tuple(hot), tuple(bounds), steps)
 
 
 def running_total(
@@ -105,11 +143,11 @@ def running_total(
 ) -> DataFrame:
     """Add inclusive running sums per key along ``order`` (which must be unique per key).
 
-    On large inputs each (key, slice) is its own window and a carry row brings in the sum of
-    the slices before it, so no task holds more than one slice of a key. ``slices`` measured on a
-    cheaper table with the same order column saves computing ``df`` once more to measure it.
+    For a hot key each slice is its own window, and a carry row brings in the sum of the slices
+    before it, so no task holds more than one slice of a key. ``slices`` measured on a cheaper
+    table with the same columns saves computing ``df`` once more to measure it.
     """
-    slices = slices or order_slices(df, order[0], rows_per_slice)
+    slices = slices or order_slices(df, keys, order[0], rows_per_slice)
     valued = df.select("*", *[c.alias(f"__v_{n}") for n, c in totals.items()])
     if not slices.is_cut:
         window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -118,7 +156,8 @@ def running_total(
     sliced = valued.withColumn("__slice", slices.number())
     before = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     carry = (
-        sliced.groupBy(*keys, "__slice")
+        sliced.filter(slices.is_hot())
+        .groupBy(*keys, "__slice")
         .agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in totals])
         .select(*keys, "__slice", *[F.sum(f"__s_{n}").over(before).alias(f"__v_{n}") for n in totals])
     )
@@ -128,9 +167,7 @@ def running_total(
     window = (
         W.partitionBy(*keys, "__slice").orderBy("__row", *order).rowsBetween(W.unboundedPreceding, 0)
     )
-    summed = both.select(
-        "*", *[F.sum(f"__v_{n}").over(window).alias(n) for n in totals]
-    )
+    summed = both.select("*", *[F.sum(f"__v_{n}").over(window).alias(n) for n in totals])
     return summed.filter("__row = 1").select(*df.columns, *totals)
 
 
@@ -146,47 +183,25 @@ def numbered(
     return running_total(df, keys, order, {name: F.lit(1).cast("bigint")}, rows_per_slice, slices)
 
 
-def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    share: float | None = None,
-    min_rows: int | None = None,
-) -> list[int]:
-    """Hashes of keys that hold more than ``share`` of the rows: at most ``1 / share`` of them.
-
-    A mergeable heavy-hitter sketch over the key hash: one pass over the key columns, no shuffle
-    of rows. The choice only steers the plan, so an error of the sketch cannot change results.
-    """
-    share = HOT_SHARE if share is None else share
-    min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
-    most = int(1 / share)
-    sized = df.select(F.xxhash64(*keys).alias("h")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"approx_top_k(h, {min(most, SKETCH_SIZE)}, {SKETCH_SIZE})").alias("top"),
-    ).first()
-    floor = max(min_rows, sized["n"] * share)
-    return [item["item"] for item in sized["top"] or [] if item["count"] > floor]
-
-
 def spread_join(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    share: float | None = None,
     min_rows: int | None = None,
+    share: float | None = None,
     hot: list[int] | None = None,
 ) -> DataFrame:
     """Join rows with a table of at most one row per key.
 
-    Hot keys of ``big`` number at most ``1 / share`` (1000), so their rows of ``small`` are
-    broadcast and ``big`` is not shuffled for them; all other keys take the shuffled join.
-    ``hot`` takes the result of an earlier ``hot_keys`` on the same key columns.
+    Hot keys of ``big`` number at most ``1 / share``, so their rows of ``small`` are broadcast
+    and ``big`` is not shuffled for them; all other keys take the shuffled join. ``hot`` takes
+    the result of an earlier ``hot_keys`` on the same key columns.
     """
     if hot is None:
-        hot = hot_keys(big, on, share, min_rows)
+        hot = hot_keys(big, on, min_rows, share)
     if not hot:
         return big.join(small, list(on), how)
-    is_hot = F.xxhash64(*on).isin(hot)
+    is_hot = key_hash(on).isin(hot)
     spread = big.filter(is_hot).join(F.broadcast(small.filter(is_hot)), list(on), how)
     return spread.unionByName(big.filter(~is_hot).join(small.filter(~is_hot), list(on), how))

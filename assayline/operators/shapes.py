@@ -29,10 +29,10 @@ def first_seen_dictionary(
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.min(F.struct(*order)).alias("__first"))
-        .select(*group, value, F.col(f"__first.{order[0]}").alias("__lead"), "__first")
+        .select(*group, value, *[F.col(f"__first.{c}").alias(f"__o_{c}") for c in order])
     )
-    slices = replace(order_slices(df, order[0], rows_per_slice), column="__lead")
-    ids = numbered(seen, group, ["__lead", "__first", value], "__n", slices=slices)
+    slices = replace(order_slices(df, group, order[0], rows_per_slice), column=f"__o_{order[0]}")
+    ids = numbered(seen, group, [*[f"__o_{c}" for c in order], value], "__n", slices=slices)
     return ids.select(*group, value, (F.col("__n") - 1).alias(name))
 
 

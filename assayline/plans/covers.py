@@ -23,7 +23,7 @@ from assayline.operators.reference import (
     first_in_reference,
     load_reference,
 )
-from assayline.operators.scale import spread_join
+from assayline.operators.scale import hot_keys, spread_join
 from assayline.operators.shapes import height_scale
 from assayline.operators.tone import TINTS, classify_tone, preferred
 from assayline.sources.writers import compose
@@ -129,4 +129,5 @@ def conform_requests(requests: DataFrame, brands: DataFrame, comment: str = "Aut
 
 def conform_responses(responses: DataFrame, brands: DataFrame, comment: str = "Auto-generated", **slicing) -> DataFrame:
     """The whole job: (request_id, brand, attempt, model, raw, error) to one row per request."""
-    return conform_requests(resolved_requests(responses, **slicing), brands, comment)
+    hot = hot_keys(responses, ["brand"])
+    return conform_requests(resolved_requests(responses, **slicing), brands, comment, hot=hot)

@@ -143,10 +143,8 @@ def page_rules():
         "end": F.when(~F.contains(html, F.lit("</article>")), F.lit("no article end")),
         "annotation": F.when(~F.contains(html, F.lit("<!-- ad ")), F.lit("no annotation")),
         "annotation_role": F.when(~F.array_contains(declared, role), F.concat(F.lit("role "), role)),
-        "parts": F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))),
-        "range": F.when(
-            F.size(suspects) > 0, F.concat(F.lit("numbers "), F.array_join(F.slice(suspects, 1, 5), ", "))
-        ),
+        "parts": blocks.listed("missing ", missing),
+        "range": blocks.listed("numbers ", F.slice(suspects, 1, 5)),
     }
 
 

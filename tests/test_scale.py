@@ -23,8 +23,8 @@ def skewed(spark, rows=3000):
 def test_numbering_in_slices_equals_one_window(spark):
     df = skewed(spark)
     plain = numbered(df, ["k"], ["ts", "id"])
-    assert not order_slices(df, "ts").is_cut
-    assert order_slices(df, "ts", 50).is_cut
+    assert not order_slices(df, ["k"], "ts").is_cut
+    assert order_slices(df, ["k"], "ts", 50).is_cut
     for per_slice in (50, 7, 1500):
         cut = numbered(df, ["k"], ["ts", "id"], rows_per_slice=per_slice)
         assert cut.count() == df.count()
@@ -44,15 +44,17 @@ def test_numbering_by_text_date_and_null_order(spark):
 
 def test_no_slice_of_a_hot_key_is_large(spark):
     df = skewed(spark)
-    slices = order_slices(df, "id", 10)
+    slices = order_slices(df, ["k"], "id", 10)
     largest = df.groupBy("k", slices.number().alias("s")).count().agg(F.max("count")).first()[0]
     assert largest < 40
 
 
 def test_slices_never_decrease(spark):
     df = skewed(spark)
-    slices = order_slices(df, "ts", 20)
-    rows = df.select("ts", slices.number().alias("s")).orderBy("ts").collect()
+    slices = order_slices(df, ["k"], "ts", 20)
+    assert slices.is_cut
+    rows = df.filter("k = 'hot'").select("ts", slices.number().alias("s")).orderBy("ts").collect()
+    assert rows[-1].s > 10
     assert all(a.s <= b.s for a, b in zip(rows, rows[1:]))
 
 
