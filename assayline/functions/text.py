@@ -30,7 +30,7 @@ def strip_fences(col: Column, languages: tuple[str, ...] = ("latex", "tex")) ->
     """Remove code fences wherever they stand, with the language tag and space after an opener."""
     tags = "|".join(languages)
     opened = F.regexp_replace(col, rf"(?U)```(?:{tags})?{_SPACE}*", "")
-    return F.replace(opened, F.lit("```"), F.lit(""))
+    return F.when(F.contains(col, F.lit("```")), F.replace(opened, F.lit("```"), F.lit(""))).otherwise(col)
 
 
 def unwrap_fence(col: Column, language: str = "json") -> Column:

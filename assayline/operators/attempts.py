@@ -87,9 +87,8 @@ def resolve_attempts(
     wins = [ok] if isinstance(ok, str) else list(ok)
     slices = order_slices(df, key, order[0], rows_per_slice)
     part = [*key, "__slice"] if slices.is_cut else list(key)
-    rows = df.select(
-        *key,
-        *([slices.number().alias("__slice")] if slices.is_cut else []),
+    rows = (slices.add(df, "__slice") if slices.is_cut else df).select(
+        *part,
         F.struct(*order).alias("__order"),
         F.coalesce(F.col(status_col).isin(wins), F.lit(False)).alias("__ok"),
         F.coalesce(F.col(status_col).isin(list(fatal)), F.lit(False)).alias("__fatal"),

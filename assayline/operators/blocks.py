@@ -51,29 +51,30 @@ def extract_balanced(
     """
     text = strip_fences(F.col(col), fences) if fences else F.col(col)
     found = df.withColumn("__text", text).withColumn("__at", F.instr("__text", F.lit(marker)))
-    opened = found.withColumn(
-        "__rest", F.expr(f"substring(__text, __at + {len(marker)})")
-    ).withColumn("__body", F.regexp_replace("__rest", r"\A[ \t\n\r%]+", ""))
-    usable = (F.col("__at") > 0) & F.startswith("__body", F.lit("{"))
+    rest = F.expr(f"substring(__text, __at + {len(marker)})")
+    opened = found.withColumn("__body", F.when(F.col("__at") > 0, F.ltrim(rest, F.lit(" \t\n\r%"))))
 
     def step(state: Column, token: Column) -> Column:
-        last = F.right(token, F.lit(1))
-        depth = state["depth"] + F.when(last == "{", 1).when(last == "}", -1).otherwise(0)
+        closes = F.endswith(token, F.lit("}"))
+        depth = state["depth"] + F.when(closes, -1).when(F.endswith(token, F.lit("{")), 1).otherwise(0)
         moved = F.struct(
             depth.alias("depth"),
             (state["used"] + F.length(token)).alias("used"),
-            ((depth == 0) & (last == "}")).alias("closed"),
+            (closes & (depth == 0)).alias("closed"),
         )
         return F.when(state["closed"], state).otherwise(moved)
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("used"), F.lit(False).alias("closed"))
+    tokens = F.split("__body", r"(?<=[{}])", -1)
     walked = opened.withColumn(
-        "__walk", F.when(usable, F.aggregate(F.split("__body", r"(?<=[{}])", -1), start, step))
+        "__walk", F.when(F.startswith("__body", F.lit("{")), F.aggregate(tokens, start, step))
     )
-    size = len(marker) + F.length("__rest") - F.length("__body") + F.col("__walk.used")
+    skipped = F.length("__text") - F.col("__at") + 1 - F.length("__body")
     return walked.select(
         *df.columns,
-        F.when(F.col("__walk.closed"), F.substring(F.col("__text"), F.col("__at"), size)).alias("block"),
+        F.when(
+            F.col("__walk.closed"), F.substring(F.col("__text"), F.col("__at"), skipped + F.col("__walk.used"))
+        ).alias("block"),
         F.when(F.col("__walk").isNull(), "not_found")
         .when(F.col("__walk.closed"), "ok")
         .otherwise("truncated")

@@ -49,6 +49,11 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
+def _among(keys: Sequence[str], hashes: Sequence[int]) -> Column:
+    names = ", ".join(f"`{k}`" for k in keys)
+    return F.expr(f"xxhash64({names}) IN ({', '.join(map(str, hashes))})")
+
+
 def _sampled(df: DataFrame, rows: int) -> tuple[DataFrame, float]:
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
     return (df if share == 1.0 else df.sample(share, seed=SAMPLE_SEED)), share
@@ -66,7 +71,8 @@ def hot_keys(
         return []
     sample, rate = _sampled(df.select(key_hash(keys).alias("h")), rows)
     found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(least, rows * part) * rate)
-    return sorted(r["h"] for r in found.collect())
+    # The least BIGINT has no literal; leaving that one key out only changes the plan.
+    return sorted(r["h"] for r in found.collect() if r["h"] != -(2**63))
 
 
 @dataclass(frozen=True)
@@ -86,23 +92,32 @@ class Slices:
         return len(self.bounds) > 1
 
     def is_hot(self) -> Column:
-        return key_hash(self.keys).isin(list(self.hot))
+        return _among(self.keys, self.hot)
 
-    def number(self) -> Column:
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """Add the slice number as ``name``; it never decreases along the order column of a key."""
         if not self.is_cut:
-            return F.lit(0)
+            return df.withColumn(name, F.lit(0))
         value = F.coalesce(_as_number(self.column, self.kind), F.lit(self.bounds[0]))
-        tree = self._search(value, 0, len(self.bounds) - 2)
-        return F.when(self.is_hot(), tree).otherwise(0).cast("int")
+        left = ",".join(f"{b!r}D" for b in self.bounds[:-1])
+        width = ",".join(f"{b - a!r}D" for a, b in zip(self.bounds, self.bounds[1:]))
+        step = f"floor((__x - get(array({left}), __q)) / get(array({width}), __q) * {self.steps})"
+        number = f"__q * {self.steps} + greatest(0, least({self.steps - 1}, {step}))"
+        # One column per step, so that each is evaluated once per row.
+        return (
+            df.withColumn("__x", F.when(self.is_hot(), value))
+            .withColumn("__q", F.expr(self._search(0, len(self.bounds) - 2)))
+            .withColumn(name, F.when(F.col("__x").isNull(), 0).otherwise(F.expr(number)).cast("int"))
+            .drop("__x", "__q")
+        )
 
-    def _search(self, value: Column, low: int, high: int) -> Column:
+    def _search(self, low: int, high: int) -> str:
         if low == high:
-            left, right = self.bounds[low], self.bounds[low + 1]
-            step = F.floor((value - left) / (right - left) * self.steps)
-            return low * self.steps + F.greatest(F.lit(0), F.least(F.lit(self.steps - 1), step))
+            return str(low)
         mid = (low + high) // 2
-        return F.when(value < self.bounds[mid + 1], self._search(value, low, mid)).otherwise(
-            self._search(value, mid + 1, high)
+        return (
+            f"CASE WHEN __x < {self.bounds[mid + 1]!r}D THEN {self._search(low, mid)}"
+            f" ELSE {self._search(mid + 1, high)} END"
         )
 
 
@@ -120,7 +135,7 @@ def order_slices(
     hot = hot_keys(df, keys, per_slice)
     if not hot:
         return plain
-    rows = df.filter(key_hash(keys).isin(hot)).select(_as_number(column, kind).alias("x"))
+    rows = df.filter(_among(keys, hot)).select(_as_number(column, kind).alias("x"))
     total = rows.count()
     points = [i / QUANTILES for i in range(QUANTILES + 1)]
     quantiles = _sampled(rows, total)[0].agg(F.percentile_approx("x", points, F.lit(10_000)).alias("q")).first()["q"]
@@ -153,7 +168,7 @@ def running_total(
         window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return valued.select(*df.columns, *[F.sum(f"__v_{n}").over(window).alias(n) for n in totals])
 
-    sliced = valued.withColumn("__slice", slices.number())
+    sliced = slices.add(valued, "__slice")
     before = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     carry = (
         sliced.filter(slices.is_hot())
@@ -202,6 +217,6 @@ def spread_join(
         hot = hot_keys(big, on, min_rows, share)
     if not hot:
         return big.join(small, list(on), how)
-    is_hot = key_hash(on).isin(hot)
+    is_hot = _among(on, hot)
     spread = big.filter(is_hot).join(F.broadcast(small.filter(is_hot)), list(on), how)
     return spread.unionByName(big.filter(~is_hot).join(small.filter(~is_hot), list(on), how))
