@@ -39,8 +39,12 @@ def type_files(
     )
 
 
-def filter_catalogue(df: DataFrame, json_col: str = "json", ordered: bool = True) -> DataFrame:
-    """Entries of catalogue documents that cost exactly "0" and take images, sorted by id."""
+def filter_catalogue(df: DataFrame, json_col: str = "json") -> DataFrame:
+    """Entries of catalogue documents that cost exactly "0" and take images, sorted by id.
+
+    Equal entries are listed once with their number of ``copies``: they are counted before the
+    sort, since a range sort cannot split rows that compare equal.
+    """
     entry = F.explode(F.from_json(json_col, CATALOGUE)["data"]).alias("m")
     models = df.select(entry)
     price = [F.coalesce(F.col(f"m.pricing.{side}"), F.lit("1")) for side in ("prompt", "completion")]
@@ -57,4 +61,5 @@ def filter_catalogue(df: DataFrame, json_col: str = "json", ordered: bool = True
         F.coalesce("m.context_length", F.lit("?")).alias("ctx"),
         F.coalesce("m.top_provider.max_completion_tokens", F.lit("?")).alias("max_out"),
     )
-    return kept.orderBy("id") if ordered else kept
+    fields = kept.columns
+    return kept.groupBy(*fields).agg(F.count(F.lit(1)).alias("copies")).orderBy(*fields)

@@ -205,7 +205,7 @@ def _catalogue_documents(t):
     name = F.when(k % 2 == 0, F.concat(F.lit('"name":"N'), k.cast("string"), F.lit('",'))).otherwise("")
     return t.events.select(
         F.concat(
-            F.lit('{"data":[{"id":"m'), F.col("event_id"), F.lit('",'), name, F.lit('"pricing":{"prompt":"0","completion":'), price,
+            F.lit('{"data":[{"id":"m'), F.col("user_id"), F.lit('",'), name, F.lit('"pricing":{"prompt":"0","completion":'), price,
             F.lit('},"architecture":{'), look, F.lit('},"context_length":'), k.cast("string"),
             F.lit('},{"id":"x'), F.col("event_id"), F.lit('","pricing":{"prompt":"0"},"architecture":{"modality":"image"}}]}'),
         ).alias("json")
@@ -215,10 +215,10 @@ def _catalogue_documents(t):
 @query(
     "catalogue",
     """
-    SELECT 'm' || event_id AS id, CASE WHEN k % 2 = 0 THEN 'N' || k ELSE 'm' || event_id END AS name,
-           k::VARCHAR AS ctx, '?' AS max_out
-    FROM (SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events)
-    WHERE k % 3 IN (0, 2) AND k % 4 IN (0, 1)
+    SELECT 'm' || user_id AS id, CASE WHEN k % 2 = 0 THEN 'N' || k ELSE 'm' || user_id END AS name,
+           k::VARCHAR AS ctx, '?' AS max_out, count(*) AS copies
+    FROM (SELECT user_id, json_extract_string(props, '$.k')::INT AS k FROM events)
+    WHERE k % 3 IN (0, 2) AND k % 4 IN (0, 1) GROUP BY ALL
     """,
 )
 def catalogue(t):

@@ -13,32 +13,32 @@ BLOCK = (
     "\\begin{tikzpicture}\n\\fill[light] (-1,-1) rectangle (22,31);\n"
     "% LOGO_PLACEMENT x=2.0 y=27.2 height=1.2 bg=light\n" + MACROS + "\n\\end{tikzpicture}%\n}"
 )
-KOSEN = """{"company": "Kosen Energy", "series": "Kosen Books", "colors": {
+ACME = """{"company": "Acme Works", "series": "Acme Books", "colors": {
   "bg_primary": "#4038FF", "accent_2": "#3B3CD0", "light": "#FFFFFF", "muted": "#757576"},
   "logos": {"dark": "d", "light": "l", "alt": "a"}, "logo_height_cm": 1.5, "logo_position": [1.5, 27.0]}"""
 
 
 def test_brands_and_covers(spark, tmp_path):
-    for name, text in {"kosen": KOSEN, "broken": '{"colors": {"light": "#12"}}', "torn": '{"colors": '}.items():
+    for name, text in {"acme": ACME, "broken": '{"colors": {"light": "#12"}}', "torn": '{"colors": '}.items():
         (tmp_path / "brands" / name).mkdir(parents=True)
         (tmp_path / "brands" / name / "brand.json").write_text(text, encoding="utf-8")
     brands = read_brands(spark, str(tmp_path / "brands"))
-    assert {r.brand for r in brands.collect()} == {"kosen", "broken", "torn"}
+    assert {r.brand for r in brands.collect()} == {"acme", "broken", "torn"}
     assert [r.brand for r in brands.filter("_corrupt_record IS NOT NULL").collect()] == ["torn"]
 
     rows = [
-        ("r1", "kosen", 1, "m1", None, "503 UNAVAILABLE"),
-        ("r1", "kosen", 2, "m2", BLOCK[:-1], None),
-        ("r1", "kosen", 3, "m3", "```latex\n" + BLOCK + "\n```", None),
-        ("r1", "kosen", 4, "m4", "unused", None),
-        ("r2", "kosen", 1, "m1", None, "401 bad key"),
-        ("r2", "kosen", 2, "m2", BLOCK, None),
-        ("r3", "kosen", 1, "m1", "prose", None),
-        ("r3", "kosen", 2, "m2", "", None),
+        ("r1", "acme", 1, "m1", None, "503 UNAVAILABLE"),
+        ("r1", "acme", 2, "m2", BLOCK[:-1], None),
+        ("r1", "acme", 3, "m3", "```latex\n" + BLOCK + "\n```", None),
+        ("r1", "acme", 4, "m4", "unused", None),
+        ("r2", "acme", 1, "m1", None, "401 bad key"),
+        ("r2", "acme", 2, "m2", BLOCK, None),
+        ("r3", "acme", 1, "m1", "prose", None),
+        ("r3", "acme", 2, "m2", "", None),
         ("r4", "broken", 1, "m1", BLOCK, None),
         ("r5", "nobody", 1, "m1", BLOCK, None),
         ("r6", None, 1, "m1", BLOCK, None),
-        ("r7", "kosen", 1, "m1", None, "boom"),
+        ("r7", "acme", 1, "m1", None, "boom"),
     ]
     responses = spark.createDataFrame(rows, "request_id string, brand string, attempt int, model string, raw string, error string")
     done = conform_responses(responses, brands.filter("_corrupt_record IS NULL")).cache()
@@ -52,7 +52,7 @@ def test_brands_and_covers(spark, tmp_path):
     assert (first.attempts, first.winner, first.off_reference, first.variant, first.background) == (3, "m3", ["own"], "light", "FFFFFF")
     assert abs(first.scale - 0.8) < 1e-9 and first.logo_at == [2.0, 27.2] and first.tone == "light" and first.warnings == []
     lines = first.artifact.splitlines()
-    assert lines[0] == "% Auto-generated (brand: kosen) - DO NOT EDIT MANUALLY"
+    assert lines[0] == "% Auto-generated (brand: acme) - DO NOT EDIT MANUALLY"
     assert "\\definecolor{VSRed}{HTML}{757576}" in lines and "\\definecolor{VSCoverFg}{HTML}{1A1A1A}" in lines
     assert "\\definecolor{light}{HTML}{FFFFFF}" in lines and "\\definecolor{own}{HTML}{123456}" in lines
     assert first.artifact.endswith("\\end{tikzpicture}%\n}\n")

@@ -146,5 +146,5 @@ def test_catalogue(spark):
       {"id": "d", "pricing": {"prompt": "0"}, "architecture": {"modality": "image"}},
       {"id": "e", "architecture": {"modality": "image"}},
       {"id": "f", "pricing": {"prompt": "0", "completion": "0"}, "architecture": {"modality": "text"}}]}"""
-    df = spark.createDataFrame([(doc,), ("not json",)], "json string")
-    assert [tuple(r) for r in filter_catalogue(df).collect()] == [("b", "B", "?", "5"), ("z", "z", "8192", "?")]
+    df = spark.createDataFrame([(doc,), ("not json",), (doc,)], "json string")
+    assert [tuple(r) for r in filter_catalogue(df).collect()] == [("b", "B", "?", "5", 2), ("z", "z", "8192", "?", 2)]

@@ -71,7 +71,7 @@ def test_contrast_audit(spark):
 
 
 def test_text_helpers(spark):
-    assert column(spark, ["a-b_c", "kosen", "vERSATUS-hpc", ""], pascal_case) == ["ABC", "Kosen", "VersatusHpc", ""]
+    assert column(spark, ["a-b_c", "acme", "oTHER-abc", ""], pascal_case) == ["ABC", "Acme", "OtherAbc", ""]
     assert column(spark, ["#FFF", "#ffffff", "#12", "red", "FFF"], is_hex) == [True, True, False, False, False]
     assert column(spark, ["#1aF", "#abcdef"], full_hex) == ["11AAFF", "ABCDEF"]
     assert column(spark, [1.0, 2.5, -3.0], plain_number, "double") == ["1", "2.5", "-3"]
