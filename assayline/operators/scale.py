@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 HOT_SHARE = 1 / 4000
 HOT_MIN_ROWS = 4_000_000
 SAMPLE_ROWS = 4_000_000
+# Rows that may be broadcast for the hot keys; beyond it the shuffled join takes all keys.
+BROADCAST_ROWS = 20_000
 SAMPLE_SEED = 17
 
 QUANTILES = 128
@@ -54,25 +56,31 @@ def _among(keys: Sequence[str], hashes: Sequence[int]) -> Column:
     return F.expr(f"xxhash64({names}) IN ({', '.join(map(str, hashes))})")
 
 
-def _sampled(df: DataFrame, rows: int) -> tuple[DataFrame, float]:
-    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
-    return (df if share == 1.0 else df.sample(share, seed=SAMPLE_SEED)), share
+def _hot_sample(
+    df: DataFrame, keys: Sequence[str], columns: dict[str, Column], least: int, part: float
+) -> tuple[DataFrame | None, dict[int, int]]:
+    """A sample of key hashes ``h`` and ``columns``, and the estimated rows of each hot key.
+
+    Small tables cost one count. Larger ones are counted per key on about ``SAMPLE_ROWS`` rows.
+    """
+    rows = df.count()
+    if rows <= least:
+        return None, {}
+    rate = min(1.0, SAMPLE_ROWS / rows)
+    slim = df.select(key_hash(keys).alias("h"), *[c.alias(n) for n, c in columns.items()])
+    sample = slim if rate == 1.0 else slim.sample(rate, seed=SAMPLE_SEED)
+    found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(least, rows * part) * rate)
+    # The least BIGINT has no literal; leaving that one key out only changes the plan.
+    return sample, {r["h"]: int(r["n"] / rate) for r in found.collect() if r["h"] != -(2**63)}
 
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], min_rows: int | None = None, share: float | None = None
 ) -> list[int]:
     """Hashes of the keys with more than ``min_rows`` rows and more than ``share`` of all rows:
-    at most ``1 / share`` of them. Counted on a sample when the table is large."""
+    at most ``1 / share`` of them."""
     least = HOT_MIN_ROWS if min_rows is None else min_rows
-    part = HOT_SHARE if share is None else share
-    rows = df.count()
-    if rows <= least:
-        return []
-    sample, rate = _sampled(df.select(key_hash(keys).alias("h")), rows)
-    found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(least, rows * part) * rate)
-    # The least BIGINT has no literal; leaving that one key out only changes the plan.
-    return sorted(r["h"] for r in found.collect() if r["h"] != -(2**63))
+    return sorted(_hot_sample(df, keys, {}, least, HOT_SHARE if share is None else share)[1])
 
 
 @dataclass(frozen=True)
@@ -132,20 +140,19 @@ def order_slices(
     per_slice = HOT_MIN_ROWS if rows_per_slice is None else rows_per_slice
     kind = df.schema[column].dataType
     plain = Slices(tuple(keys), column, kind)
-    hot = hot_keys(df, keys, per_slice)
+    sample, hot = _hot_sample(df, keys, {"x": _as_number(column, kind)}, per_slice, HOT_SHARE)
     if not hot:
         return plain
-    rows = df.filter(_among(keys, hot)).select(_as_number(column, kind).alias("x"))
-    total = rows.count()
     points = [i / QUANTILES for i in range(QUANTILES + 1)]
-    quantiles = _sampled(rows, total)[0].agg(F.percentile_approx("x", points, F.lit(10_000)).alias("q")).first()["q"]
+    among = F.expr(f"h IN ({', '.join(map(str, hot))})")
+    quantiles = sample.filter(among).agg(F.percentile_approx("x", points, F.lit(10_000)).alias("q")).first()["q"]
     if not quantiles:
         return plain
-    wanted = -(-total // per_slice)
+    wanted = -(-sum(hot.values()) // per_slice)
     every = max(1, QUANTILES // min(wanted, QUANTILES))
     bounds = sorted({*quantiles[::every], quantiles[-1]})
     steps = min(STEPS_PER_QUANTILE, -(-wanted // QUANTILES))
-    return Slices(tuple(keys), column, kind, tuple(hot), tuple(bounds), steps)
+    return Slices(tuple(keys), column, kind, tuple(sorted(hot)), tuple(bounds), steps)
 
 
 def running_total(
@@ -198,6 +205,15 @@ def numbered(
     return running_total(df, keys, order, {name: F.lit(1).cast("bigint")}, rows_per_slice, slices)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which a NULL key meets a NULL key."""
+    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(other, match, how).drop(*[f"__r_{c}" for c in on])
+
+
 def spread_join(
     big: DataFrame,
     small: DataFrame,
@@ -206,17 +222,25 @@ def spread_join(
     min_rows: int | None = None,
     share: float | None = None,
     hot: list[int] | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join rows with a table of at most one row per key.
 
-    Hot keys of ``big`` number at most ``1 / share``, so their rows of ``small`` are broadcast
-    and ``big`` is not shuffled for them; all other keys take the shuffled join. ``hot`` takes
+    Hot keys of ``big`` number at most ``1 / share``, so their rows of ``small`` are few. They are
+    counted and then broadcast, so ``big`` is not shuffled for them; all other keys take the
+    shuffled join, and so do the hot ones should ``small`` break its promise. ``hot`` takes
     the result of an earlier ``hot_keys`` on the same key columns.
     """
+    def join(rows: DataFrame, values: DataFrame) -> DataFrame:
+        return join_null_safe(rows, values, on, how) if null_safe else rows.join(values, list(on), how)
+
     if hot is None:
         hot = hot_keys(big, on, min_rows, share)
     if not hot:
-        return big.join(small, list(on), how)
+        return join(big, small)
     is_hot = _among(on, hot)
-    spread = big.filter(is_hot).join(F.broadcast(small.filter(is_hot)), list(on), how)
-    return spread.unionByName(big.filter(~is_hot).join(small.filter(~is_hot), list(on), how))
+    held = small.filter(is_hot)
+    if held.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return join(big, small)
+    spread = join(big.filter(is_hot), F.broadcast(held))
+    return spread.unionByName(join(big.filter(~is_hot), small.filter(~is_hot)))

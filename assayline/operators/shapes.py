@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.colour import full_hex, is_hex
-from assayline.operators.scale import numbered, order_slices, spread_join
+from assayline.operators.scale import Slices, numbered, order_slices, spread_join
 
 # Grid kinds with the sizes each needs, and the colour rule used when none fits.
 GRID_SIZES = {"circle_grid": ("radius",), "rect_grid": ("width", "height")}
@@ -23,6 +23,7 @@ def first_seen_dictionary(
     order: Sequence[str],
     name: str = "id",
     rows_per_slice: int | None = None,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Distinct values per group with dense 0-based ids in the order they were first met."""
     seen = (
@@ -31,8 +32,8 @@ def first_seen_dictionary(
         .agg(F.min(F.struct(*order)).alias("__first"))
         .select(*group, value, *[F.col(f"__first.{c}").alias(f"__o_{c}") for c in order])
     )
-    slices = replace(order_slices(df, group, order[0], rows_per_slice), column=f"__o_{order[0]}")
-    ids = numbered(seen, group, [*[f"__o_{c}" for c in order], value], "__n", slices=slices)
+    cut = replace(slices or order_slices(df, group, order[0], rows_per_slice), column=f"__o_{order[0]}")
+    ids = numbered(seen, group, [*[f"__o_{c}" for c in order], value], "__n", slices=cut)
     return ids.select(*group, value, (F.col("__n") - 1).alias(name))
 
 
@@ -43,11 +44,12 @@ def encode_first_seen(
     order: Sequence[str],
     name: str = "id",
     rows_per_slice: int | None = None,
+    slices: Slices | None = None,
     **sizing,
 ) -> DataFrame:
     """Add the dictionary id of ``value`` to every row, NULL for NULL values."""
-    words = first_seen_dictionary(df, group, value, order, name, rows_per_slice)
-    return spread_join(df, words, [*group, value], "left", **sizing)
+    words = first_seen_dictionary(df, group, value, order, name, rows_per_slice, slices)
+    return spread_join(df, words, [*group, value], "left", null_safe=True, **sizing)
 
 
 def element_colours(elements: DataFrame, key: Sequence[str], pos: str, colour: str, colours: str) -> DataFrame:
@@ -114,21 +116,24 @@ def normalise_bbox(
     xs: tuple[str, str],
     ys: tuple[str, str],
     target: float | Column,
+    also: dict[str, Column] | None = None,
     **sizing,
 ) -> DataFrame:
     """Scale each group to a target height, move it to the origin and flip Y: adds ``scale``,
     ``n<column>`` for each coordinate, and ``reject_reason`` for groups without a usable box.
 
     The box is a partial aggregate joined back to the rows, so no window buffers a group.
+    ``also`` names further aggregates of the group to bring back with it.
     """
     height = F.lit(target) if isinstance(target, (int, float)) else target
     box = df.groupBy(*group).agg(
         F.min(F.least(*xs)).alias("__x"),
         F.min(F.least(*ys)).alias("__low"),
         F.max(F.greatest(*ys)).alias("__high"),
+        *[c.alias(n) for n, c in (also or {}).items()],
     )
     span = F.col("__high") - F.col("__low")
-    boxed = spread_join(df, box, group, "left", **sizing)
+    boxed = spread_join(df, box, group, "left", null_safe=True, **sizing)
     reason = F.when(F.col("__x").isNull() | span.isNull(), F.lit("no bounding box")).when(
         span <= 0, F.lit("no height")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.text import strip_space
+from assayline.operators.scale import join_null_safe
 from assayline.session import ensure_checkpoint_dir
 
 # Line starts that open an error block of a typesetter log, any case, and the
@@ -128,13 +129,13 @@ def _entering_folds(
             F.array_sort(F.collect_list(F.struct("grp", "next"))).alias("groups")
         )
         entry = by_key.select(*key, F.inline(enter("groups", "grp", F.lit(0), "entry")))
-        entered = _join_null_safe(grouped, entry, [*key, "grp"])
+        entered = join_null_safe(grouped, entry, [*key, "grp"])
     # Only a group that has its first fold continues the group before it.
     continues = F.element_at("steps", 1)["fold"] == first
     fold_entry = entered.select(
         *key, F.inline(enter("steps", "fold", F.when(continues, F.col("entry")).otherwise(0), "carry"))
     )
-    return _join_null_safe(folds, fold_entry, [*key, "fold"])
+    return join_null_safe(folds, fold_entry, [*key, "fold"])
 
 
 def _through_group(steps: str, first: Column, per_group: int, every: Column, k: int) -> Column:
@@ -157,15 +158,6 @@ def _through_group(steps: str, first: Column, per_group: int, every: Column, k:
     )
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join in which a NULL key meets a NULL key."""
-    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
-    match = F.lit(True)
-    for c in on:
-        match = match & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-    return left.join(other, match).drop(*[f"__r_{c}" for c in on])
-
-
 def window_lines(lines: DataFrame, starts: DataFrame, key: Sequence[str], line_no: str, k: int = CONTEXT_LINES) -> DataFrame:
     """Lines inside windows with ``start_line``. Windows do not overlap, so each line is wanted at
     most once and the join key (key, line) is unique on both sides."""
@@ -174,7 +166,7 @@ def window_lines(lines: DataFrame, starts: DataFrame, key: Sequence[str], line_n
         F.col(line_no).alias("start_line"),
         F.explode(F.sequence(F.col(line_no), F.col(line_no) + (k - 1))).alias(line_no),
     )
-    return _join_null_safe(lines, wanted, [*key, line_no])
+    return join_null_safe(lines, wanted, [*key, line_no])
 
 
 def error_blocks(

@@ -1,13 +1,21 @@
-"""The whole cover job on derived tables: line items as attempts, orders as requests, parts as
-brands. Failures, truncated and empty texts, unknown and faulty brands all occur."""
+"""Whole jobs on derived tables.
+
+Covers: line items as attempts, orders as requests, parts as brands; failures, truncated and
+empty texts, unknown and faulty brands all occur. Canvas: one document per part. Logos: two
+variants per part, line items as their shapes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from assayline.operators.blocks import COVER_MARKER
+from assayline.operators.contract import canvas_elements
+from assayline.plans.canvas import canvas_listing, colour_definitions, colour_names, judged_documents
 from assayline.plans.covers import conform_responses, resolved_requests
+from assayline.plans.logos import logo_manifest, logo_shapes
 from assayline.workload.registry import ROLES, luminance_sql, palette_rows_sql, part_palette, query
+from assayline.workload.text_queries import CANVAS_FAULT_SQL, canvas_documents
 
 MACROS = "\\BookTitle \\BookSubtitle \\BookDescription \\BookAuthor \\BookDate"
 FILL = "\\fill[{}] (-1,-1) rectangle (22,31);"
@@ -148,3 +156,116 @@ def covers(t):
         "variant", F.round("scale", 4).alias("scale"), "background", "tone",
         F.array_join("warnings.rule", " ").alias("warnings"),
     )
+
+
+# --- canvas documents --------------------------------------------------------
+
+_BACKGROUND = "printf('%06X', p_partkey % 16777216)"
+
+
+@query(
+    "judged_documents",
+    f"""
+    SELECT p_partkey, coalesce(n, 0) AS violations, CASE WHEN n > 0 THEN 'breaks the contract' END AS reject_reason
+    FROM part LEFT JOIN (SELECT p_partkey, count(*) AS n FROM ({CANVAS_FAULT_SQL}) GROUP BY p_partkey) USING (p_partkey)
+    """,
+)
+def judged(t):
+    return judged_documents(canvas_documents(t), ["p_partkey"], "json").drop("json")
+
+
+@query(
+    "canvas_listing",
+    """
+    SELECT p_partkey, 0::BIGINT AS part, CASE WHEN p_partkey % 5 = 3 THEN 1 ELSE 2 END::BIGINT AS items,
+           'background dyncolor0' || CASE p_partkey % 5 WHEN 0 THEN chr(10) || 'circle white' WHEN 1 THEN chr(10) || 'line 9x'
+               WHEN 2 THEN chr(10) || 'pattern' WHEN 4 THEN chr(10) || 'rectangle black' ELSE '' END AS text
+    FROM part WHERE p_size % 17 <> 0
+    """,
+)
+def listing(t):
+    return canvas_listing(canvas_documents(t), ["p_partkey"], "json")
+
+
+@query(
+    "colour_definitions",
+    f"""
+    SELECT p_partkey, 0::BIGINT AS part, CASE WHEN p_partkey % 5 = 2 AND {_BACKGROUND} <> 'FFFFFF' THEN 2 ELSE 1 END::BIGINT AS items,
+           '  \\definecolor{{dyncolor0}}{{HTML}}{{' || {_BACKGROUND} || '}}'
+           || CASE WHEN p_partkey % 5 = 2 AND {_BACKGROUND} <> 'FFFFFF' THEN chr(10) || '  \\definecolor{{dyncolor1}}{{HTML}}{{FFFFFF}}' ELSE '' END AS text
+    FROM part WHERE p_size % 17 <> 0
+    """,
+)
+def definitions(t):
+    names = colour_names(canvas_elements(canvas_documents(t), ["p_partkey"], "json"), ["p_partkey"])
+    return colour_definitions(names, ["p_partkey"])
+
+
+# --- logos -------------------------------------------------------------------
+
+_FILE_SQL = "'b' || l_partkey || '/' || CASE WHEN l_linenumber % 2 = 0 THEN 'dark' ELSE 'light' END || '.svg'"
+_MANIFEST_SQL = f"""
+    SELECT 'b' || p_partkey AS brand, key, 'b' || p_partkey || '/' || key || '.svg' AS source,
+           'LogoB' || p_partkey || upper(left(key, 1)) || substr(key, 2) AS macro,
+           CASE WHEN p_size % 3 = 0 THEN 3.0 ELSE 1.5 END::DOUBLE AS height,
+           CASE WHEN key = 'light' AND p_size % 4 = 0 THEN 'no_target'
+                WHEN 'b' || p_partkey || '/' || key || '.svg' NOT IN (SELECT {_FILE_SQL} FROM lineitem WHERE l_quantity < 45) THEN 'missing_source'
+                ELSE 'ok' END AS status
+    FROM part, (VALUES ('dark'), ('light')) AS v(key)
+"""
+
+
+def _logo_file():
+    key = F.when(F.col("l_linenumber") % 2 == 0, "dark").otherwise("light")
+    return F.concat(F.lit("b"), F.col("l_partkey"), F.lit("/"), key, F.lit(".svg"))
+
+
+def _manifest(t):
+    held = t.lineitem.filter("l_quantity < 45").select(_logo_file().alias("path"))
+    owners = t.part.select(
+        F.concat(F.lit("b"), F.col("p_partkey")).alias("brand"),
+        F.create_map(*[F.lit(x) for x in ("dark", "dark.svg", "light", "light.svg")]).alias("logo_svg"),
+        F.create_map(F.lit("dark"), F.lit("d"), F.lit("light"), F.when(F.col("p_size") % 4 == 0, "").otherwise("l")).alias("logos"),
+        F.when(F.col("p_size") % 3 != 0, 1.5).alias("logo_height_cm"),
+    )
+    return logo_manifest(owners, held)
+
+
+@query("logo_manifest", _MANIFEST_SQL)
+def manifest(t):
+    return _manifest(t).select("brand", "key", "source", "macro", "height", "status")
+
+
+@query(
+    "logo_shapes",
+    f"""
+    WITH m AS (SELECT * FROM ({_MANIFEST_SQL}) WHERE status = 'ok'),
+    s AS (SELECT {_FILE_SQL} AS source, l_orderkey AS pos, l_quantity AS x0, l_quantity + 1 AS x1, l_extendedprice AS y0,
+                 l_extendedprice + l_linenumber AS y1, CASE l_suppkey % 4 WHEN 0 THEN NULL ELSE printf('%06X', l_suppkey * 7) END AS colour
+          FROM lineitem),
+    d AS (SELECT m.brand, m.key, m.height, s.* EXCLUDE (source) FROM m JOIN s USING (source)),
+    b AS (SELECT brand, key, min(x0) AS xm, min(y0) AS ym, max(y1) AS yx, count(colour) AS filled FROM d GROUP BY ALL),
+    f AS (SELECT brand, key, colour, min(pos) AS first_pos FROM d WHERE colour IS NOT NULL GROUP BY ALL),
+    w AS (SELECT brand, key, colour, row_number() OVER (PARTITION BY brand, key ORDER BY first_pos, colour) - 1 AS colour_id FROM f)
+    SELECT d.brand, d.key, d.pos, d.colour, w.colour_id, round((d.x0 - xm) * (height / (yx - ym)), 6) AS nx0,
+           round((yx - d.y1) * (height / (yx - ym)), 6) AS ny1, CASE WHEN filled = 0 THEN 'no filled shape' END AS reject_reason
+    FROM d JOIN b USING (brand, key) LEFT JOIN w USING (brand, key, colour) WHERE d.colour IS NOT NULL OR filled = 0
+    """,
+)
+def placed_shapes(t):
+    fill = F.when(F.col("l_suppkey") % 4 == 0, "none").otherwise(
+        F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("l_suppkey") * 7), 6, "0")), F.lit("80"))
+    )
+    shapes = t.lineitem.select(
+        _logo_file().alias("file"),
+        F.col("l_orderkey").alias("pos"),
+        F.col("l_quantity").alias("x0"),
+        (F.col("l_quantity") + 1).alias("x1"),
+        F.col("l_extendedprice").alias("y0"),
+        (F.col("l_extendedprice") + F.col("l_linenumber")).alias("y1"),
+        fill.alias("fill"),
+    )
+    placed = logo_shapes(_manifest(t), shapes)
+    return placed.select(
+        "brand", "key", "pos", "colour", "colour_id", F.round("nx0", 6).alias("nx0"), F.round("ny1", 6).alias("ny1"), "reject_reason"
+    )

@@ -86,6 +86,7 @@ def test_first_seen_ids_in_slices(spark):
     coded = encode_first_seen(df, ["k"], "v", ["ts", "id"], "code", min_rows=0)
     assert coded.count() == df.count()
     assert coded.filter("k = 'hot'").select("v", "code").distinct().count() == 97
+    assert coded.filter("k IS NULL AND code IS NULL").count() == 0
 
 
 def test_assemble_in_parts_loses_nothing(spark):

@@ -51,7 +51,7 @@ def test_grid(spark):
 
 def test_bbox(spark):
     df = spark.createDataFrame(
-        [("a", 5.0, 10.0, 8.0, 40.0), ("a", 1.0, 20.0, 2.0, 30.0), ("flat", 0.0, 3.0, 9.0, 3.0), ("none", None, None, None, None)],
+        [("a", 5.0, 10.0, 8.0, 40.0), ("a", 1.0, 20.0, 2.0, 30.0), ("flat", 0.0, 3.0, 9.0, 3.0), ("none", None, None, None, None), (None, 7.0, 0.0, 9.0, 6.0)],
         "f string, x0 double, y0 double, x1 double, y1 double",
     )
     for least in (None, 0):
@@ -60,7 +60,7 @@ def test_bbox(spark):
         assert (a.scale, a.ny0, a.ny1) == (pytest.approx(0.1), pytest.approx(3.0), 0.0)
         assert a.nx0 == pytest.approx(0.4) and rows[("a", 1.0)].nx0 == 0.0
         assert rows[("flat", 0.0)].reject_reason == "no height" and rows[("none", None)].reject_reason == "no bounding box"
-        assert rows[("flat", 0.0)].ny0 is None
+        assert rows[("flat", 0.0)].ny0 is None and rows[(None, 7.0)].scale == 0.5
 
 
 def test_height_scale(spark):
