@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.text import strip_space
 from assayline.operators.scale import join_null_safe
-from assayline.session import ensure_checkpoint_dir
+from assayline.session import materialise
 
 # Line starts that open an error block of a typesetter log, any case, and the
 # block length and placeholder of a log without one.
@@ -61,8 +61,7 @@ def window_starts(
         .agg(F.array_sort(F.collect_list("at")).alias("hits"))
     )
     # The few trigger numbers are read several times below; the numbering behind them is not.
-    ensure_checkpoint_dir(lines.sparkSession)
-    folds = folds.checkpoint()
+    folds = materialise(folds)
     last = folds.agg(F.max("fold")).first()[0] or 0
     carried = _entering_folds(folds, key, k, lines_per, per_group, last) if last else folds.withColumn("carry", F.lit(0))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayline.operators.render import error_summary
 from assayline.operators.scale import numbered
 from assayline.operators.windows import CONTEXT_LINES, error_blocks, first_occurrence, window_lines, window_starts
-from assayline.session import ensure_checkpoint_dir
+from assayline.session import materialise
 
 
 def incident_windows(
@@ -49,7 +49,6 @@ def incident_counts(windows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def log_reports(lines: DataFrame, key: Sequence[str], **folding) -> DataFrame:
     """One report per log: its distinct error blocks under numbered headings."""
-    ensure_checkpoint_dir(lines.sparkSession)
-    blocks = error_blocks(lines, key, **folding).checkpoint()
+    blocks = materialise(error_blocks(lines, key, **folding))
     placed = blocks.withColumn("at", F.coalesce(F.col("start_line"), F.lit(0)))
     return error_summary(placed, key, ["at"])

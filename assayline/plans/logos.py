@@ -9,6 +9,7 @@ from assayline.functions.text import pascal_case
 from assayline.operators.reference import manifest_status, reconcile_maps
 from assayline.operators.scale import hot_keys, order_slices, spread_join
 from assayline.operators.shapes import encode_first_seen, fill_colour, normalise_bbox
+from assayline.session import materialise
 
 # Height in cm when neither the call nor the brand gives one; macro prefix.
 DEFAULT_HEIGHT = 3.0
@@ -52,6 +53,6 @@ def logo_shapes(manifest: DataFrame, shapes: DataFrame, **sizing) -> DataFrame:
     judged = boxed.withColumn(
         "reject_reason", F.coalesce("reject_reason", F.when(F.col("__filled") == 0, F.lit("no filled shape")))
     )
-    kept = judged.filter("reject_reason IS NOT NULL OR colour IS NOT NULL").drop("__filled")
+    kept = materialise(judged.filter("reject_reason IS NOT NULL OR colour IS NOT NULL").drop("__filled"))
     hot = hot_keys(drawn, [*group, "colour"]) if slices.hot else []
     return encode_first_seen(kept, group, "colour", ["pos"], "colour_id", slices=slices, hot=hot)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -25,12 +26,20 @@ def build_session(master: str | None = None, app: str = "assayline", **conf: str
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back to a local one only when none is set."""
-    context = spark.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; one of this machine only when none is set."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if folder is None:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="assayline-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+    if not folder:
+        folder = f"{tempfile.gettempdir()}/assayline-{spark.sparkContext.applicationId}"
+    return folder.rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table that later steps read several times, and read it back.
+
+    It cuts the lineage: a lost executor costs a read, not the steps before. Parquet keeps
+    column pruning and sizes for the steps after.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/assayline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

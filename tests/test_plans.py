@@ -132,3 +132,15 @@ def test_log_reports(spark):
     got = {r.file: r.text for r in log_reports(lines, ["file"]).collect()}
     assert got["a"] == "--- Error block 1 ---\n! x\ndetail"
     assert got["b"].startswith("--- Error block 1 ---\n[no structured error")
+
+
+def test_materialise_writes_below_the_folder_of_the_session(spark):
+    from pathlib import Path
+
+    from assayline.session import CHECKPOINT_CONF, checkpoint_dir, materialise
+
+    folder = checkpoint_dir(spark)
+    assert folder == (spark.conf.get(CHECKPOINT_CONF, None) or folder)
+    before = set(Path(folder).iterdir()) if Path(folder).exists() else set()
+    assert materialise(spark.range(5)).count() == 5
+    assert len(set(Path(folder).iterdir()) - before) == 1
