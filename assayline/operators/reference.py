@@ -283,9 +283,14 @@ def reconcile_maps(df: DataFrame, src_col: str, tgt_col: str) -> DataFrame:
     """Pair two manifest maps of a row: one output row per source key with ``source`` and
     ``target`` paths, target NULL when absent or empty."""
     kept = [c for c in df.columns if c not in (src_col, tgt_col)]
-    return df.select(*kept, F.explode(src_col).alias("key", "source"), F.col(tgt_col).alias("__t")).select(
-        *kept, "key", "source", F.nullif(F.try_element_at("__t", F.col("key")), F.lit("")).alias("target")
-    )
+
+    def pair(entry: Column) -> Column:
+        target = F.try_element_at(tgt_col, entry["key"])
+        return F.struct(
+            entry["key"].alias("key"), entry["value"].alias("source"), F.when(target != "", target).alias("target")
+        )
+
+    return df.select(*kept, F.inline(F.transform(F.map_entries(src_col), pair)))
 
 
 def manifest_status(manifest: DataFrame, inventory: DataFrame, path: str = "path", **sizing) -> DataFrame:

@@ -29,7 +29,7 @@ def test_canvas(spark):
     assert judged == {"a": "breaks the contract", "b": None}
 
 
-def test_logos(spark):
+def test_logos(spark, monkeypatch):
     brands = spark.createDataFrame(
         [("acme-co", {"dark": "d.svg", "light": "l.svg", "alt": "a.svg", "gone": "g.svg"}, {"dark": "d", "light": "l", "gone": "g"}, 1.5),
          ("other", {"dark": "f.svg"}, {"dark": "f"}, None)],
@@ -52,7 +52,11 @@ def test_logos(spark):
          ("stray.svg", 0, "rect", 0.0, 0.0, 1.0, 1.0, "#111111")],
         "file string, pos int, kind string, x0 double, y0 double, x1 double, y1 double, fill string",
     )
-    got = {(r.brand, r.key, r.pos): r for r in logo_shapes(manifest, shapes).collect()}
+    plain = logo_shapes(manifest, shapes)
+    got = {(r.brand, r.key, r.pos): r for r in plain.collect()}
+    monkeypatch.setattr(scale, "HOT_MIN_ROWS", 1)
+    spread = logo_shapes(logo_manifest(brands, inventory), shapes)
+    assert sorted(map(str, spread.select(*plain.columns).collect())) == sorted(map(str, got.values()))
     assert set(got) == {("acme-co", "dark", 1), ("acme-co", "dark", 2), ("acme-co", "dark", 3), ("acme-co", "light", 0), ("other", "dark", 0)}
     first = got[("acme-co", "dark", 1)]
     assert (first.colour, first.colour_id, first.ny0, first.reject_reason) == ("AABBCC", 0, 1.5, None)
