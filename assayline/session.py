@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,13 @@ def build_session(master: str | None = None, app: str = "assayline", **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of this machine only when none is set."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    """The shared folder the cluster names; a folder of this machine only where all tasks run in it."""
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not folder:
-        folder = f"{tempfile.gettempdir()}/assayline-{spark.sparkContext.applicationId}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/assayline-{context.applicationId}"
     return folder.rstrip("/")
 
 
