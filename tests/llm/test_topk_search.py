@@ -1,0 +1,43 @@
+"""Exact top-k against all products; the query has SQL of its own."""
+
+import numpy as np
+
+from assayline.llm.topk_search import best_of_tile, top_k
+
+SCHEMA = "vec_id long, embedding array<double>, score string, rank int"
+
+
+def brute(vectors, queries, k):
+    found = []
+    for q, x in queries.items():
+        scores = sorted((-int(np.dot(x, v)), i) for i, v in vectors.items() if i != q)[:k]
+        found += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    return sorted(found)
+
+
+def frame(spark, vectors):
+    return spark.createDataFrame([(i, [float(x) for x in v], "x", 9) for i, v in vectors.items()], SCHEMA)
+
+
+def test_ties_and_tiles(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.integers(-3, 4, 6) for i in range(300)}
+    vectors |= {i: np.array([1, 1, 0, 0, 0, 0]) for i in range(300, 380)}
+    queries = {i: v for i, v in vectors.items() if i % 50 == 0}
+    for rows, fan in ((32, 2), (1000, 16)):
+        got = top_k(frame(spark, vectors), frame(spark, queries), k=5, tile_rows=rows, fan_in=fan).collect()
+        assert sorted(map(tuple, got)) == brute(vectors, queries, 5)
+
+
+def test_unusable_repeated_and_few(spark):
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (6, [3.0, -1.0]), (None, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(table, table).collect())) == [(1, 1, 6, 1), (6, 1, 1, 1)]
+    assert top_k(table.limit(0), table.limit(0)).count() == 0
+    assert top_k(table.filter("vec_id = 1"), table.filter("vec_id = 1")).count() == 0
+
+
+def test_large_components_stay_exact():
+    big = np.array([[2.0**30, 1.0], [2.0**30, 2.0]])
+    _, ids, scores = best_of_tile(np.array([9]), np.array([[2.0**30, 1.0]]), np.array([1, 2]), big, 1)
+    assert ids.tolist() == [2] and scores.tolist() == [2**60 + 2]
