@@ -53,6 +53,12 @@ def to_number(col: Column) -> Column:
     return F.translate(col, _WIDE_DIGITS, _PLAIN_DIGITS).try_cast("double")
 
 
+def rounded(col: Column, places: int) -> Column:
+    """A double to so many places by plain double arithmetic, halves up, as any engine does it."""
+    scale = float(10**places)
+    return F.floor(col * scale + 0.5) / scale
+
+
 def plain_number(col: Column) -> Column:
     """A double as text, without a decimal part when it is whole."""
     whole = F.floor(col)

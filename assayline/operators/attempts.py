@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayline.operators.scale import order_slices
+from assayline.operators.scale import SLICE, in_slices, join_null_safe
 
 
 @dataclass(frozen=True)
@@ -77,51 +77,59 @@ def resolve_attempts(
     ok: str | Sequence[str] = "ok",
     fatal: Sequence[str] = ("fatal",),
     rows_per_slice: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """One row per key: ``outcome`` (``ok``, ``aborted``, ``exhausted``), ``attempts`` used,
     ``winner`` (the successful attempt) and ``last_payload`` (last non-empty text seen).
 
-    Attempts after the first ok or fatal one count for nothing. Each slice of a key is resolved
-    on its own and then the few slice results of the key are merged, so a key may be any size.
+    Attempts after the first ok or fatal one count for nothing. Ordering works on flags alone, and
+    each slice of a key is resolved on its own before the few slice results of the key are merged,
+    so a key may be any size. Payloads join at the end by key and place in the order (which must be
+    unique per key), so no window sorts them and no key gathers them.
     """
     wins = [ok] if isinstance(ok, str) else list(ok)
-    slices = order_slices(df, key, order[0], rows_per_slice)
-    part = [*key, "__slice"] if slices.is_cut else list(key)
-    rows = (slices.add(df, "__slice") if slices.is_cut else df).select(
-        *part,
+    won = F.coalesce(F.col(status_col).isin(wins), F.lit(False))
+    lost = F.coalesce(F.col(status_col).isin(list(fatal)), F.lit(False))
+    text = F.nullif(F.col(payload_col), F.lit(""))
+    flags = df.select(
+        *key,
         F.struct(*order).alias("__order"),
-        F.coalesce(F.col(status_col).isin(wins), F.lit(False)).alias("__ok"),
-        F.coalesce(F.col(status_col).isin(list(fatal)), F.lit(False)).alias("__fatal"),
-        F.nullif(F.col(payload_col), F.lit("")).alias("__payload"),
+        won.alias("__ok"),
+        lost.alias("__fatal"),
+        text.isNotNull().alias("__text"),
         F.col(attempt_col).alias("__attempt"),
     )
-    stops = F.col("__ok") | F.col("__fatal")
+    sliced = in_slices(flags, key, ["__order"], rows_per_slice, rows)
+    rows_of = flags if sliced is None else sliced
+    part = list(key) if sliced is None else [*key, SLICE]
     earlier = W.partitionBy(*part).orderBy("__order").rowsBetween(W.unboundedPreceding, -1)
-    tried = rows.withColumn("__over", F.coalesce(F.max(stops).over(earlier), F.lit(False))).filter("NOT __over")
-    has_text = F.col("__payload").isNotNull()
-    ended = tried.groupBy(*part).agg(
+    over = F.coalesce(F.max(F.col("__ok") | F.col("__fatal")).over(earlier), F.lit(False))
+    ended = rows_of.withColumn("__over", over).filter("NOT __over").groupBy(*part).agg(
         F.count(F.lit(1)).alias("attempts"),
         F.max(F.when(F.col("__ok"), F.struct(F.lit("ok").alias("o"), F.col("__attempt").alias("w")))).alias("__won"),
         F.max("__fatal").alias("__lost"),
-        F.max_by("__payload", F.when(has_text, F.col("__order"))).alias("last_payload"),
+        F.max(F.when(F.col("__text"), F.col("__order"))).alias("__at"),
     )
-    if slices.is_cut:
-        over = F.col("__won").isNotNull() | F.col("__lost")
-        cut = F.min(F.when(over, F.col("__slice"))).over(W.partitionBy(*key))
+    if sliced is not None:
+        stopped = F.col("__won").isNotNull() | F.col("__lost")
+        cut = F.min(F.when(stopped, F.col(SLICE))).over(W.partitionBy(*key))
         ended = (
             ended.withColumn("__cut", cut)
-            .filter("__cut IS NULL OR __slice <= __cut")
+            .filter(f"__cut IS NULL OR {SLICE} <= __cut")
             .groupBy(*key)
             .agg(
                 F.sum("attempts").alias("attempts"),
                 F.max("__won").alias("__won"),
                 F.max("__lost").alias("__lost"),
-                F.max_by(
-                    "last_payload", F.when(F.col("last_payload").isNotNull(), F.col("__slice"))
-                ).alias("last_payload"),
+                F.max("__at").alias("__at"),
             )
         )
-    return ended.select(
+    # The one payload that each key ends with, met by key and place: no key is hot there.
+    payloads = df.select(*key, F.struct(*order).alias("__at"), text.alias("last_payload")).filter(
+        "last_payload IS NOT NULL"
+    )
+    held = join_null_safe(ended, payloads, [*key, "__at"], "left")
+    return held.select(
         *key,
         F.when(F.col("__won").isNotNull(), "ok").when(F.col("__lost"), "aborted").otherwise("exhausted").alias("outcome"),
         "attempts",

@@ -211,52 +211,54 @@ def canvas_elements(df: DataFrame, key: Sequence[str], json_col: str, root: str
     )
 
 
-def check_union(df: DataFrame, key: Sequence[str], json_col: str, contract: Contract = CANVAS) -> DataFrame:
-    """Violations of whole documents: (key, pos, type, rule, field); ``pos`` is NULL for faults of
-    the document itself (``corrupt``, ``missing``, ``extra``, ``items``, ``type``)."""
-    document = df.select(*key, F.try_parse_json(json_col).alias("__doc"))
-    root = F.try_variant_get("__doc", "$", "map<string,variant>")
-    items = F.try_variant_get("__doc", f"$.{contract.root}", "array<variant>")
-    has_root = F.map_contains_key("__root", F.lit(contract.root))
-
-    def fault(rule: str, field: Column) -> Column:
-        return F.struct(F.lit(rule).alias("rule"), field.cast("string").alias("field"))
-
-    extra = F.transform(
-        F.array_except(F.map_keys("__root"), _texts([contract.root])), lambda n: fault("extra", n)
-    )
-    own = F.lit(contract.root)
-    faults = F.when(F.col("__doc").isNull(), F.array(fault("corrupt", F.lit(None)))).when(
-        F.col("__root").isNull(), F.array(fault("type", F.lit(None)))
-    ).otherwise(
-        F.concat(
-            extra,
-            F.when(~has_root, F.array(fault("missing", own)))
-            .when(F.col("__items").isNull(), F.array(fault("type", own)))
-            .when(F.size("__items") < 1, F.array(fault("items", own)))
-            .otherwise(F.array().cast("array<struct<rule:string,field:string>>")),
+def document_faults(json: Column, contract: Contract = CANVAS) -> Column:
+    """Array of (pos, type, rule, field) of one document, empty for a good one; ``pos`` is NULL for
+    faults of the document itself (``corrupt``, ``missing``, ``extra``, ``items``, ``type``)."""
+    kind = "array<struct<pos:int,type:string,rule:string,field:string>>"
+
+    def fault(rule: str, field: Column, pos: Column | None = None, of: Column | None = None) -> Column:
+        return F.struct(
+            (F.lit(None) if pos is None else pos).cast("int").alias("pos"),
+            (F.lit(None) if of is None else of).cast("string").alias("type"),
+            F.lit(rule).alias("rule"),
+            field.cast("string").alias("field"),
         )
-    )
-    whole = document.withColumn("__root", root).withColumn("__items", items)
-    of_document = whole.select(
-        *key,
-        F.lit(None).cast("int").alias("pos"),
-        F.lit(None).cast("string").alias("type"),
-        F.inline(faults),
-    )
-    elements = canvas_elements(df, key, json_col, contract.root)
-    not_object = F.array(fault("type", F.lit(None)))
-    of_elements = elements.select(
-        *key,
-        "pos",
-        "type",
-        F.inline(
-            F.when(F.col("fields").isNull(), not_object).otherwise(
-                element_faults(F.col("type"), F.col("fields"), contract)
+
+    def judge(doc: Column) -> Column:
+        root = F.try_variant_get(doc, "$", "map<string,variant>")
+        items = F.try_variant_get(doc, f"$.{contract.root}", "array<variant>")
+        own, none = F.lit(contract.root), F.lit(None)
+        extra = F.transform(F.array_except(F.map_keys(root), _texts([contract.root])), lambda n: fault("extra", n))
+        body = (
+            F.when(~F.map_contains_key(root, own), F.array(fault("missing", own)))
+            .when(items.isNull(), F.array(fault("type", own)))
+            .when(F.size(items) < 1, F.array(fault("items", own)))
+            .otherwise(F.array().cast(kind))
+        )
+
+        def of_element(item: Column, pos: Column) -> Column:
+            fields = F.try_variant_get(item, "$", "map<string,variant>")
+            name = F.try_variant_get(F.try_element_at(fields, F.lit("type")), "$", "string")
+            found = F.transform(
+                element_faults(name, fields, contract),
+                lambda f: F.struct(pos.cast("int").alias("pos"), name.alias("type"), f["rule"].alias("rule"), f["field"].alias("field")),
             )
-        ),
-    )
-    return of_document.unionByName(of_elements)
+            return F.when(fields.isNull(), F.array(fault("type", none, pos))).otherwise(found)
+
+        inside = F.coalesce(F.flatten(F.transform(items, of_element)), F.array().cast(kind))
+        return (
+            F.when(doc.isNull(), F.array(fault("corrupt", none)))
+            .when(root.isNull(), F.array(fault("type", none)))
+            .otherwise(F.concat(extra, body, inside))
+        )
+
+    # Bound through a one-item array, so that the text is parsed once.
+    return F.get(F.transform(F.array(F.try_parse_json(json)), judge), F.lit(0))
+
+
+def check_union(df: DataFrame, key: Sequence[str], json_col: str, contract: Contract = CANVAS) -> DataFrame:
+    """Violations of whole documents, one row each: (key, pos, type, rule, field)."""
+    return df.select(*key, F.inline(document_faults(F.col(json_col), contract)))
 
 
 def violation_report(violations: DataFrame) -> DataFrame:

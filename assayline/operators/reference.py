@@ -7,12 +7,13 @@ Conforming is then a projection: no text is exploded or shuffled.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.colour import HEX6_PATTERN, clean_hex, contrast, luminance
-from assayline.operators.scale import hot_keys, spread_join
+from assayline.operators.scale import hot_keys, join_null_safe, spread_join
 
 # Patterns of the artifact and the roles behind its colour aliases.
 DEFINITION = r"\\definecolor\{([A-Za-z0-9_]+)\}\{HTML\}\{([0-9A-Fa-f]{3,8})\}"
@@ -123,12 +124,13 @@ def conform(
     df: DataFrame, col: str, ref_col: str, pattern: str = DEFINITION, name_group: int = 1, rewrite=definition_text
 ) -> DataFrame:
     """Replace ``col`` by its conformed text and add ``off_reference``: names without an entry,
-    distinct and sorted."""
+    distinct and sorted; none where there is no reference at all."""
     names = F.regexp_extract_all(col, F.lit(pattern), name_group)
     ref = F.coalesce(F.col(ref_col), F.create_map().cast("map<string,string>"))
     off = F.array_sort(
         F.array_distinct(F.filter(names, lambda name: ~F.map_contains_key(ref, name)))
     )
+    off = F.when((F.size(ref) == 0) & names.isNotNull(), F.array().cast("array<string>")).otherwise(off)
     return df.withColumn("off_reference", off).withColumn(
         col, conform_text(F.col(col), F.col(ref_col), pattern, name_group, rewrite)
     )
@@ -162,61 +164,88 @@ def first_in_reference(
 
 
 def first_in_reference_rows(
-    occ: DataFrame, ref_col: str, key: Sequence[str], pos: str = "pos", name: str = "name", out: str = "background"
+    occ: DataFrame,
+    keys: DataFrame,
+    ref_col: str,
+    key: Sequence[str],
+    pos: str = "pos",
+    name: str = "name",
+    out: str = "background",
 ) -> DataFrame:
-    """The same over an occurrence table: one mergeable ``min_by`` per key."""
+    """The same over an occurrence table: one mergeable ``min_by`` per key.
+
+    ``keys`` lists every key once, also those without any occurrence; they get ''.
+    """
     known = F.map_contains_key(ref_col, F.col(name))
     value = F.ltrim(F.try_element_at(ref_col, F.col(name)), F.lit("#"))
-    return occ.groupBy(*key).agg(
-        F.coalesce(F.min_by(value, F.when(known, F.col(pos))), F.lit("")).alias(out)
-    )
+    found = occ.groupBy(*key).agg(F.min_by(value, F.when(known, F.col(pos))).alias(out))
+    return join_null_safe(keys.select(*key), found, key, "left").select(*key, F.coalesce(out, F.lit("")).alias(out))
 
 
 # --- aliases -----------------------------------------------------------------
 
 
-def _aliases(colour, fallback: bool) -> list[Column]:
-    found = {a: F.nullif(clean_hex(colour(role)), F.lit("")) for a, role in ALIAS_ROLES.items()}
-    background = F.nullif(clean_hex(colour(BACKGROUND_ROLE)), F.lit(""))
-    if fallback:
-        link = found[LINK_ALIAS]
-        close = contrast(luminance(link), luminance(background)) < LINK_RATIO
-        muted = clean_hex(F.coalesce(colour(MUTED_ROLE), F.lit(LINK_DEFAULT)))
-        found[LINK_ALIAS] = F.when(link.isNotNull() & background.isNotNull() & close, muted).otherwise(link)
+@dataclass(frozen=True)
+class Aliases:
+    """Aliases with their roles, and which of them (``link``) turns to the ``muted`` role where it hardly
+    differs from the ``background`` role; no fallback without a link."""
+
+    roles: Mapping[str, str] = field(default_factory=lambda: dict(ALIAS_ROLES))
+    link: str | None = LINK_ALIAS
+    background: str = BACKGROUND_ROLE
+    muted: str = MUTED_ROLE
+    muted_default: str = LINK_DEFAULT
+    least_ratio: float = LINK_RATIO
+
+
+def _aliases(colour, aliases: Aliases, fallback: bool) -> list[Column]:
+    found = {a: F.nullif(clean_hex(colour(role)), F.lit("")) for a, role in aliases.roles.items()}
+    background = F.nullif(clean_hex(colour(aliases.background)), F.lit(""))
+    if fallback and aliases.link is not None:
+        link = found[aliases.link]
+        close = contrast(luminance(link), luminance(background)) < aliases.least_ratio
+        muted = clean_hex(F.coalesce(colour(aliases.muted), F.lit(aliases.muted_default)))
+        found[aliases.link] = F.when(link.isNotNull() & background.isNotNull() & close, muted).otherwise(link)
     return [c.alias(a) for a, c in found.items()]
 
 
-def alias_columns(df: DataFrame, colours_col: str, fallback: bool = True) -> DataFrame:
+def alias_columns(df: DataFrame, colours_col: str, fallback: bool = True, aliases: Aliases = Aliases()) -> DataFrame:
     """Add one column per alias from a palette map; empty roles give NULL. The link alias turns
     to muted when it hardly differs from the background."""
     return df.select(
-        "*", *_aliases(lambda role: F.try_element_at(colours_col, F.lit(role)), fallback)
+        "*", *_aliases(lambda role: F.try_element_at(colours_col, F.lit(role)), aliases, fallback)
     )
 
 
 def pivot_alias(
-    palette: DataFrame, by: Sequence[str], role: str = "role", value: str = "hex", fallback: bool = True
+    palette: DataFrame,
+    by: Sequence[str],
+    role: str = "role",
+    value: str = "hex",
+    fallback: bool = True,
+    aliases: Aliases = Aliases(),
 ) -> DataFrame:
     """The same from palette rows: a pivot over the fixed role list, one partial aggregate."""
-    needed = sorted({*ALIAS_ROLES.values(), BACKGROUND_ROLE, MUTED_ROLE})
+    needed = sorted({*aliases.roles.values(), aliases.background, aliases.muted})
     wide = palette.groupBy(*by).agg(
         *[F.max(F.when(F.col(role) == r, F.col(value))).alias(f"__{r}") for r in needed]
     )
-    return wide.select(*by, *_aliases(lambda r: F.col(f"__{r}"), fallback))
+    return wide.select(*by, *_aliases(lambda r: F.col(f"__{r}"), aliases, fallback))
 
 
 # --- layers and reconciliation -----------------------------------------------
 
 
 def layered(mode: str, *layers: Column) -> Column:
-    """First layer with a value. ``not_null`` asks for a value, ``truthy`` also skips zero, the
-    empty string and false."""
+    """First layer with a value. ``not_null`` asks for a value, ``truthy`` also skips a zero of any
+    numeric type, the empty string and false; the text '0' is a value."""
     if mode == "truthy":
-        text = [c.cast("string") for c in layers]
-        kept = [
-            F.when(~t.isin("", "0", "0.0", "-0.0", "false"), c) for c, t in zip(layers[:-1], text[:-1])
-        ]
-        return F.coalesce(*kept, layers[-1])
+        def held(c: Column) -> Column:
+            text = c.cast("string")
+            other = F.coalesce(text.try_cast("double") != 0, text != "false")
+            return F.when(F.when(F.typeof(c) == "string", text != "").otherwise(other), c)
+
+        return F.coalesce(*[held(c) for c in layers[:-1]], layers[-1])
     return F.coalesce(*layers)
 
 

@@ -11,8 +11,6 @@ from assayline.functions.colour import clean_hex
 from assayline.operators.reference import DEFINITION_PARTS
 from assayline.operators.scale import numbered
 
-PART_ITEMS = 100_000
-
 
 def assemble(
     df: DataFrame,
@@ -21,25 +19,26 @@ def assemble(
     text: Column,
     sep: str = "\n",
     header: str | None = None,
-    part_items: int | None = None,
+    *,
+    part_items: int,
     rows_per_slice: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join the texts of each key in ``order``: (key, part, items, text).
 
     ``header`` is a format with one ``%d`` that is put before the n-th text. Rows whose text is
-    NULL are dropped before counting. A key of more than ``part_items`` rows comes in several
-    parts; joining its parts in order with ``sep`` gives the whole text.
+    NULL are dropped before counting. Texts come in pages of ``part_items`` rows, which the caller
+    chooses; joining the parts of a key in order with ``sep`` gives the whole text.
     """
-    size = PART_ITEMS if part_items is None else part_items
     shown = df.select(*key, *order, text.alias("__text")).filter("__text IS NOT NULL")
-    lines = numbered(shown, key, order, "__n", rows_per_slice)
+    lines = numbered(shown, key, order, "__n", rows_per_slice, rows)
     if header is not None:
         body = F.concat(F.format_string(header, F.col("__n")), F.col("__text"))
     else:
         body = F.col("__text")
     items = F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), body.alias("t"))))
     return (
-        lines.withColumn("part", F.expr(f"(__n - 1) div {size}"))
+        lines.withColumn("part", F.expr(f"(__n - 1) div {part_items}"))
         .groupBy(*key, "part")
         .agg(
             F.count(F.lit(1)).alias("items"),
@@ -49,7 +48,7 @@ def assemble(
 
 
 def error_summary(blocks: DataFrame, key: Sequence[str], order: Sequence[str], block: str = "block", **sizing) -> DataFrame:
-    """Error blocks of a key as one report, each under a numbered heading."""
+    """Error blocks of a key as one report, each under a numbered heading (a fixed value)."""
     return assemble(blocks, key, order, F.col(block), "\n\n", "--- Error block %d ---\n", **sizing)
 
 

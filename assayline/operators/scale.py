@@ -1,50 +1,35 @@
 """Helpers that keep one hot key from landing in one task.
 
 ``hot_keys``      names the keys that hold a large share of the rows,
-``order_slices``  cuts the rows of those keys into slices along an ordered column,
-``running_total`` sums along an order per key, slice by slice for hot keys, and
+``in_slices``     cuts the rows of every key into slices along its order,
+``running_total`` sums along an order per key, slice by slice in large tables, and
 ``spread_join``   joins hot keys without shuffling them.
 
-Sizing a table takes one count and, on large tables, one sampled aggregate, much as a range
-partitioning does. It steers the plan only: results are the same for any list of hot keys and
-any slice bounds. Tables below the thresholds get the plain one-shuffle plan.
+Sizing a table takes one count and, for hot keys of large tables, one sampled aggregate. It
+steers the plan only: results are the same for any list of hot keys and any slice bounds.
+Tables below the thresholds get the plain one-shuffle plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from assayline.session import materialise
 
 # A key is hot above both limits, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 4000
 HOT_MIN_ROWS = 4_000_000
 SAMPLE_ROWS = 4_000_000
-# Rows that may be broadcast for the hot keys; beyond it the shuffled join takes all keys.
+# Rows, and bytes of them as JSON, that may be broadcast for the hot keys; beyond either the
+# shuffled join takes all keys.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 32 << 20
 SAMPLE_SEED = 17
 
-QUANTILES = 128
-STEPS_PER_QUANTILE = 64
-
-
-def _as_number(name: str, kind: T.DataType) -> Column:
-    """A double that never decreases as the column grows."""
-    col = F.col(name)
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(col, "utf-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        # Counted from its fields: a cast would go through the session's time zone and its gaps.
-        clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.expr(f"extract(SECOND FROM `{name}`)")
-        return F.unix_date(col.cast("date")).cast("double") * 86400 + clock.cast("double")
-    return col.cast("double")
+SLICE = "__slice"
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -56,103 +41,45 @@ def _among(keys: Sequence[str], hashes: Sequence[int]) -> Column:
     return F.expr(f"xxhash64({names}) IN ({', '.join(map(str, hashes))})")
 
 
-def _hot_sample(
-    df: DataFrame, keys: Sequence[str], columns: dict[str, Column], least: int, part: float
-) -> tuple[DataFrame | None, dict[int, int]]:
-    """A sample of key hashes ``h`` and ``columns``, and the estimated rows of each hot key.
-
-    Small tables cost one count. Larger ones are counted per key on about ``SAMPLE_ROWS`` rows.
-    """
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], min_rows: int | None = None, share: float | None = None
+) -> list[int]:
+    """Hashes of the keys with more than ``min_rows`` rows and more than ``share`` of all rows:
+    at most ``1 / share`` of them."""
+    least = HOT_MIN_ROWS if min_rows is None else min_rows
+    part = HOT_SHARE if share is None else share
     rows = df.count()
     if rows <= least:
-        return None, {}
+        return []
     rate = min(1.0, SAMPLE_ROWS / rows)
-    slim = df.select(key_hash(keys).alias("h"), *[c.alias(n) for n, c in columns.items()])
+    slim = df.select(key_hash(keys).alias("h"))
     sample = slim if rate == 1.0 else slim.sample(rate, seed=SAMPLE_SEED)
     found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(least, rows * part) * rate)
     # The least BIGINT has no literal; leaving that one key out only changes the plan.
-    return sample, {r["h"]: int(r["n"] / rate) for r in found.collect() if r["h"] != -(2**63)}
+    return sorted(r["h"] for r in found.collect() if r["h"] != -(2**63))
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], min_rows: int | None = None, share: float | None = None
-) -> list[int]:
-    """Hashes of the keys with more than ``min_rows`` rows and more than ``share`` of all rows:
-    at most ``1 / share`` of them."""
-    least = HOT_MIN_ROWS if min_rows is None else min_rows
-    return sorted(_hot_sample(df, keys, {}, least, HOT_SHARE if share is None else share)[1])
-
-
-@dataclass(frozen=True)
-class Slices:
-    """Slice number of a row: 0 for other keys; for hot keys the quantile interval of the order
-    column and an equal-width step inside it."""
-
-    keys: tuple[str, ...]
-    column: str
-    kind: T.DataType
-    hot: tuple[int, ...] = field(default=())
-    bounds: tuple[float, ...] = field(default=())
-    steps: int = 1
-
-    @property
-    def is_cut(self) -> bool:
-        return len(self.bounds) > 1
-
-    def is_hot(self) -> Column:
-        return _among(self.keys, self.hot)
-
-    def add(self, df: DataFrame, name: str) -> DataFrame:
-        """Add the slice number as ``name``; it never decreases along the order column of a key."""
-        if not self.is_cut:
-            return df.withColumn(name, F.lit(0))
-        value = F.coalesce(_as_number(self.column, self.kind), F.lit(self.bounds[0]))
-        left = ",".join(f"{b!r}D" for b in self.bounds[:-1])
-        width = ",".join(f"{b - a!r}D" for a, b in zip(self.bounds, self.bounds[1:]))
-        step = f"floor((__x - get(array({left}), __q)) / get(array({width}), __q) * {self.steps})"
-        number = f"__q * {self.steps} + greatest(0, least({self.steps - 1}, {step}))"
-        # One column per step, so that each is evaluated once per row.
-        return (
-            df.withColumn("__x", F.when(self.is_hot(), value))
-            .withColumn("__q", F.expr(self._search(0, len(self.bounds) - 2)))
-            .withColumn(name, F.when(F.col("__x").isNull(), 0).otherwise(F.expr(number)).cast("int"))
-            .drop("__x", "__q")
-        )
-
-    def _search(self, low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        mid = (low + high) // 2
-        return (
-            f"CASE WHEN __x < {self.bounds[mid + 1]!r}D THEN {self._search(low, mid)}"
-            f" ELSE {self._search(mid + 1, high)} END"
-        )
-
-
-def order_slices(
-    df: DataFrame, keys: Sequence[str], column: str, rows_per_slice: int | None = None
-) -> Slices:
-    """Plan slices for the keys of ``df`` that hold more than ``rows_per_slice`` rows.
-
-    Bounds are quantiles of ``column`` over all hot rows, so no slice of a key holds more than
-    about 1/128 of them, and far less where values spread evenly between two quantiles.
+def in_slices(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows_per_slice: int | None = None,
+    rows: int | None = None,
+) -> DataFrame | None:
+    """``df`` with a slice number that never decreases along ``order`` in a key; None for a table of
+    at most ``rows_per_slice`` rows, in which no key can be larger.
+
+    Rows are dealt by ranges of the whole tuple of keys and order, whatever its types, to twice the
+    number of slices that the rows ask for: bounds come from a sample, and slices may turn out
+    uneven. A key of any size is cut wherever a bound falls into it. The result is written, so that
+    every reader sees the same bounds. ``rows`` is a known upper bound that saves counting ``df``.
     """
     per_slice = HOT_MIN_ROWS if rows_per_slice is None else rows_per_slice
-    kind = df.schema[column].dataType
-    plain = Slices(tuple(keys), column, kind)
-    sample, hot = _hot_sample(df, keys, {"x": _as_number(column, kind)}, per_slice, HOT_SHARE)
-    if not hot:
-        return plain
-    points = [i / QUANTILES for i in range(QUANTILES + 1)]
-    among = F.expr(f"h IN ({', '.join(map(str, hot))})")
-    quantiles = sample.filter(among).agg(F.percentile_approx("x", points, F.lit(10_000)).alias("q")).first()["q"]
-    if not quantiles:
-        return plain
-    wanted = -(-sum(hot.values()) // per_slice)
-    every = max(1, QUANTILES // min(wanted, QUANTILES))
-    bounds = sorted({*quantiles[::every], quantiles[-1]})
-    steps = min(STEPS_PER_QUANTILE, -(-wanted // QUANTILES))
-    return Slices(tuple(keys), column, kind, tuple(sorted(hot)), tuple(bounds), steps)
+    held = df.count() if rows is None else rows
+    if held <= per_slice:
+        return None
+    dealt = df.repartitionByRange(-(-2 * held // per_slice), *keys, *order)
+    return materialise(dealt.withColumn(SLICE, F.spark_partition_id()))
 
 
 def running_total(
@@ -161,34 +88,30 @@ def running_total(
     order: Sequence[str],
     totals: dict[str, Column],
     rows_per_slice: int | None = None,
-    slices: Slices | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per key along ``order`` (which must be unique per key).
 
-    For a hot key each slice is its own window, and a carry row brings in the sum of the slices
-    before it, so no task holds more than one slice of a key. ``slices`` measured on a cheaper
-    table with the same columns saves computing ``df`` once more to measure it.
+    In a large table each slice of a key is its own window, and a carry row brings in the sum of
+    the slices before it, so no task holds more than one slice of a key.
     """
-    slices = slices or order_slices(df, keys, order[0], rows_per_slice)
     valued = df.select("*", *[c.alias(f"__v_{n}") for n, c in totals.items()])
-    if not slices.is_cut:
+    sliced = in_slices(valued, keys, order, rows_per_slice, rows)
+    if sliced is None:
         window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return valued.select(*df.columns, *[F.sum(f"__v_{n}").over(window).alias(n) for n in totals])
 
-    sliced = slices.add(valued, "__slice")
-    before = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     carry = (
-        sliced.filter(slices.is_hot())
-        .groupBy(*keys, "__slice")
+        sliced.groupBy(*keys, SLICE)
         .agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in totals])
-        .select(*keys, "__slice", *[F.sum(f"__s_{n}").over(before).alias(f"__v_{n}") for n in totals])
+        .select(*keys, SLICE, *[F.sum(f"__s_{n}").over(before).alias(f"__v_{n}") for n in totals])
+        .filter(F.coalesce(*[F.col(f"__v_{n}") for n in totals]).isNotNull())
     )
     both = sliced.withColumn("__row", F.lit(1)).unionByName(
         carry.withColumn("__row", F.lit(0)), allowMissingColumns=True
     )
-    window = (
-        W.partitionBy(*keys, "__slice").orderBy("__row", *order).rowsBetween(W.unboundedPreceding, 0)
-    )
+    window = W.partitionBy(*keys, SLICE).orderBy("__row", *order).rowsBetween(W.unboundedPreceding, 0)
     summed = both.select("*", *[F.sum(f"__v_{n}").over(window).alias(n) for n in totals])
     return summed.filter("__row = 1").select(*df.columns, *totals)
 
@@ -199,10 +122,10 @@ def numbered(
     order: Sequence[str],
     name: str = "line_no",
     rows_per_slice: int | None = None,
-    slices: Slices | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Dense 1-based row numbers per key along a unique ``order``."""
-    return running_total(df, keys, order, {name: F.lit(1).cast("bigint")}, rows_per_slice, slices)
+    return running_total(df, keys, order, {name: F.lit(1).cast("bigint")}, rows_per_slice, rows)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -240,7 +163,9 @@ def spread_join(
         return join(big, small)
     is_hot = _among(on, hot)
     held = small.filter(is_hot)
-    if held.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    written = F.octet_length(F.to_json(F.struct(F.col("*"))))
+    size = held.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(written).alias("b")).first()
+    if size["n"] > BROADCAST_ROWS or (size["b"] or 0) > BROADCAST_BYTES:
         return join(big, small)
     spread = join(big.filter(is_hot), F.broadcast(held))
     return spread.unionByName(join(big.filter(~is_hot), small.filter(~is_hot)))

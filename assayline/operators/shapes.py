@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.colour import full_hex, is_hex
-from assayline.operators.scale import Slices, numbered, order_slices, spread_join
+from assayline.operators.scale import numbered, spread_join
 
 # Grid kinds with the sizes each needs, and the colour rule used when none fits.
 GRID_SIZES = {"circle_grid": ("radius",), "rect_grid": ("width", "height")}
+# Most cells along an axis.
+GRID_MOST = 30
 DEFAULT_RULE = "checker"
 
 
@@ -23,17 +24,19 @@ def first_seen_dictionary(
     order: Sequence[str],
     name: str = "id",
     rows_per_slice: int | None = None,
-    slices: Slices | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Distinct values per group with dense 0-based ids in the order they were first met."""
+    """Distinct values per group with dense 0-based ids in the order they were first met.
+
+    ``rows`` is a known upper bound on the rows of ``df`` that saves counting them.
+    """
     seen = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.min(F.struct(*order)).alias("__first"))
         .select(*group, value, *[F.col(f"__first.{c}").alias(f"__o_{c}") for c in order])
     )
-    cut = replace(slices or order_slices(df, group, order[0], rows_per_slice), column=f"__o_{order[0]}")
-    ids = numbered(seen, group, [*[f"__o_{c}" for c in order], value], "__n", slices=cut)
+    ids = numbered(seen, group, [*[f"__o_{c}" for c in order], value], "__n", rows_per_slice, rows)
     return ids.select(*group, value, (F.col("__n") - 1).alias(name))
 
 
@@ -44,11 +47,11 @@ def encode_first_seen(
     order: Sequence[str],
     name: str = "id",
     rows_per_slice: int | None = None,
-    slices: Slices | None = None,
+    rows: int | None = None,
     **sizing,
 ) -> DataFrame:
     """Add the dictionary id of ``value`` to every row, NULL for NULL values."""
-    words = first_seen_dictionary(df, group, value, order, name, rows_per_slice, slices)
+    words = first_seen_dictionary(df, group, value, order, name, rows_per_slice, rows)
     return spread_join(df, words, [*group, value], "left", null_safe=True, **sizing)
 
 
@@ -77,22 +80,19 @@ def expand_grid(df: DataFrame) -> DataFrame:
     stagger, radius, width, height``; other columns are carried along.
     """
     kind = F.col("pattern_type")
-    reason = F.when(kind.isNull() | ~kind.isin(*GRID_SIZES), F.concat(F.lit("unknown pattern: "), F.coalesce(kind, F.lit("null"))))
+    reason = F.when(kind.isNull() | ~kind.isin(*GRID_SIZES), F.concat(F.lit("unknown_type: "), F.coalesce(kind, F.lit("null"))))
     for name, sizes in GRID_SIZES.items():
-        lacking = F.lit(False)
-        for size in sizes:
-            lacking = lacking | F.col(size).isNull()
-        reason = reason.when((kind == name) & lacking, F.lit(f"{name} requires {' and '.join(sizes)}"))
+        lacking = F.concat_ws(", ", *[F.when(F.col(size).isNull(), size) for size in sizes])
+        reason = reason.when((kind == name) & (lacking != ""), F.concat(F.lit("needed: "), lacking))
     empty = F.coalesce((F.col("rows") < 1) | (F.col("cols") < 1) | (F.size("colors") < 1), F.lit(True))
-    reason = reason.when(empty, F.lit("empty grid"))
-
-    checked = df.withColumn("reject_reason", reason)
-    cells = F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)
-    cell = checked.select(
-        "*", F.explode_outer(F.when(F.col("reject_reason").isNull(), cells)).alias("__cell")
-    ).withColumn("row", F.floor(F.col("__cell") / F.col("cols")).cast("int")).withColumn(
-        "col", (F.col("__cell") % F.col("cols")).cast("int")
-    )
+    beyond = (F.col("rows") > GRID_MOST) | (F.col("cols") > GRID_MOST)
+    reason = reason.when(empty, F.lit("items: rows, cols, colors")).when(beyond, F.lit("range: rows, cols"))
+
+    cell = df.withColumn("reject_reason", reason)
+    # One axis at a time; a faulty grid has neither.
+    for axis, size in (("row", "rows"), ("col", "cols")):
+        steps = F.when(F.col("reject_reason").isNull(), F.sequence(F.lit(0), F.col(size).cast("int") - 1))
+        cell = cell.select("*", F.explode_outer(steps).alias(axis))
     rule = F.coalesce(F.col("color_rule"), F.lit(DEFAULT_RULE))
     turn = (
         F.when(rule == "row", F.col("row"))
@@ -106,7 +106,6 @@ def expand_grid(df: DataFrame) -> DataFrame:
         .withColumn("y", F.col("y_start") + F.col("row") * F.col("y_step"))
         .withColumn("colour_index", F.when(F.col("row").isNotNull(), F.pmod(turn, F.size("colors"))))
         .withColumn("colour", F.try_element_at("colors", F.col("colour_index") + 1))
-        .drop("__cell")
     )
 
 
@@ -146,6 +145,7 @@ def normalise_bbox(
 
 
 def height_scale(wanted: Column, native: Column, default: float = 3.0) -> Column:
-    """Scale of a placed shape: wanted over native height; no or zero wanted height means 1."""
+    """Scale of a placed shape: wanted over native height; no or zero wanted height means 1, and a
+    native height of zero leaves no scale (NULL)."""
     known = F.coalesce(native, F.lit(default))
-    return F.when(F.coalesce(wanted, F.lit(0.0)) != 0, wanted / known).otherwise(1.0)
+    return F.when(F.coalesce(wanted, F.lit(0.0)) != 0, F.try_divide(wanted, known)).otherwise(1.0)

@@ -177,12 +177,14 @@ def error_blocks(
     k: int = CONTEXT_LINES,
     dedup: bool = True,
     placeholder: bool = True,
+    keys: DataFrame | None = None,
     **folding,
 ) -> DataFrame:
     """Error blocks of numbered log lines: (key, start_line, trigger_text, block).
 
     Blocks with the same stripped first line in one key are kept once, the first; they still
-    cover their lines. A key without any trigger yields one placeholder row.
+    cover their lines. A key without any trigger yields one placeholder row; ``keys`` lists
+    all keys once, so that logs without a line are among them.
     """
     opens = error_line(line) if trigger is None else trigger
     starts = window_starts(lines, key, line_no, opens, k, **folding)
@@ -195,12 +197,10 @@ def error_blocks(
     if dedup:
         blocks = first_occurrence(blocks, key, ["trigger_text"], ["start_line"])
     if placeholder:
-        quiet = (
-            lines.groupBy(*key)
-            .agg(F.max(F.coalesce(opens, F.lit(False))).alias("__any"))
-            .filter("NOT __any")
-            .select(*key, F.lit(NO_ERROR_TEXT).alias("block"))
-        )
+        heard = lines.groupBy(*key).agg(F.max(F.coalesce(opens, F.lit(False))).alias("__any"))
+        if keys is not None:
+            heard = join_null_safe(keys.select(*key), heard, key, "left")
+        quiet = heard.filter("NOT coalesce(__any, false)").select(*key, F.lit(NO_ERROR_TEXT).alias("block"))
         blocks = blocks.unionByName(quiet, allowMissingColumns=True)
     return blocks
 

@@ -25,7 +25,7 @@ from assayline.operators.reference import (
 )
 from assayline.operators.scale import hot_keys, spread_join
 from assayline.operators.shapes import height_scale
-from assayline.operators.tone import TINTS, classify_tone, preferred
+from assayline.operators.tone import TINTS, classify_tone, preferred, variant_or
 from assayline.sources.writers import compose
 
 # Stand-ins for what a brand leaves out, and the names of the text colours.
@@ -55,21 +55,30 @@ def resolved_requests(responses: DataFrame, **slicing) -> DataFrame:
     )
 
 
+def _has_palette() -> Column:
+    """Whether the row's brand has colours; a brand with an empty map is treated as none."""
+    return F.coalesce(F.size("colors") > 0, F.lit(False))
+
+
 def _preamble() -> Column:
-    """Colour definitions of a branded artifact; NULL without a brand."""
+    """Colour definitions of a branded artifact; NULL without a palette."""
     aliases = [F.when(F.col(a).isNotNull(), definition_text(F.lit(a), F.col(a))) for a in ALIAS_ROLES]
     texts = [definition_text(F.lit(name), F.col(column)) for column, name in TEXT_COLOURS.items()]
     series = F.when(
         F.coalesce(F.col("series"), F.lit("")) != "",
         F.concat(F.lit("\\renewcommand{\\BookSeries}{"), F.col("series"), F.lit("}")),
     )
-    head = F.concat(F.lit("% === Brand preamble: "), F.coalesce("company", "brand"), F.lit(" ==="))
-    lines = F.array_compact(F.array(head, *aliases, *texts, series, F.lit("% === end brand preamble ===")))
-    return F.when(F.col("colors").isNotNull(), F.concat(F.array_join(lines, "\n"), F.lit("\n")))
+    head = F.concat(F.lit("% Colours of "), F.coalesce("company", "brand"))
+    lines = F.array_compact(F.array(head, *aliases, *texts, series, F.lit("% End of the brand's colours")))
+    return F.when(_has_palette(), F.concat(F.array_join(lines, "\n"), F.lit("\n")))
 
 
 def conform_requests(requests: DataFrame, brands: DataFrame, comment: str = "Auto-generated", **sizing) -> DataFrame:
-    """Finish resolved requests against ``brands`` (one row per brand)."""
+    """Finish resolved requests against ``brands`` (one row per brand).
+
+    Colours, placed logo, tone and preamble need a brand with colours; without one (also where the
+    brand is '') the block stays as it is.
+    """
     checked = load_reference(brands, "colors").select(
         "brand", "company", "series", "colors", "logos", "logo_height_cm", "logo_position",
         F.col("reject_reason").alias("__brand_fault"), F.lit(True).alias("__listed"),
@@ -79,7 +88,7 @@ def conform_requests(requests: DataFrame, brands: DataFrame, comment: str = "Aut
     reasoned = owned.withColumn(
         "reject_reason",
         F.when(F.col("outcome") != "ok", failed)
-        .when(F.col("brand").isNotNull() & F.col("__listed").isNull(), "unknown brand")
+        .when((F.col("brand") != "") & F.col("__listed").isNull(), "unknown brand")
         .otherwise(F.col("__brand_fault")),
     )
     usable = F.when(F.col("reject_reason").isNull(), F.col("last_payload"))
@@ -90,11 +99,15 @@ def conform_requests(requests: DataFrame, brands: DataFrame, comment: str = "Aut
         return F.try_element_at("colors", F.lit(name))
 
     under_logo = F.coalesce(F.try_element_at("colors", F.col("placement.bg")), role(BACKGROUND_ROLE), F.lit(GREY))
-    branded = F.col("colors").isNotNull() & F.col("reject_reason").isNull()
-    placed = conformed.withColumns(
+    accepted = F.col("reject_reason").isNull()
+    branded = _has_palette() & accepted
+    scale = height_scale(F.col("placement.height"), F.col("logo_height_cm"))
+    sized = conformed.withColumn("scale", F.when(branded, scale)).withColumn(
+        "reject_reason", F.when(branded & F.col("scale").isNull(), "no native height").otherwise(F.col("reject_reason"))
+    )
+    placed = sized.withColumns(
         {
             "variant": F.when(branded, preferred(luminance(under_logo), F.map_keys("logos"))),
-            "scale": F.when(branded, height_scale(F.col("placement.height"), F.col("logo_height_cm"))),
             "logo_at": F.when(F.col("placement").isNotNull(), F.array("placement.x", "placement.y")).otherwise(
                 F.coalesce("logo_position", F.array(*[F.lit(v) for v in LOGO_POSITION]))
             ),
@@ -105,8 +118,10 @@ def conform_requests(requests: DataFrame, brands: DataFrame, comment: str = "Aut
     )
     toned = alias_columns(classify_tone(placed, "__ground", "__light", "__muted"), "colors")
     validated = validate_rules(toned, cover_rules("block"))
-    note = F.coalesce(F.concat(F.lit(f"{comment} (brand: "), F.col("brand"), F.lit(")")), F.lit(comment))
-    artifact = F.when(F.col("reject_reason").isNull(), compose(note, _preamble(), F.col("block")))
+    named = F.nullif("brand", F.lit(""))
+    note = F.coalesce(F.concat(F.lit(f"{comment} (brand: "), named, F.lit(")")), F.lit(comment))
+    logos = F.coalesce(F.map_keys("logos"), F.array().cast("array<string>"))
+    artifact = F.when(accepted, compose(note, _preamble(), F.col("block")))
     return validated.select(
         "request_id",
         "brand",
@@ -115,19 +130,21 @@ def conform_requests(requests: DataFrame, brands: DataFrame, comment: str = "Aut
         "winner",
         "reject_reason",
         F.when(F.col("reject_reason").isNotNull(), F.col("last_payload")).alias("rejected_payload"),
-        "off_reference",
+        F.when(accepted, F.col("off_reference")).alias("off_reference"),
         "placement",
         "logo_at",
         "variant",
+        F.when(branded, variant_or("alt", logos, F.col("variant"))).alias("footer_variant"),
+        F.when(branded, variant_or("dark", logos, F.col("variant"))).alias("watermark_variant"),
         "scale",
-        "background",
+        F.when(accepted, F.col("background")).otherwise(F.lit("")).alias("background"),
         F.when(branded, F.col("tone")).alias("tone"),
-        F.when(F.col("reject_reason").isNull(), F.col("warnings")).alias("warnings"),
+        F.when(accepted, F.col("warnings")).alias("warnings"),
         artifact.alias("artifact"),
     )
 
 
 def conform_responses(responses: DataFrame, brands: DataFrame, comment: str = "Auto-generated", **slicing) -> DataFrame:
     """The whole job: (request_id, brand, attempt, model, raw, error) to one row per request."""
-    hot = hot_keys(responses, ["brand"])
+    hot = hot_keys(responses.select("brand"), ["brand"])
     return conform_requests(resolved_requests(responses, **slicing), brands, comment, hot=hot)

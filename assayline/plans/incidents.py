@@ -47,8 +47,9 @@ def incident_counts(windows: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def log_reports(lines: DataFrame, key: Sequence[str], **folding) -> DataFrame:
-    """One report per log: its distinct error blocks under numbered headings."""
-    blocks = materialise(error_blocks(lines, key, **folding))
+def log_reports(lines: DataFrame, key: Sequence[str], part_items: int, keys: DataFrame | None = None, **folding) -> DataFrame:
+    """One report per log, in pages of ``part_items`` blocks: its distinct error blocks under numbered
+    headings. ``keys`` lists all logs, so that one without lines gets its placeholder."""
+    blocks = materialise(error_blocks(lines, key, keys=keys, **folding))
     placed = blocks.withColumn("at", F.coalesce(F.col("start_line"), F.lit(0)))
-    return error_summary(placed, key, ["at"])
+    return error_summary(placed, key, ["at"], part_items=part_items)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.text import pascal_case
 from assayline.operators.reference import manifest_status, reconcile_maps
-from assayline.operators.scale import hot_keys, order_slices, spread_join
+from assayline.operators.scale import HOT_MIN_ROWS, hot_keys, spread_join
 from assayline.operators.shapes import encode_first_seen, fill_colour, normalise_bbox
 from assayline.session import materialise
 
@@ -40,19 +40,22 @@ def logo_shapes(manifest: DataFrame, shapes: DataFrame, **sizing) -> DataFrame:
 
     All shapes shape the box; only filled ones are kept, each with the ``colour_id`` of its fill
     in order of first use. A variant without a usable box or fill keeps its shapes with a
-    ``reject_reason``.
+    ``reject_reason``, and one without any shape gives one row with it. A file belongs to one
+    variant, so ``shapes`` itself bounds the sizes of all steps.
     """
     wanted = manifest.filter("status = 'ok'").select("brand", "key", "macro", "height", F.col("source").alias("file"))
-    group = ["brand", "key"]
+    wanted = materialise(wanted)
+    group, rows = ["brand", "key"], shapes.count()
     drawn = spread_join(shapes, wanted, ["file"], "inner", **sizing).withColumn("colour", fill_colour(F.col("fill")))
-    # Sized once here; the steps below keep the groups.
-    slices = order_slices(drawn, group, "pos")
-    boxed = normalise_bbox(
-        drawn, group, *BOX, F.col("height"), also={"__filled": F.count("colour")}, hot=list(slices.hot)
-    )
+    small = rows <= HOT_MIN_ROWS
+    hot = [] if small else hot_keys(drawn, group)
+    boxed = normalise_bbox(drawn, group, *BOX, F.col("height"), also={"__filled": F.count("colour")}, hot=hot)
     judged = boxed.withColumn(
         "reject_reason", F.coalesce("reject_reason", F.when(F.col("__filled") == 0, F.lit("no filled shape")))
     )
     kept = materialise(judged.filter("reject_reason IS NOT NULL OR colour IS NOT NULL").drop("__filled"))
-    hot = hot_keys(drawn, [*group, "colour"]) if slices.hot else []
-    return encode_first_seen(kept, group, "colour", ["pos"], "colour_id", slices=slices, hot=hot)
+    coded = encode_first_seen(
+        kept, group, "colour", ["pos"], "colour_id", rows=rows, hot=[] if small else hot_keys(kept, [*group, "colour"])
+    )
+    bare = wanted.join(shapes.select("file").distinct(), ["file"], "left_anti")
+    return coded.unionByName(bare.withColumn("reject_reason", F.lit("no bounding box")), allowMissingColumns=True)

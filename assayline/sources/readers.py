@@ -47,6 +47,11 @@ def read_brands(spark: SparkSession, root: str, file_name: str = "brand.json") -
     return brands.withColumn("brand", parent_name(F.col("file")))
 
 
+def read_log_names(spark: SparkSession, path: str) -> DataFrame:
+    """Every log file once, empty ones included: (file)."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+
+
 def read_log_lines(spark: SparkSession, path: str, rows_per_slice: int | None = None) -> DataFrame:
     """Numbered lines of log files of any size: (file, line_no, line).
 

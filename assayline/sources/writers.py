@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 def compose(comment: Column, *sections: Column) -> Column:
     """Header line, then the sections that are there, then a final newline."""
-    header = F.concat(F.lit("% "), comment, F.lit(" - DO NOT EDIT MANUALLY\n"))
+    header = F.concat(F.lit("% "), comment, F.lit(" - generated, edits will be lost\n"))
     return F.concat(header, *[F.coalesce(s, F.lit("")) for s in sections], F.lit("\n"))
 
 
 def write_artifacts(df: DataFrame, path: str, by: Sequence[str] = ("brand",), mode: str = "overwrite") -> None:
-    """Artifacts as Parquet, partitioned. Spark sizes the files by the incoming partitions, so a
-    large brand is written by many tasks."""
-    df.write.mode(mode).partitionBy(*by).parquet(path)
+    """Artifacts as Parquet, partitioned. Rows are rebalanced by the partition columns first: small
+    brands give one file each, and a large brand is split over many tasks. Overwriting replaces the
+    brands at hand and leaves others alone."""
+    whole = df.hint("rebalance", *by)
+    whole.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def append_responses(df: DataFrame, path: str) -> None:

@@ -157,7 +157,7 @@ _LOG_SQL = (
             FROM st JOIN ln ON ln.doc_id = st.doc_id AND ln.n BETWEEN st.n AND st.n + 2 GROUP BY ALL),
     f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, trigger_text ORDER BY start_line) = 1),
     p AS (SELECT doc_id, start_line, trigger_text, block FROM f
-          UNION ALL SELECT DISTINCT doc_id, NULL, NULL, '[no structured error pattern found in log]' FROM ln
+          UNION ALL SELECT DISTINCT doc_id, NULL, NULL, '[no structured error pattern found in log]' FROM documents
           WHERE doc_id NOT IN (SELECT doc_id FROM tr))
     """
 )
@@ -168,7 +168,8 @@ _LOG_SQL = (
     _LOG_SQL + "SELECT doc_id, start_line, md5(trigger_text) AS trigger_digest, md5(block) AS digest FROM p",
 )
 def log_blocks(t):
-    blocks = windows.error_blocks(document_lines(t), ["doc_id"], trigger=F.col("line").rlike("^[TE]"), k=3)
+    opens = F.col("line").rlike("^[TE]")
+    blocks = windows.error_blocks(document_lines(t), ["doc_id"], trigger=opens, k=3, keys=t.documents.select("doc_id"))
     return blocks.select(
         "doc_id", "start_line", F.md5("trigger_text").alias("trigger_digest"), F.md5("block").alias("digest")
     )
@@ -185,7 +186,7 @@ def log_blocks(t):
     """,
 )
 def log_reports_by_document(t):
-    reports = log_reports(document_lines(t), ["doc_id"], trigger=F.col("line").rlike("^[TE]"), k=3)
+    reports = log_reports(document_lines(t), ["doc_id"], 100_000, t.documents.select("doc_id"), trigger=F.col("line").rlike("^[TE]"), k=3)
     return reports.select("doc_id", "part", "items", F.md5("text").alias("digest"))
 
 

@@ -9,19 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayline.functions.text import rounded
 from assayline.operators.blocks import COVER_MARKER
-from assayline.operators.contract import canvas_elements
-from assayline.plans.canvas import canvas_listing, colour_definitions, colour_names, judged_documents
+from assayline.plans.canvas import accepted_elements, canvas_cells, canvas_listing, colour_definitions, colour_names, judged_documents
 from assayline.plans.covers import conform_responses, resolved_requests
 from assayline.plans.logos import logo_manifest, logo_shapes
 from assayline.workload.registry import ROLES, luminance_sql, palette_rows_sql, part_palette, query
 from assayline.workload.text_queries import CANVAS_FAULT_SQL, canvas_documents
 
+# Items on a page of assembled text.
+PAGE = 100_000
+
 MACROS = "\\BookTitle \\BookSubtitle \\BookDescription \\BookAuthor \\BookDate"
 FILL = "\\fill[{}] (-1,-1) rectangle (22,31);"
 
 _RESPONSES_SQL = f"""
-    SELECT l_orderkey AS request_id, CASE l_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'none' ELSE 'b' || l_orderkey // 8 END AS brand,
+    SELECT l_orderkey AS request_id, CASE l_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN '' ELSE 'b' || l_orderkey // 8 END AS brand,
            l_linenumber * 100000000000 + l_partkey AS attempt, 'm' || l_linenumber AS model,
            CASE l_partkey % 12 WHEN 0 THEN '503 UNAVAILABLE' WHEN 1 THEN 'over quota' WHEN 2 THEN '401 bad key' WHEN 6 THEN 'boom' END AS error,
            CASE WHEN l_partkey % 12 IN (0, 1, 2, 6) THEN NULL WHEN l_partkey % 12 = 3 THEN '' WHEN l_partkey % 12 = 5 THEN 'prose'
@@ -56,9 +59,8 @@ def responses(t):
         F.when(turn == 4, "").otherwise("}"),
     )
     error = F.when(turn == 0, "503 UNAVAILABLE").when(turn == 1, "over quota").when(turn == 2, "401 bad key").when(turn == 6, "boom")
-    brand = F.when(F.col("l_orderkey") % 10 == 1, "none").when(
-        F.col("l_orderkey") % 10 != 0, F.concat(F.lit("b"), F.expr("l_orderkey div 8"))
-    )
+    order = F.col("l_orderkey") % 10
+    brand = F.when(order == 1, "none").when(order == 2, "").when(order != 0, F.concat(F.lit("b"), F.expr("l_orderkey div 8")))
     return t.lineitem.select(
         F.col("l_orderkey").alias("request_id"),
         brand.alias("brand"),
@@ -81,9 +83,10 @@ def brands(t):
         F.concat(F.lit("b"), F.col("p_partkey")).alias("brand"),
         F.col("p_name").alias("company"),
         F.col("p_type").alias("series"),
-        part_palette().alias("colors"),
+        # Some brands are listed without colours, some with a native height of zero.
+        F.when(F.col("p_partkey") % 19 == 0, F.create_map().cast("map<string,string>")).otherwise(part_palette()).alias("colors"),
         logos.alias("logos"),
-        F.when(F.col("p_size") % 3 != 0, 1.5).alias("logo_height_cm"),
+        F.when(F.col("p_partkey") % 23 == 0, 0.0).when(F.col("p_size") % 3 != 0, 1.5).alias("logo_height_cm"),
         F.lit(None).cast("array<double>").alias("logo_position"),
     )
 
@@ -115,35 +118,39 @@ def resolved(t):
 _LUM = luminance_sql("h")
 _COVER_SQL = f"""
     WITH {_CHAIN_SQL},
-    pr AS ({palette_rows_sql()}),
+    pr AS (SELECT * FROM ({palette_rows_sql()}) WHERE p_partkey % 19 <> 0),
     pw AS (SELECT p_partkey, {", ".join(f"max(substr(hex, 2)) FILTER (WHERE role = '{x}') AS {x}" for x in ROLES)},
                   'invalid values: ' || string_agg(role || '=' || hex, ', ' ORDER BY role)
                       FILTER (WHERE NOT regexp_matches(hex, '^#?[0-9A-Fa-f]{{6}}$')) AS fault
            FROM pr GROUP BY p_partkey),
-    b AS (SELECT 'b' || p.p_partkey AS brand, p.p_size, pw.* EXCLUDE (p_partkey) FROM part p LEFT JOIN pw USING (p_partkey)),
+    b AS (SELECT 'b' || p.p_partkey AS brand, p.p_size, pw.p_partkey AS coloured, p.p_partkey % 23 = 0 AS flat,
+                 pw.* EXCLUDE (p_partkey) FROM part p LEFT JOIN pw USING (p_partkey)),
     j AS (SELECT q.*, b.* EXCLUDE (brand), b.brand AS listed,
-                 CASE WHEN outcome <> 'ok' THEN outcome || ': no complete block' WHEN q.brand IS NOT NULL AND b.brand IS NULL THEN 'unknown brand'
-                      ELSE fault END AS reject_reason
+                 CASE WHEN outcome <> 'ok' THEN outcome || ': no complete block' WHEN q.brand <> '' AND b.brand IS NULL THEN 'unknown brand'
+                      WHEN fault IS NOT NULL THEN fault
+                      WHEN coloured IS NOT NULL AND flat AND p % 4 = 0 THEN 'no native height' END AS reject_reason
           FROM q LEFT JOIN b ON b.brand = q.brand),
-    f AS (SELECT *, reject_reason IS NULL AND listed IS NOT NULL AS branded, reject_reason IS NULL AS taken FROM j),
+    f AS (SELECT *, reject_reason IS NULL AND coloured IS NOT NULL AS branded, reject_reason IS NULL AS taken FROM j),
     g AS (SELECT *, CASE WHEN NOT branded THEN '' WHEN p % 3 = 0 THEN coalesce(light, '') WHEN p % 3 = 1 THEN coalesce(neutral, '') ELSE '' END AS background,
                  CASE WHEN branded THEN coalesce(CASE p % 4 WHEN 0 THEN light WHEN 1 THEN accent_1 END, bg_primary, '808080') END AS under FROM f),
     l AS (SELECT *, (SELECT {_LUM} FROM (SELECT under AS h)) AS logo_lum,
                  (SELECT {_LUM} FROM (SELECT CASE WHEN branded THEN coalesce(nullif(background, ''), bg_primary) END AS h)) AS ground_lum,
                  list_filter(['dark', 'light', 'alt'], lambda v: CASE v WHEN 'dark' THEN p_size % 2 = 1
                      WHEN 'light' THEN p_size // 2 % 2 = 1 ELSE p_size // 4 % 2 = 1 END) AS avail FROM g)
-    SELECT request_id, outcome, attempts, winner, reject_reason,
-           CASE WHEN NOT taken THEN NULL WHEN NOT branded OR light IS NULL THEN 'light own' ELSE 'own' END AS off_reference,
-           CASE WHEN branded THEN coalesce(list_filter(CASE WHEN logo_lum < 0.35 THEN ['dark', 'alt', 'light']
+    , o AS (SELECT *, CASE WHEN branded THEN coalesce(list_filter(CASE WHEN logo_lum < 0.35 THEN ['dark', 'alt', 'light']
                 WHEN logo_lum > 0.6 THEN ['light', 'alt', 'dark'] ELSE ['alt', 'dark', 'light'] END,
-                lambda v: list_contains(avail, v))[1], 'dark') END AS variant,
-           CASE WHEN branded THEN CASE WHEN p % 4 = 0 THEN round(1.2 / CASE WHEN p_size % 3 <> 0 THEN 1.5 ELSE 3.0 END, 4)::DOUBLE ELSE 1.0 END END AS scale,
+                lambda v: list_contains(avail, v))[1], 'dark') END AS variant FROM l)
+    SELECT request_id, outcome, attempts, winner, reject_reason, variant,
+           CASE WHEN branded AND list_contains(avail, 'alt') THEN 'alt' ELSE variant END AS footer_variant,
+           CASE WHEN branded AND list_contains(avail, 'dark') THEN 'dark' ELSE variant END AS watermark_variant,
+           CASE WHEN NOT taken THEN NULL WHEN NOT branded THEN '' WHEN light IS NULL THEN 'light own' ELSE 'own' END AS off_reference,
+           CASE WHEN branded THEN CASE WHEN p % 4 = 0 THEN floor(1.2::DOUBLE / CASE WHEN p_size % 3 <> 0 THEN 1.5 ELSE 3.0 END * 10000 + 0.5) / 10000.0::DOUBLE ELSE 1.0 END END AS scale,
            background,
            CASE WHEN branded THEN CASE WHEN coalesce(ground_lum, 0.1) < 0.35 THEN 'dark' ELSE 'light' END END AS tone,
            CASE WHEN taken THEN array_to_string(list_filter([CASE WHEN p % 4 IN (2, 3) THEN 'annotation' END,
                 CASE WHEN p % 4 = 1 THEN 'annotation_role' END, CASE WHEN p % 5 = 0 THEN 'macros' END,
                 CASE WHEN p % 7 = 0 THEN 'range' END], lambda w: w IS NOT NULL), ' ') END AS warnings
-    FROM l
+    FROM o
 """
 
 
@@ -153,7 +160,7 @@ def covers(t):
     return done.select(
         "request_id", "outcome", "attempts", "winner", "reject_reason",
         F.array_join("off_reference", " ").alias("off_reference"),
-        "variant", F.round("scale", 4).alias("scale"), "background", "tone",
+        "variant", "footer_variant", "watermark_variant", rounded(F.col("scale"), 4).alias("scale"), "background", "tone",
         F.array_join("warnings.rule", " ").alias("warnings"),
     )
 
@@ -171,34 +178,50 @@ _BACKGROUND = "printf('%06X', p_partkey % 16777216)"
     """,
 )
 def judged(t):
-    return judged_documents(canvas_documents(t), ["p_partkey"], "json").drop("json")
+    return judged_documents(canvas_documents(t), "json").drop("json")
+
+
+_ACCEPTED_SQL = f"SELECT * FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM ({CANVAS_FAULT_SQL}))"
+_SECOND_HEX = f"(p_partkey % 6 = 5 AND {_BACKGROUND} <> 'FFFFFF')"
 
 
 @query(
     "canvas_listing",
-    """
-    SELECT p_partkey, 0::BIGINT AS part, CASE WHEN p_partkey % 5 = 3 THEN 1 ELSE 2 END::BIGINT AS items,
-           'background dyncolor0' || CASE p_partkey % 5 WHEN 0 THEN chr(10) || 'circle white' WHEN 1 THEN chr(10) || 'line 9x'
-               WHEN 2 THEN chr(10) || 'pattern' WHEN 4 THEN chr(10) || 'rectangle black' ELSE '' END AS text
-    FROM part WHERE p_size % 17 <> 0
+    f"""
+    SELECT p_partkey, 0::BIGINT AS part, 2::BIGINT AS items,
+           'background dyncolor0' || chr(10) || CASE p_partkey % 6 WHEN 0 THEN 'circle white' ELSE 'pattern' END AS text
+    FROM ({_ACCEPTED_SQL})
     """,
 )
 def listing(t):
-    return canvas_listing(canvas_documents(t), ["p_partkey"], "json")
+    return canvas_listing(canvas_documents(t), ["p_partkey"], "json", PAGE)
 
 
 @query(
     "colour_definitions",
     f"""
-    SELECT p_partkey, 0::BIGINT AS part, CASE WHEN p_partkey % 5 = 2 AND {_BACKGROUND} <> 'FFFFFF' THEN 2 ELSE 1 END::BIGINT AS items,
+    SELECT p_partkey, 0::BIGINT AS part, CASE WHEN {_SECOND_HEX} THEN 2 ELSE 1 END::BIGINT AS items,
            '  \\definecolor{{dyncolor0}}{{HTML}}{{' || {_BACKGROUND} || '}}'
-           || CASE WHEN p_partkey % 5 = 2 AND {_BACKGROUND} <> 'FFFFFF' THEN chr(10) || '  \\definecolor{{dyncolor1}}{{HTML}}{{FFFFFF}}' ELSE '' END AS text
-    FROM part WHERE p_size % 17 <> 0
+           || CASE WHEN {_SECOND_HEX} THEN chr(10) || '  \\definecolor{{dyncolor1}}{{HTML}}{{FFFFFF}}' ELSE '' END AS text
+    FROM ({_ACCEPTED_SQL})
     """,
 )
 def definitions(t):
-    names = colour_names(canvas_elements(canvas_documents(t), ["p_partkey"], "json"), ["p_partkey"])
-    return colour_definitions(names, ["p_partkey"])
+    names = colour_names(accepted_elements(canvas_documents(t), ["p_partkey"], "json"), ["p_partkey"])
+    return colour_definitions(names, ["p_partkey"], PAGE)
+
+
+@query(
+    "canvas_cells",
+    f"""
+    WITH g AS (SELECT p_partkey, 1 + p_size % 5 AS cols FROM ({_ACCEPTED_SQL}) WHERE p_partkey % 6 = 5),
+    r AS (SELECT *, unnest(range(2)) AS row FROM g), c AS (SELECT *, unnest(range(cols)) AS col FROM r)
+    SELECT p_partkey, 1 AS pos, row::INT AS row, col::INT AS col, 1 + col * 1.5::DOUBLE + CASE row WHEN 1 THEN 0.75 ELSE 0 END AS x,
+           2.5::DOUBLE + row * 0.5::DOUBLE AS y, ['#FFF', 'red'][(row + col) % 2 + 1] AS colour FROM c
+    """,
+)
+def cells(t):
+    return canvas_cells(canvas_documents(t), ["p_partkey"], "json").select("p_partkey", "pos", "row", "col", "x", "y", "colour")
 
 
 # --- logos -------------------------------------------------------------------
@@ -240,23 +263,26 @@ def manifest(t):
     "logo_shapes",
     f"""
     WITH m AS (SELECT * FROM ({_MANIFEST_SQL}) WHERE status = 'ok'),
+    e AS (SELECT * FROM lineitem WHERE l_partkey % 29 <> 0),
     s AS (SELECT {_FILE_SQL} AS source, l_orderkey AS pos, l_quantity AS x0, l_quantity + 1 AS x1, l_extendedprice AS y0,
                  l_extendedprice + l_linenumber AS y1, CASE l_suppkey % 4 WHEN 0 THEN NULL ELSE printf('%06X', l_suppkey * 7) END AS colour
-          FROM lineitem),
+          FROM e),
     d AS (SELECT m.brand, m.key, m.height, s.* EXCLUDE (source) FROM m JOIN s USING (source)),
     b AS (SELECT brand, key, min(x0) AS xm, min(y0) AS ym, max(y1) AS yx, count(colour) AS filled FROM d GROUP BY ALL),
     f AS (SELECT brand, key, colour, min(pos) AS first_pos FROM d WHERE colour IS NOT NULL GROUP BY ALL),
     w AS (SELECT brand, key, colour, row_number() OVER (PARTITION BY brand, key ORDER BY first_pos, colour) - 1 AS colour_id FROM f)
-    SELECT d.brand, d.key, d.pos, d.colour, w.colour_id, round((d.x0 - xm) * (height / (yx - ym)), 6) AS nx0,
-           round((yx - d.y1) * (height / (yx - ym)), 6) AS ny1, CASE WHEN filled = 0 THEN 'no filled shape' END AS reject_reason
+    SELECT d.brand, d.key, d.pos, d.colour, w.colour_id, floor((d.x0 - xm) * (height / (yx - ym)) * 1000000 + 0.5) / 1000000 AS nx0,
+           floor((yx - d.y1) * (height / (yx - ym)) * 1000000 + 0.5) / 1000000 AS ny1, CASE WHEN filled = 0 THEN 'no filled shape' END AS reject_reason
     FROM d JOIN b USING (brand, key) LEFT JOIN w USING (brand, key, colour) WHERE d.colour IS NOT NULL OR filled = 0
+    UNION ALL SELECT brand, key, NULL, NULL, NULL, NULL, NULL, 'no bounding box' FROM m WHERE source NOT IN (SELECT source FROM s)
     """,
 )
 def placed_shapes(t):
     fill = F.when(F.col("l_suppkey") % 4 == 0, "none").otherwise(
         F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("l_suppkey") * 7), 6, "0")), F.lit("80"))
     )
-    shapes = t.lineitem.select(
+    # Some files hold no shape at all.
+    shapes = t.lineitem.filter("l_partkey % 29 <> 0").select(
         _logo_file().alias("file"),
         F.col("l_orderkey").alias("pos"),
         F.col("l_quantity").alias("x0"),
@@ -267,5 +293,5 @@ def placed_shapes(t):
     )
     placed = logo_shapes(_manifest(t), shapes)
     return placed.select(
-        "brand", "key", "pos", "colour", "colour_id", F.round("nx0", 6).alias("nx0"), F.round("ny1", 6).alias("ny1"), "reject_reason"
+        "brand", "key", "pos", "colour", "colour_id", rounded(F.col("nx0"), 6).alias("nx0"), rounded(F.col("ny1"), 6).alias("ny1"), "reject_reason"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayline.functions.text import pascal_case, plain_number, short_number
+from assayline.functions.text import pascal_case, plain_number, rounded, short_number
 from assayline.operators import render, shapes
 from assayline.workload.registry import part_hex, part_hex_sql, query
 
@@ -75,15 +75,16 @@ def colour_dictionary(t):
 
 _GRID_BASE = f"""
     SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'circle_grid' WHEN 3 THEN 'blob' ELSE 'rect_grid' END AS kind,
-           1 + p_size % 5 AS cols, 1 + p_partkey % 4 AS rows, CASE p_partkey % 4 WHEN 0 THEN 'row' WHEN 1 THEN 'col'
+           1 + p_size % 5 AS cols, CASE p_partkey % 31 WHEN 7 THEN 100000 ELSE 1 + p_partkey % 4 END AS rows, CASE p_partkey % 4 WHEN 0 THEN 'row' WHEN 1 THEN 'col'
            WHEN 2 THEN 'checker' ELSE 'odd' END AS rule, p_partkey % 2 = 0 AS stagger,
            CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE 0.5 END AS size,
            list_transform(range(1 + p_size % 3), lambda i: {part_hex_sql("i")}) AS colors, p_size FROM part
 """
 _GRID_REASON = """
-    CASE WHEN kind = 'blob' THEN 'unknown pattern: blob'
-         WHEN kind = 'circle_grid' AND size IS NULL THEN 'circle_grid requires radius'
-         WHEN kind = 'rect_grid' AND size IS NULL THEN 'rect_grid requires width and height' END
+    CASE WHEN kind = 'blob' THEN 'unknown_type: blob'
+         WHEN kind = 'circle_grid' AND size IS NULL THEN 'needed: radius'
+         WHEN kind = 'rect_grid' AND size IS NULL THEN 'needed: width, height'
+         WHEN rows > 30 THEN 'range: rows, cols' END
 """
 
 
@@ -97,7 +98,7 @@ def _grids(t):
         "p_partkey",
         F.when(turn == 0, "circle_grid").when(turn == 3, "blob").otherwise("rect_grid").alias("pattern_type"),
         (1 + F.col("p_size") % 5).alias("cols"),
-        (1 + F.col("p_partkey") % 4).cast("int").alias("rows"),
+        F.when(F.col("p_partkey") % 31 == 7, 100_000).otherwise(1 + F.col("p_partkey") % 4).cast("int").alias("rows"),
         F.lit(1.5).alias("x_start"),
         F.col("p_size").cast("double").alias("y_start"),
         F.lit(0.5).alias("x_step"),
@@ -135,16 +136,20 @@ def grid_rejects(t):
     return shapes.expand_grid(_grids(t)).filter("reject_reason IS NOT NULL").select("p_partkey", "reject_reason")
 
 
+def _round6(value: str) -> str:
+    return f"floor({value} * 1000000 + 0.5) / 1000000"
+
+
 # --- boxes -------------------------------------------------------------------
 
 
 @query(
     "bounding_boxes",
     f"""
-    WITH s AS (SELECT event_id, user_id, {_K} AS x0, {_K} + 2.0 AS x1, value AS y0, value + ({_K}) % 9 AS y1 FROM events),
+    WITH s AS (SELECT event_id, user_id, {_K}::DOUBLE AS x0, {_K} + 2.0::DOUBLE AS x1, value AS y0, value + ({_K}) % 9 AS y1 FROM events),
     b AS (SELECT user_id, min(least(x0, x1)) AS xm, min(least(y0, y1)) AS ym, max(greatest(y0, y1)) AS yx FROM s GROUP BY user_id)
-    SELECT event_id, round((x0 - xm) * (3.0 / (yx - ym)), 6)::DOUBLE AS nx0, round((x1 - xm) * (3.0 / (yx - ym)), 6)::DOUBLE AS nx1,
-           round((yx - y0) * (3.0 / (yx - ym)), 6) AS ny0, round((yx - y1) * (3.0 / (yx - ym)), 6) AS ny1
+    SELECT event_id, {_round6("(x0 - xm) * (3.0::DOUBLE / (yx - ym))")} AS nx0, {_round6("(x1 - xm) * (3.0::DOUBLE / (yx - ym))")} AS nx1,
+           {_round6("(yx - y0) * (3.0::DOUBLE / (yx - ym))")} AS ny0, {_round6("(yx - y1) * (3.0::DOUBLE / (yx - ym))")} AS ny1
     FROM s JOIN b USING (user_id) WHERE yx > ym
     """,
 )
@@ -155,7 +160,7 @@ def bounding_boxes(t):
     )
     placed = shapes.normalise_bbox(boxes, ["user_id"], ("x0", "x1"), ("y0", "y1"), 3.0)
     return placed.filter("reject_reason IS NULL").select(
-        "event_id", *[F.round(c, 6).alias(c) for c in ("nx0", "nx1", "ny0", "ny1")]
+        "event_id", *[rounded(F.col(c), 6).alias(c) for c in ("nx0", "nx1", "ny0", "ny1")]
     )
 
 
@@ -184,7 +189,7 @@ def flat_groups(t):
 )
 def assembled_orders(t):
     text = F.concat(F.col("l_linenumber"), F.lit(":"), F.col("l_partkey"), F.col("l_returnflag"))
-    return render.assemble(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_returnflag"], text, ";")
+    return render.assemble(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_returnflag"], text, ";", part_items=100_000)
 
 
 @query(

@@ -288,14 +288,14 @@ FIRST_SQL = """
     SELECT page_id, coalesce(CASE list_filter(regexp_extract_all(html, '<([a-z0-9]+)>', 1),
                lambda x: x IN ('ul', 'article') AND NOT (x = 'ul' AND page_id % 3 = 0))[1]
                WHEN 'ul' THEN 'LIST' WHEN 'article' THEN 'BODY' END, '') AS background
-    FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN left(html, 100) ELSE html END AS html FROM pages)
+    FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(html, '<', '[') ELSE html END AS html FROM pages)
 """
 
 
 def _owned_pages(t):
     names = reference.literal_map(FIRST_NAMES)
     owned = F.when(F.col("page_id") % 3 == 0, F.map_filter(names, lambda k, _: k != "ul")).otherwise(names)
-    html = F.when(F.col("page_id") % 5 == 0, F.left("html", F.lit(100))).otherwise(F.col("html"))
+    html = F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("<"), F.lit("["))).otherwise(F.col("html"))
     return t.pages.select("page_id", html.alias("html"), owned.alias("names"))
 
 
@@ -304,16 +304,11 @@ def first_in_reference(t):
     return reference.first_in_reference(_owned_pages(t), "html", "names", TAG).select("page_id", "background")
 
 
-@query(
-    "first_in_reference_rows",
-    f"""
-    SELECT page_id, background FROM ({FIRST_SQL})
-    WHERE page_id IN (SELECT page_id FROM pages WHERE page_id % 5 <> 0 OR regexp_matches(left(html, 100), '<([a-z0-9]+)>'))
-    """,
-)
+@query("first_in_reference_rows", FIRST_SQL)
 def first_in_reference_rows(t):
-    found = reference.occurrences(_owned_pages(t), ["page_id", "names"], "html", TAG, {"name": 1})
-    return reference.first_in_reference_rows(found, "names", ["page_id"])
+    pages = _owned_pages(t)
+    found = reference.occurrences(pages, ["page_id", "names"], "html", TAG, {"name": 1})
+    return reference.first_in_reference_rows(found, pages, "names", ["page_id"])
 
 
 # --- contract ----------------------------------------------------------------
@@ -363,7 +358,7 @@ CANVAS_SQL = """
         || CASE WHEN p_size % 17 = 0 THEN '' ELSE '}' END AS json FROM part
 """
 CANVAS_FAULT_SQL = f"""
-    WITH c AS (SELECT p_partkey, p_size, p_partkey % 5 AS turn, p_size % 17 = 0 AS corrupt FROM part),
+    WITH c AS (SELECT p_partkey, p_size, p_partkey % 6 AS turn, p_size % 17 = 0 AS corrupt FROM part),
     v AS (SELECT * FROM c WHERE NOT corrupt)
     SELECT p_partkey, NULL::INT AS pos, NULL AS type, 'corrupt' AS rule, NULL AS field FROM c WHERE corrupt
     UNION ALL SELECT p_partkey, NULL, NULL, 'extra', 'title' FROM v WHERE p_size % 10 = 0
@@ -388,7 +383,7 @@ def canvas_documents(t):
     def text(*parts):
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    turn = F.col("p_partkey") % 5
+    turn = F.col("p_partkey") % 6
     second = (
         F.when(turn == 0, text('{"type":"circle","cx":', (F.col("p_size") - 6).cast("string"), ',"cy":2.5,"radius":',
                                (F.col("p_size") % 4).cast("string"), ',"color":"white"}'))
@@ -396,7 +391,9 @@ def canvas_documents(t):
         .when(turn == 2, text('{"type":"pattern","pattern_type":"rect_grid","cols":', size,
                               ',"rows":2.0,"x_start":1,"y_start":1,"x_step":1,"y_step":0,"colors":["#FFF",7],"width":1,"stagger":"no"}'))
         .when(turn == 3, F.lit('{"type":"blob","color":"red"}'))
-        .otherwise(F.lit('{"type":"rectangle","x1":1,"y1":1,"x2":2,"y2":2,"color":"black","shape":"x"}'))
+        .when(turn == 4, F.lit('{"type":"rectangle","x1":1,"y1":1,"x2":2,"y2":2,"color":"black","shape":"x"}'))
+        .otherwise(text('{"type":"pattern","pattern_type":"rect_grid","cols":', (1 + F.col("p_size") % 5).cast("string"),
+                        ',"rows":2,"x_start":1,"y_start":2.5,"x_step":1.5,"y_step":0.5,"colors":["#FFF","red"],"width":1,"height":1,"stagger":true}'))
     )
     return t.part.select(
         "p_partkey",

@@ -258,6 +258,28 @@ def layered_presence(t):
     return merged.select("p_partkey", "s.kind", "s.brand")
 
 
+# A text '0' is a value, a zero of any numeric type is not.
+@query(
+    "layered_truthy",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount <> 0 THEN l_discount WHEN l_tax <> 0 THEN l_tax ELSE 3.0 END::DOUBLE AS rate,
+           CASE l_partkey % 3 WHEN 0 THEN '0' WHEN 1 THEN l_shipmode ELSE l_returnflag END AS label
+    FROM (SELECT *, CASE l_partkey % 2 WHEN 0 THEN 'mode' ELSE 'other' END AS l_shipmode FROM lineitem)
+    """,
+)
+def layered_truthy(t):
+    exact = F.col("l_discount").cast("decimal(12,2)")
+    label = F.when(F.col("l_partkey") % 3 == 0, "0").otherwise("")
+    mode = F.when(F.col("l_partkey") % 3 != 1, F.lit(None)).when(F.col("l_partkey") % 2 == 0, "mode").otherwise("other")
+    return t.lineitem.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        reference.layered("truthy", exact, F.col("l_tax"), F.lit(3.0)).cast("double").alias("rate"),
+        reference.layered("truthy", label, mode, F.col("l_returnflag")).alias("label"),
+    )
+
+
 # --- reconciliation ----------------------------------------------------------
 
 

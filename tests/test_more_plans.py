@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from assayline.operators import scale
 from assayline.operators.contract import canvas_elements
 from assayline.operators.scale import spread_join
-from assayline.plans.canvas import canvas_listing, colour_definitions, colour_names, judged_documents
+from assayline.plans.canvas import canvas_cells, canvas_listing, colour_definitions, colour_names, judged_documents
 from assayline.plans.logos import logo_manifest, logo_shapes
 
 
@@ -21,14 +21,24 @@ def test_canvas(spark):
     names = colour_names(canvas_elements(df, ["doc"], "json"), ["doc"])
     got = {(r.doc, r.hex): r.name for r in names.collect()}
     assert got[("a", "FFFFFF")] == "dyncolor0" and got[("a", "123456")] == "dyncolor1" and got[("b", "00000A")] == "dyncolor10"
-    text = {r.doc: r.text for r in colour_definitions(names, ["doc"]).collect()}
+    text = {r.doc: r.text for r in colour_definitions(names, ["doc"], 100).collect()}
     assert [line.split("}")[0].split("{")[1] for line in text["b"].splitlines()[:4]] == ["dyncolor0", "dyncolor1", "dyncolor10", "dyncolor2"]
-    lists = {r.doc: r.text for r in canvas_listing(df, ["doc"], "json").collect()}
-    assert lists["a"] == "background dyncolor0\nline red\ncircle dyncolor0"
-    judged = {r.doc: r.reject_reason for r in judged_documents(df, ["doc"], "json").collect()}
+    lists = {r.doc: r.text for r in canvas_listing(df, ["doc"], "json", 100).collect()}
+    assert set(lists) == {"b"} and lists["b"].startswith("circle dyncolor0\ncircle dyncolor1\n")
+    judged = {r.doc: r.reject_reason for r in judged_documents(df, "json").collect()}
     assert judged == {"a": "breaks the contract", "b": None}
 
 
+def test_canvas_cells(spark):
+    pattern = {"type": "pattern", "pattern_type": "circle_grid", "cols": 2, "rows": 2, "x_start": 1, "y_start": 2,
+               "x_step": 1, "y_step": 3, "colors": ["red", "#FFF"], "radius": 0.5, "stagger": True}
+    docs = {"a": {"elements": [{"type": "background", "color": "red"}, pattern]}, "b": {"elements": [pattern | {"cols": 31}]}}
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "doc string, json string")
+    got = {(r.doc, r.pos, r.row, r.col): (r.x, r.y, r.colour) for r in canvas_cells(df, ["doc"], "json").collect()}
+    assert got == {("a", 1, 0, 0): (1.0, 2.0, "red"), ("a", 1, 0, 1): (2.0, 2.0, "#FFF"),
+                   ("a", 1, 1, 0): (1.5, 5.0, "#FFF"), ("a", 1, 1, 1): (2.5, 5.0, "red")}
+
+
 def test_logos(spark, monkeypatch):
     brands = spark.createDataFrame(
         [("acme-co", {"dark": "d.svg", "light": "l.svg", "alt": "a.svg", "gone": "g.svg"}, {"dark": "d", "light": "l", "gone": "g"}, 1.5),
@@ -58,6 +68,8 @@ def test_logos(spark, monkeypatch):
     spread = logo_shapes(logo_manifest(brands, inventory), shapes)
     assert sorted(map(str, spread.select(*plain.columns).collect())) == sorted(map(str, got.values()))
     assert set(got) == {("acme-co", "dark", 1), ("acme-co", "dark", 2), ("acme-co", "dark", 3), ("acme-co", "light", 0), ("other", "dark", 0)}
+    fewer = logo_shapes(manifest, shapes.filter("file <> 'acme-co/l.svg'")).filter("key = 'light'").collect()
+    assert [(r.brand, r.pos, r.reject_reason) for r in fewer] == [("acme-co", None, "no bounding box")]
     first = got[("acme-co", "dark", 1)]
     assert (first.colour, first.colour_id, first.ny0, first.reject_reason) == ("AABBCC", 0, 1.5, None)
     assert got[("acme-co", "dark", 2)].colour_id == 1 and got[("acme-co", "dark", 3)].colour_id == 0

@@ -39,33 +39,44 @@ def test_brands_and_covers(spark, tmp_path):
         ("r5", "nobody", 1, "m1", BLOCK, None),
         ("r6", None, 1, "m1", BLOCK, None),
         ("r7", "acme", 1, "m1", None, "boom"),
+        ("r8", "", 1, "m1", BLOCK, None),
+        ("r9", "empty", 1, "m1", BLOCK, None),
+        ("r10", "flat", 1, "m1", BLOCK, None),
     ]
     responses = spark.createDataFrame(rows, "request_id string, brand string, attempt int, model string, raw string, error string")
-    done = conform_responses(responses, brands.filter("_corrupt_record IS NULL")).cache()
+    good = brands.filter("_corrupt_record IS NULL")
+    empty = F.create_map().cast("map<string,string>")
+    listed = good.unionByName(good.filter("brand = 'acme'").withColumn("brand", F.lit("empty")).withColumn("colors", empty)).unionByName(
+        good.filter("brand = 'acme'").withColumn("brand", F.lit("flat")).withColumn("logo_height_cm", F.lit(0.0))
+    )
+    done = conform_responses(responses, listed).cache()
     got = {r.request_id: r for r in done.collect()}
-    assert len(got) == 7 and accepted(done).count() + rejected(done).count() == 7
+    assert len(got) == 10 and accepted(done).count() + rejected(done).count() == 10
     assert {k: r.reject_reason for k, r in got.items()} == {
         "r1": None, "r2": "aborted: no complete block", "r3": "exhausted: no complete block",
         "r4": "invalid values: light=#12", "r5": "unknown brand", "r6": None, "r7": "aborted: no complete block",
+        "r8": None, "r9": None, "r10": "no native height",
     }
+    for name in ("r6", "r8", "r9"):  # no brand, or one without colours
+        assert got[name].off_reference == [] and got[name].tone is None and got[name].artifact.endswith("\n" + BLOCK + "\n")
     first = got["r1"]
     assert (first.attempts, first.winner, first.off_reference, first.variant, first.background) == (3, "m3", ["own"], "light", "FFFFFF")
     assert abs(first.scale - 0.8) < 1e-9 and first.logo_at == [2.0, 27.2] and first.tone == "light" and first.warnings == []
     lines = first.artifact.splitlines()
-    assert lines[0] == "% Auto-generated (brand: acme) - DO NOT EDIT MANUALLY"
+    assert lines[0] == "% Auto-generated (brand: acme) - generated, edits will be lost"
     assert "\\definecolor{VSRed}{HTML}{757576}" in lines and "\\definecolor{VSCoverFg}{HTML}{1A1A1A}" in lines
     assert "\\definecolor{light}{HTML}{FFFFFF}" in lines and "\\definecolor{own}{HTML}{123456}" in lines
     assert first.artifact.endswith("\\end{tikzpicture}%\n}\n")
     assert got["r3"].rejected_payload == "prose"
-    assert got["r6"].artifact == "% Auto-generated - DO NOT EDIT MANUALLY\n" + BLOCK + "\n" and got["r6"].variant is None
+    assert got["r6"].artifact == "% Auto-generated - generated, edits will be lost\n" + BLOCK + "\n" and got["r6"].variant is None
 
     write_artifacts(accepted(done).select("request_id", "brand", "artifact"), str(tmp_path / "out"))
     write_quarantine(done.select("request_id", "reject_reason", "rejected_payload"), str(tmp_path / "bad"))
     append_responses(responses, str(tmp_path / "raw"))
     append_responses(responses, str(tmp_path / "raw"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "bad")).count() == 5
-    assert spark.read.parquet(str(tmp_path / "raw")).count() == 24
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == 6
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == 30
 
 
 def test_text_and_image_readers(spark, tmp_path):
@@ -129,9 +140,12 @@ def test_log_reports(spark):
     lines = spark.createDataFrame(
         [("a", 1, "! x"), ("a", 2, "detail"), ("b", 1, "quiet")], "file string, line_no bigint, line string"
     )
-    got = {r.file: r.text for r in log_reports(lines, ["file"]).collect()}
+    files = spark.createDataFrame([("a",), ("b",), ("empty",), (None,)], "file string")
+    got = {r.file: r.text for r in log_reports(lines, ["file"], 10, files).collect()}
     assert got["a"] == "--- Error block 1 ---\n! x\ndetail"
     assert got["b"].startswith("--- Error block 1 ---\n[no structured error")
+    assert got["empty"] == got[None] == got["b"] and len(got) == 4
+    assert {r.file for r in log_reports(lines, ["file"], 10).collect()} == {"a", "b"}
 
 
 def test_materialise_writes_below_the_folder_of_the_session(spark):

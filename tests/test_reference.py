@@ -43,7 +43,8 @@ def test_conform(spark):
     assert conformed(spark, text) == (want, ["custom_a", "custom_role"])
     assert conformed(spark, "") == ("", [])
     assert conformed(spark, definition("light", "1"))[0] == definition("light", "1")
-    assert conformed(spark, definition("light", "111"), None) == (definition("light", "111"), ["light"])
+    assert conformed(spark, definition("light", "111"), None) == (definition("light", "111"), [])
+    assert conformed(spark, definition("light", "111"), {}) == (definition("light", "111"), [])
     three = "".join(definition(r, "0A0A0A") for r in PALETTE)
     assert conformed(spark, three)[0] == "".join(
         definition(r, v.lstrip("#").upper()) for r, v in PALETTE.items()
@@ -72,8 +73,8 @@ def test_first_fill(spark):
     assert [r.background for r in got] == want
     from assayline.operators.reference import FILL
     found = occurrences(df, ["id", "colors"], "block", FILL, {"name": 1})
-    rows = {r.id: r.background for r in first_in_reference_rows(found, "colors", ["id"]).collect()}
-    assert rows == {0: "201f1e", 1: "", 3: "FFFFFF", 4: "FFFFFF"}
+    rows = {r.id: r.background for r in first_in_reference_rows(found, df, "colors", ["id"]).collect()}
+    assert rows == dict(enumerate(want))
 
 
 def test_load_reference(spark):

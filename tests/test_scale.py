@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from assayline.operators.render import assemble
-from assayline.operators.scale import hot_keys, numbered, order_slices, running_total, spread_join
+from assayline.operators.scale import SLICE, hot_keys, in_slices, numbered, running_total, spread_join
 from assayline.operators.shapes import encode_first_seen, first_seen_dictionary
 from assayline.operators.tone import contrast_partners
 
@@ -23,8 +23,8 @@ def skewed(spark, rows=3000):
 def test_numbering_in_slices_equals_one_window(spark):
     df = skewed(spark)
     plain = numbered(df, ["k"], ["ts", "id"])
-    assert not order_slices(df, ["k"], "ts").is_cut
-    assert order_slices(df, ["k"], "ts", 50).is_cut
+    assert in_slices(df, ["k"], ["ts", "id"]) is None
+    assert in_slices(df, ["k"], ["ts", "id"], 50) is not None
     for per_slice in (50, 7, 1500):
         cut = numbered(df, ["k"], ["ts", "id"], rows_per_slice=per_slice)
         assert cut.count() == df.count()
@@ -42,20 +42,27 @@ def test_numbering_by_text_date_and_null_order(spark):
     assert {(r.id, r.line_no) for r in rows} == {(i, i + 1) for i in range(200)}
 
 
-def test_no_slice_of_a_hot_key_is_large(spark):
-    df = skewed(spark)
-    slices = order_slices(df, ["k"], "id", 10)
-    largest = slices.add(df, "s").groupBy("k", "s").count().agg(F.max("count")).first()[0]
-    assert largest < 40
+def largest_slice(df, keys, order, per_slice):
+    return in_slices(df, keys, order, per_slice).groupBy(*keys, SLICE).count().agg(F.max("count")).first()[0]
+
+
+def test_no_slice_is_large_whatever_the_order_column_holds(spark):
+    assert largest_slice(skewed(spark), ["k"], ["ts", "id"], 100) <= 100
+    names = spark.range(10_000).select(
+        F.lit("doc").alias("k"),
+        F.concat(F.lit("dyncolor"), "id").alias("name"),
+        F.date_format(F.timestamp_seconds(1_704_067_200 + F.col("id")), "yyyy-MM-dd'T'HH:mm:ss").alias("iso"),
+        F.lit(datetime(2024, 1, 1)).alias("one"),
+        "id",
+    )
+    for order in (["name"], ["iso"], ["one", "id"]):
+        assert largest_slice(names, ["k"], order, 1000) <= 1000, order
 
 
 def test_slices_never_decrease(spark):
-    df = skewed(spark)
-    slices = order_slices(df, ["k"], "ts", 20)
-    assert slices.is_cut
-    rows = slices.add(df.filter("k = 'hot'"), "s").orderBy("ts").collect()
-    assert rows[-1].s > 10
-    assert all(a.s <= b.s for a, b in zip(rows, rows[1:]))
+    rows = in_slices(skewed(spark), ["k"], ["ts", "id"], 20).filter("k = 'hot'").orderBy("ts", "id").collect()
+    assert rows[-1][SLICE] - rows[0][SLICE] > 10
+    assert all(a[SLICE] <= b[SLICE] for a, b in zip(rows, rows[1:]))
 
 
 def test_running_total(spark):
@@ -91,7 +98,7 @@ def test_first_seen_ids_in_slices(spark):
 
 def test_assemble_in_parts_loses_nothing(spark):
     df = skewed(spark, 500)
-    whole = {r.k: r.text for r in assemble(df, ["k"], ["id"], F.col("id").cast("string"), ",").collect()}
+    whole = {r.k: r.text for r in assemble(df, ["k"], ["id"], F.col("id").cast("string"), ",", part_items=1000).collect()}
     parts = {}
     for r in assemble(df, ["k"], ["id"], F.col("id").cast("string"), ",", part_items=7, rows_per_slice=30).collect():
         parts.setdefault(r.k, {})[r.part] = r.text

@@ -29,7 +29,8 @@ def grid(i, kind="circle_grid", cols=2, rows=2, colors=("a", "b"), rule=None, st
 def test_grid(spark):
     rows = [grid(0), grid(1, rule="row"), grid(2, rule="col", colors=("a", "b", "c"), cols=4, rows=1), grid(3, rule="odd"),
             grid(4, stagger=None), grid(5, kind="rect_grid", width=1.0, height=1.0), grid(6, radius=None),
-            grid(7, kind="rect_grid", width=1.0), grid(8, kind="blob"), grid(9, kind=None), grid(10, rows=0), grid(11, colors=())]
+            grid(7, kind="rect_grid", width=1.0), grid(8, kind="blob"), grid(9, kind=None), grid(10, rows=0), grid(11, colors=()),
+            grid(12, rows=100_000, cols=100_000), grid(13, cols=31)]
     out = expand_grid(spark.createDataFrame(rows, GRID)).orderBy("id", "row", "col").collect()
     cells = {}
     for r in out:
@@ -43,10 +44,10 @@ def test_grid(spark):
     assert len(cells[5]) == 4
     reasons = {r.id: r.reject_reason for r in out if r.reject_reason}
     assert reasons == {
-        6: "circle_grid requires radius", 7: "rect_grid requires width and height", 8: "unknown pattern: blob",
-        9: "unknown pattern: null", 10: "empty grid", 11: "empty grid",
+        6: "needed: radius", 7: "needed: height", 8: "unknown_type: blob", 9: "unknown_type: null",
+        10: "items: rows, cols, colors", 11: "items: rows, cols, colors", 12: "range: rows, cols", 13: "range: rows, cols",
     }
-    assert sum(r.id in reasons for r in out) == 6
+    assert sum(r.id in reasons for r in out) == 8
 
 
 def test_bbox(spark):
@@ -90,8 +91,8 @@ def test_fill_colour(spark):
 
 def test_assemble_and_summary(spark):
     df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("j", 1, None)], "k string, n int, t string")
-    assert [tuple(r) for r in assemble(df, ["k"], ["n"], F.col("t"), "-").collect()] == [("k", 0, 2, "a-b")]
-    text = error_summary(df.filter("k = 'k'"), ["k"], ["n"], "t").first().text
+    assert [tuple(r) for r in assemble(df, ["k"], ["n"], F.col("t"), "-", part_items=10).collect()] == [("k", 0, 2, "a-b")]
+    text = error_summary(df.filter("k = 'k'"), ["k"], ["n"], "t", part_items=10).first().text
     assert text == "--- Error block 1 ---\na\n\n--- Error block 2 ---\nb"
 
 
