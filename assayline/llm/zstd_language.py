@@ -2,12 +2,15 @@
 
 One raw-content zstandard dictionary per language is filled with texts of that language. A text
 belongs to the language whose dictionary leaves it smallest: sequences that the dictionary holds
-cost a reference, all others are spelt out. Only runs of letters count, in lower case.
+cost a reference, all others are spelt out. So that very short texts count too, each text is written
+behind short primers of the language, which set the coder's letter costs, and the primers' own
+size is taken off. Only runs of letters count, in lower case.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 import zstandard
@@ -18,6 +21,8 @@ from pyspark.sql.window import Window
 from assayline.llm.common import fresh, quoted
 
 UNDETERMINED = "und"
+# Two primers of this many bytes each follow the dictionary in what is learned.
+PRIMER_BYTES, PRIMERS = 1024, 2
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -38,9 +43,9 @@ def learn_dictionaries(
 ) -> dict[str, bytes]:
     """Dictionary content per value of ``lang``, from the labelled rows of ``responses``.
 
-    The sample is bounded: per language the ``texts_per_language`` texts that come first by a hash
-    of their key, those of at most ``text_bytes`` before longer ones, cut off at
-    ``dictionary_bytes``. Only these rows reach the driver. Rows without a label, without a text
+    The sample is bounded: of each language's rows about four times ``texts_per_language`` by a hash of
+    their key, and of these the ``texts_per_language`` that come first, texts of at most ``text_bytes``
+    before longer ones; the dictionary ends at ``dictionary_bytes``, the primers follow. Only these rows reach the driver. Rows without a label, without a text
     or without letters teach nothing; rows that repeat a key count once. An empty table gives no
     dictionary.
     """
@@ -50,9 +55,15 @@ def learn_dictionaries(
         quoted(lang).cast("string").alias("lang"),
         quoted(raw).alias("raw"),
     ).filter(F.col("lang").isNotNull() & F.col("raw").rlike(r"\p{L}"))
+    # One row per label. A cut by hash leaves about four times the sample for the ranking.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    near = F.pmod("h", F.lit(1 << 40)) < F.lit(4.0 * texts_per_language * (1 << 40)) / F.col("of_lang")
     first = Window.partitionBy("lang").orderBy("long", "h")
     picked = (
         rows.select("lang", "long", "h")
+        .join(F.broadcast(counts), "lang")
+        .filter(near)
+        .select("lang", "long", "h")
         .distinct()
         .withColumn("n", F.row_number().over(first))
         .filter(F.col("n") <= texts_per_language)
@@ -61,32 +72,53 @@ def learn_dictionaries(
     # The picked keys are at most texts_per_language for each label.
     sample = rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").groupBy("lang", "h", "long").agg(F.min("raw").alias("raw"))
     content: dict[str, bytes] = {}
+    most = dictionary_bytes + PRIMERS * PRIMER_BYTES
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["long"], r["h"])):
         held = content.setdefault(row["lang"], b"")
-        if len(held) < dictionary_bytes:
-            content[row["lang"]] = (held + letters_only(row["raw"]) + b" ")[:dictionary_bytes]
+        if len(held) < most:
+            content[row["lang"]] = (held + letters_only(row["raw"]) + b" ")[:most]
     return content
 
 
-def compressors(content: dict[str, bytes], level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
-    found = []
+@dataclass
+class Coder:
+    """A language's compressor with its primers and their size."""
+
+    lang: str
+    coder: zstandard.ZstdCompressor
+    primers: list[bytes]
+    own: int = 0
+
+    def size(self, words: bytes) -> int:
+        return sum(len(self.coder.compress(p + words)) for p in self.primers) - self.own
+
+
+def compressors(content: dict[str, bytes], level: int) -> list[Coder]:
+    found, tail = [], PRIMERS * PRIMER_BYTES
     for lang in sorted(content):
-        words = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        text, primers = content[lang], [b""]
+        if len(text) > 2 * tail:
+            text, rest = text[:-tail], text[-tail:]
+            primers = [rest[i : i + PRIMER_BYTES] for i in range(0, tail, PRIMER_BYTES)]
+        words = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         words.precompute_compress(level=level)
-        found.append((lang, zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False)))
+        coder = Coder(lang, zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False), primers)
+        coder.own = coder.size(b"")
+        found.append(coder)
     return found
 
 
-def judge(raw: str | None, coders: list[tuple[str, zstandard.ZstdCompressor]], reject_margin: float) -> tuple[str, float, bool]:
+def judge(raw: str | None, coders: list[Coder], reject_margin: float) -> tuple[str, float, bool]:
     """Language, margin between the two smallest sizes as a share of the second, rejected."""
     words = letters_only(raw)
     if not words or not coders:
         return UNDETERMINED, 0.0, True
-    sizes = sorted((len(coder.compress(words)), lang) for lang, coder in coders)
+    sizes = sorted((max(coder.size(words), 0), coder.lang) for coder in coders)
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
-    margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-    return sizes[0][1], margin, margin < reject_margin
+    (best, lang), (second, _) = sizes[:2]
+    margin = (second - best) / second if second else 0.0
+    return lang, margin, margin < reject_margin
 
 
 def identify_language(
@@ -94,7 +126,7 @@ def identify_language(
     content: dict[str, bytes],
     *,
     raw: str = "raw",
-    level: int = 6,
+    level: int = 5,
     reject_margin: float = 0.002,
 ) -> DataFrame:
     """``responses`` with ``lang_pred``, ``score`` and ``rejected``, from the whole text alone.
