@@ -19,9 +19,8 @@ NONE = "(none)"
 def tempered_targets(cells: DataFrame, margin: str, alpha: float) -> DataFrame:
     """(value, share): present shares of token mass raised to ``alpha``; 1 keeps, 0 evens out."""
     mass = cells.groupBy(F.col(margin).alias("value")).agg(F.pow(F.sum("tokens"), F.lit(alpha)).alias("m"))
-    total = mass.agg(F.sum("m").alias("total"))
-    # ``total`` is one row.
-    return mass.join(F.broadcast(total)).select("value", (F.col("m") / F.col("total")).alias("share"))
+    total = mass.agg(F.sum("m")).first()[0] or 1.0
+    return mass.select("value", (F.col("m") / F.lit(total)).alias("share"))
 
 
 def cells_of(responses: DataFrame, margins: list[str], tokens: str) -> DataFrame:
@@ -47,8 +46,9 @@ def rake(cells: DataFrame, targets: list[DataFrame], *, sweeps: int = 30, tolera
     for name, target in zip(names, targets):
         known = target.select(F.coalesce("value", F.lit(NONE)).alias(name), F.col("share").cast("double").alias("share")).groupBy(name).agg(F.sum("share").alias("share"))
         known = known.join(cells.select(name).distinct(), name).filter("share > 0")
-        total = known.agg(F.sum("share").alias("total"))  # one row
-        held.append(materialise(known.join(F.broadcast(total)).select(name, (F.col("share") / F.col("total")).alias("share"))))
+        known = materialise(known)
+        total = known.agg(F.sum("share")).first()[0] or 1.0
+        held.append(known.select(name, (F.col("share") / F.lit(total)).alias("share")))
     state = cells
     for name, target in zip(names, held):
         state = state.join(target.select(name), name, "left_semi")
