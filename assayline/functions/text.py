@@ -65,14 +65,40 @@ def plain_number(col: Column) -> Column:
     return F.when(col == whole, whole.cast("bigint").cast("string")).otherwise(col.cast("string"))
 
 
+def binary_round(col: Column, places: int) -> Column:
+    """``col`` times 10**places as a whole number: the binary value rounded, exact halves to even.
+
+    Only where the product comes out as a half can its own rounding hide the side; splitting the
+    value in two parts, each with few bits, then gives the product's error.
+    """
+    scale = float(10**places)
+    product = col * scale
+    whole = F.floor(product)
+    upper = col * 134217729.0 - (col * 134217729.0 - col)
+    error = (upper * scale - product) + (col - upper) * scale
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 != 0))))
+    return whole + F.when(up, 1).otherwise(0)
+
+
 def short_number(col: Column) -> Column:
-    """Round to three places, show at most six significant digits, drop trailing zeros."""
-    size = F.abs(col)
+    """Round to three places, show at most six significant digits, drop trailing zeros.
+
+    Both roundings look at the binary value, with halves to the even digit.
+    """
+    def fixed(value: Column, places: int) -> Column:
+        digits = F.abs(binary_round(value, places))
+        head = F.floor(digits / 10**places).cast("string")
+        tail = F.lpad((digits % 10**places).cast("string"), places, "0")
+        return F.concat(F.when(value < 0, "-").otherwise(""), head, *([F.lit("."), tail] if places else []))
+
+    value = binary_round(col, 3) / 1000.0
+    size = F.abs(value)
     text = (
-        F.when(size < 999.9995, F.format_string("%.3f", F.round(col, 3)))
-        .when(size < 9999.995, F.format_string("%.2f", F.round(col, 2)))
-        .when(size < 99999.95, F.format_string("%.1f", F.round(col, 1)))
-        .when(size < 999999.5, F.format_string("%.0f", F.round(col, 0)))
+        F.when(size < 1000, fixed(col, 3))
+        .when(size < 10000, fixed(value, 2))
+        .when(size < 100000, fixed(value, 1))
+        .when(size < 999999.5, fixed(value, 0))
     )
     trimmed = F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
     mantissa = F.regexp_replace(F.format_string("%.5e", col), r"\.?0+e", "e")

@@ -72,19 +72,18 @@ def read_log_lines(spark: SparkSession, path: str, rows_per_slice: int | None =
     pieces = raw.select("file", "block", "seq", F.posexplode(parts).alias("pos", "line"))
 
     # A last line without newline that stops at another line end opens no further, empty line.
-    # Only such files need a correction: bytes plus one newline per line then exceed their size.
+    # Only such files lose their last number: bytes plus one newline per line then exceed their size.
     stops = ~returned & F.col("text").rlike(LINE_ENDS + r"\z")
     surplus = (
         raw.groupBy("file")
         .agg(
             F.sum(F.col("bytes") + 1).alias("covered"),
             F.max("size").alias("size"),
-            F.max(F.struct("block", "seq", stops.alias("stops"), (F.size(parts) - 1).alias("pos"))).alias("last"),
+            F.max(F.struct("block", "seq", stops.alias("stops"))).alias("last"),
+            F.sum(F.size(parts)).alias("line_no"),
         )
         .filter("covered > size AND last.stops")
-        .select("file", "last.block", "last.seq", "last.pos")
-    )
-    kept = pieces.join(surplus, ["file", "block", "seq", "pos"], "left_anti")
-    return numbered(kept, ["file"], ["block", "seq", "pos"], "line_no", rows_per_slice).select(
-        "file", "line_no", "line"
+        .select("file", "line_no")
     )
+    lines = numbered(pieces, ["file"], ["block", "seq", "pos"], "line_no", rows_per_slice).select("file", "line_no", "line")
+    return lines.join(surplus, ["file", "line_no"], "left_anti")

@@ -198,6 +198,7 @@ def assembled_orders(t):
     SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR
                       ELSE p_retailprice::VARCHAR END AS plain,
            regexp_replace(regexp_replace(printf('%.3f', p_size / 8.0::DOUBLE), '0+$', ''), '\\.$', '') AS short,
+           regexp_replace(regexp_replace(printf('%.3f', (p_partkey % 900 + 0.5::DOUBLE) / 1000), '0+$', ''), '\\.$', '') AS halves,
            upper(left(p_brand, 1)) || lower(substr(p_brand, 2)) || upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS pascal
     FROM part
     """,
@@ -207,5 +208,6 @@ def number_formats(t):
         "p_partkey",
         plain_number(F.col("p_retailprice")).alias("plain"),
         short_number(F.col("p_size") / 8.0).alias("short"),
+        short_number((F.col("p_partkey") % 900 + F.lit(0.5)) / 1000).alias("halves"),
         pascal_case(F.concat(F.col("p_brand"), F.lit("-"), F.col("p_type"))).alias("pascal"),
     )

@@ -76,6 +76,7 @@ def test_text_helpers(spark):
     assert column(spark, ["#1aF", "#abcdef"], full_hex) == ["11AAFF", "ABCDEF"]
     assert column(spark, [1.0, 2.5, -3.0], plain_number, "double") == ["1", "2.5", "-3"]
     numbers = [1.0, 0.125, 2.50, 1234.5678, 0.0004, 100.0, 12345.678, 999999.4]
+    numbers += [0.0005, 1.0005, 2.0005, 0.0625, -0.1875, 999.9996, 9999.996, 99999.96, 123.4565, *[(i + 0.5) / 1000 for i in range(40)]]
     assert column(spark, numbers, short_number, "double") == [f"{round(n, 3):g}" for n in numbers]
     assert column(spark, ["```latex\nx\n```", "```tex  y```", "```json z"], strip_fences) == ["x\n", "y", "json z"]
     assert column(spark, ["```json\n{\"a\":1}\n```", "  {} ", "```\n[]\n```\n"], unwrap_fence) == ['{"a":1}', "{}", "[]"]
