@@ -40,10 +40,10 @@ _POSITION = np.uint64((1 << 24) - 1)
 # --- packing ----------------------------------------------------------------------------------
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays with their types and lengths, compressed."""
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sq", a.dtype.str[1:3].encode(), a.size) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -72,7 +72,7 @@ def pack_blocks(responses: DataFrame, key: str, raw: str, block_bytes: int) -> D
             ids = np.array([NO_KEY if k is None else k for k in keys], dtype=np.int64)
             none = np.array([k is None for k in keys], dtype=np.uint8)
             lengths = np.array([len(t) for t in texts], dtype=np.int64)
-            payload = pack(ids, none, lengths, np.frombuffer(b"".join(texts), dtype=np.uint8))
+            payload = pack(ids, none, lengths, np.frombuffer(b"".join(texts), dtype=np.uint8), level=3)
             return pa.RecordBatch.from_pylist([{"block": first + made, "payload": payload}], schema=BLOCK)
 
         for batch in batches:
@@ -109,13 +109,13 @@ def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def segments(text: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor hash) of each segment; windows never cross an end.
+def segments(text: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(first window, last window, place of the anchor, its hash) of each segment; windows never cross an end.
 
     Work goes by chunks, so a segment may be parted in two at a chunk's edge; both parts keep the anchor.
     """
     windows = least - gram + 1
-    firsts, lasts, anchors = [], [], []
+    firsts, lasts, places, anchors = [], [], [], []
     for at in range(0, max(0, len(text) - least + 1), CHUNK):
         part = text[at : at + CHUNK + least - 1]
         h = gram_hashes(part, gram)
@@ -139,14 +139,20 @@ def segments(text: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple
         last = np.concatenate([first[1:], [len(start)]]) - 1
         firsts.append(start[first])
         lasts.append(start[last])
+        places.append(place[first] + at)
         anchors.append(h[place[first]])
     if not firsts:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(anchors)
+        return *(np.empty(0, np.int64),) * 3, np.empty(0, np.uint64)
+    return tuple(map(np.concatenate, (firsts, lasts, places, anchors)))
 
 
-def bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
-    return ((anchors >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+def address(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket in the upper and tag in the lower 32 bits; the tag is apart from what chose the bucket.
+
+    Two anchors with one tag only look shared: their segments are then compared in vain.
+    """
+    low, tag = anchors & np.uint64(0xFFFFFFFF), anchors >> np.uint64(32)
+    return (low % np.uint64(buckets)) << np.uint64(32) | tag
 
 
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +202,7 @@ def prefix_groups(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     is_set[1:] = first[1:] != first[:-1]
     marks = is_set.copy()
     open_ = np.nonzero(~is_set)[0]
-    low, high = back[open_ - 1], back[open_]
+    low, high = back[open_ - 1].astype(np.int32), back[open_].astype(np.int32)
     met = np.empty(n, dtype=np.int32)
     for _ in range(1, least):
         np.cumsum(marks, out=met)
@@ -212,6 +218,29 @@ def prefix_groups(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.nonzero(is_set)[0]
 
 
+def meeting(parts: list[bytes], offsets: np.ndarray, least: int, gram: int) -> np.ndarray:
+    """Which segments may share a window with another one, by what surrounds their anchors.
+
+    A shared window holds the anchor and ``least - gram`` bytes more, so at least half of these on one of its
+    sides: the segment agrees with another in ``gram`` and that many bytes there (taken as the
+    largest power of two up to it).
+    """
+    reach = gram
+    while 2 * reach <= gram + (least - gram) // 2:
+        reach *= 2
+    text = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    lengths = np.array([len(p) for p in parts])
+    begins = np.cumsum(lengths) - lengths
+    if len(text) < reach:
+        return np.ones(len(parts), dtype=bool)
+    hashes, may = gram_hashes(text, reach), np.zeros(len(parts), dtype=bool)
+    for start in (offsets, offsets + gram - reach):
+        fits = np.nonzero((start >= 0) & (start + reach <= lengths))[0]
+        _, place, count = np.unique(hashes[begins[fits] + start[fits]], return_inverse=True, return_counts=True)
+        may[fits[count[place] > 1]] = True
+    return may
+
+
 def least_keys(parts: list[bytes], keys: np.ndarray, least: int) -> list[np.ndarray]:
     """For each window of each segment the smallest key under which these ``least`` bytes occur."""
     if not parts:
@@ -263,52 +292,53 @@ def cut_repeats(
             for row in batch.to_pylist():
                 _, _, lengths, text = unpack(row["payload"])
                 ends = np.cumsum(lengths)
-                first, _, anchors = segments(text, ends, least, gram)
+                first, _, _, anchors = segments(text, ends, least, gram)
                 owner = np.searchsorted(ends, first, side="right").astype(np.int32)
-                order = np.argsort(anchors, kind="stable")
-                anchors, owner = anchors[order], owner[order]
-                begin, end = runs(anchors)
-                distinct, twice = anchors[begin], (owner[begin] != owner[end - 1]).astype(np.uint8)
-                bucket = bucket_of(distinct, buckets)
-                order = np.argsort(bucket, kind="stable")
-                begin, end = runs(bucket[order])
+                at = address(anchors, buckets)
+                order = np.argsort(at, kind="stable")
+                at, owner = at[order], owner[order]
+                begin, end = runs(at)
+                distinct, twice = at[begin], owner[begin] != owner[end - 1]
+                bucket, tag = (distinct >> np.uint64(32)).astype(np.int64), distinct.astype(np.uint32)
                 rows = [
-                    {"bucket": int(bucket[order[b]]), "block": row["block"], "payload": distinct[order[b:e]].tobytes() + np.packbits(twice[order[b:e]]).tobytes(), "n": int(e - b)}
-                    for b, e in zip(begin, end)
+                    {"bucket": int(bucket[b]), "block": row["block"], "payload": tag[b:e].tobytes() + np.packbits(twice[b:e]).tobytes(), "n": int(e - b)}
+                    for b, e in zip(*runs(bucket))
                 ]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=OFFER)
 
     def shared(table: pa.Table) -> pa.Table:
-        """Anchors of a bucket that two responses hold, by block."""
+        """Tags of a bucket that two responses hold, by block."""
         held, flags, owner = [], [], []
         for i, (data, n) in enumerate(zip(table["payload"].to_pylist(), table["n"].to_pylist())):
-            held.append(np.frombuffer(data, dtype=np.uint64, count=n))
-            flags.append(np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=8 * n), count=n))
+            held.append(np.frombuffer(data, dtype=np.uint32, count=n))
+            flags.append(np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=4 * n), count=n))
             owner.append(np.full(n, i, dtype=np.int32))
-        anchors, flags, owner = np.concatenate(held), np.concatenate(flags), np.concatenate(owner)
-        order = np.argsort(anchors, kind="stable")
-        begin, end = runs(anchors[order])
+        tags, flags, owner = np.concatenate(held), np.concatenate(flags), np.concatenate(owner)
+        order = np.argsort(tags, kind="stable")
+        begin, end = runs(tags[order])
         common = (np.maximum.reduceat(flags[order], begin) > 0) | (end - begin > 1)
         kept = order[np.repeat(common, end - begin)]
         kept = kept[np.argsort(owner[kept], kind="stable")]
-        begin, end = runs(owner[kept])
-        ids = table["block"].to_pylist()
-        rows = [{"block": ids[owner[kept[b]]], "payload": anchors[kept[b:e]].tobytes()} for b, e in zip(begin, end)]
-        return pa.Table.from_pylist(rows, schema=BLOCK)
+        ids, bucket = table["block"].to_pylist(), table["bucket"][0].as_py()
+        rows = [{"bucket": bucket, "block": ids[owner[kept[b]]], "payload": tags[kept[b:e]].tobytes()} for b, e in zip(*runs(owner[kept]))]
+        return pa.Table.from_pylist(rows, schema=PIECE)
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         """Distinct segments of shared anchors by bucket, and where the block holds them."""
-        rows = []
-        known = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in right["payload"].to_pylist()] or [np.empty(0, np.uint64)]))
+        rows, known = [], [np.empty(0, np.uint64)]
+        for bucket, data in zip(right["bucket"].to_pylist(), right["payload"].to_pylist()):
+            known.append(np.frombuffer(data, dtype=np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+        known = np.sort(np.concatenate(known))
         for block, payload in zip(left["block"].to_pylist(), left["payload"].to_pylist()):
             keys, _, lengths, text = unpack(payload)
             ends = np.cumsum(lengths)
-            first, last, anchors = segments(text, ends, least, gram)
-            if not len(known) or not len(anchors):
+            first, last, anchor, hashes = segments(text, ends, least, gram)
+            at = address(hashes, buckets)
+            if not len(known) or not len(at):
                 continue
-            there = known[np.minimum(np.searchsorted(known, anchors), len(known) - 1)] == anchors
-            first, last, anchors = first[there], last[there], anchors[there]
+            there = known[np.minimum(np.searchsorted(known, at), len(known) - 1)] == at
+            first, last, anchor, at = first[there], last[there], anchor[there], at[there]
             if not len(first):
                 continue
             owner = np.searchsorted(ends, first, side="right")
@@ -316,41 +346,40 @@ def cut_repeats(
             number = np.array([seen.setdefault(plain[a:b], len(seen)) for a, b in zip(first.tolist(), (last + least).tolist())], dtype=np.int64)
             lowest = np.full(len(seen), NO_KEY, dtype=np.int64)
             np.minimum.at(lowest, number, keys[owner])
-            anchor = np.empty(len(seen), dtype=np.uint64)
-            anchor[number] = anchors
-            bucket, parts = bucket_of(anchor, buckets), list(seen)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), dtype=np.int64)
+            offset, bucket = np.empty(len(seen), dtype=np.uint16), np.empty(len(seen), dtype=np.int64)
+            offset[number] = anchor - first
+            bucket[number] = at >> np.uint64(32)
+            parts, order = list(seen), np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), dtype=np.int32)
             place[order] = np.arange(len(order))
-            rows.append({"bucket": -1, "block": block, "payload": pack(first, place[number].astype(np.int32))})
+            rows.append({"bucket": -1, "block": block, "payload": pack(first, place[number])})
             for b, e in zip(*runs(bucket[order])):
                 some = order[b:e]
                 own = [parts[i] for i in some]
                 sizes = np.array([len(p) for p in own], dtype=np.int32)
-                rows.append({"bucket": int(bucket[some[0]]), "block": block, "payload": pack(anchor[some], lowest[some], sizes, np.frombuffer(b"".join(own), dtype=np.uint8))})
+                payload = pack(offset[some], lowest[some], sizes, np.frombuffer(b"".join(own), dtype=np.uint8))
+                rows.append({"bucket": int(bucket[some[0]]), "block": block, "payload": payload})
         return pa.Table.from_pylist(rows, schema=PIECE)
 
     def settle(table: pa.Table) -> pa.Table:
         """The smallest key per window of every segment of a bucket, sent back by block."""
-        seen, keys, anchors, blocks_of = {}, [], [], []
+        seen, keys, offsets, blocks_of = {}, [], [], []
         for payload in table["payload"].to_pylist():
-            anchor, lowest, sizes, text = unpack(payload)
+            offset, lowest, sizes, text = unpack(payload)
             plain, at, numbers = text.tobytes(), 0, []
-            for a, k, size in zip(anchor.tolist(), lowest.tolist(), sizes.tolist()):
+            for o, k, size in zip(offset.tolist(), lowest.tolist(), sizes.tolist()):
                 part = plain[at : at + size]
                 at += size
                 n = seen.setdefault(part, len(seen))
                 if n == len(keys):
                     keys.append(k)
-                    anchors.append(a)
+                    offsets.append(o)
                 elif k < keys[n]:
                     keys[n] = k
                 numbers.append(n)
             blocks_of.append(numbers)
-        parts, keys, anchors = list(seen), np.array(keys, dtype=np.int64), np.array(anchors, dtype=np.uint64)
-        # A segment that is its anchor's only one shares no window with another.
-        _, place, count = np.unique(anchors, return_inverse=True, return_counts=True)
-        several = np.nonzero(count[place] > 1)[0]
+        parts, keys = list(seen), np.array(keys, dtype=np.int64)
+        several = np.nonzero(meeting(parts, np.array(offsets), least, gram))[0]
         found = dict(zip(several.tolist(), least_keys([parts[i] for i in several], keys[several], least)))
         rows = []
         for block, numbers in zip(table["block"].to_pylist(), blocks_of):
@@ -390,7 +419,7 @@ def cut_repeats(
     )
     piece = "bucket long, block long, payload binary"
     offers = blocks.mapInArrow(offer, f"{piece}, n long")
-    common = materialise(offers.groupBy("bucket").applyInArrow(shared, "block long, payload binary"))
+    common = materialise(offers.groupBy("bucket").applyInArrow(shared, piece))
     pieces = materialise(blocks.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(gather, piece))
     answers = materialise(pieces.filter("bucket >= 0").groupBy("bucket").applyInArrow(settle, piece))
     texts = blocks.select(F.lit(-2).cast("long").alias("bucket"), "block", "payload").unionAll(pieces.filter("bucket = -1"))
