@@ -324,41 +324,47 @@ def cut_repeats(
         rows = [{"bucket": bucket, "block": ids[owner[kept[b]]], "payload": tags[kept[b:e]].tobytes()} for b, e in zip(*runs(owner[kept]))]
         return pa.Table.from_pylist(rows, schema=PIECE)
 
-    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Distinct segments of shared anchors by bucket, and where the block holds them."""
-        rows, known = [], [np.empty(0, np.uint64)]
-        for bucket, data in zip(right["bucket"].to_pylist(), right["payload"].to_pylist()):
+    def shared_segments(text: np.ndarray, ends: np.ndarray, tables: list[tuple[int, bytes]]) -> tuple | None:
+        """Segments of a block whose anchors are shared: their first windows, numbers of their texts, and
+        per text (in bucket order, as both callers rely on) the bucket, the offset of the anchor and the bytes."""
+        known = [np.empty(0, np.uint64)]
+        for bucket, data in tables:
             known.append(np.frombuffer(data, dtype=np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
         known = np.sort(np.concatenate(known))
+        first, last, anchor, hashes = segments(text, ends, least, gram)
+        at = address(hashes, buckets)
+        if not len(known) or not len(at):
+            return None
+        there = known[np.minimum(np.searchsorted(known, at), len(known) - 1)] == at
+        first, last, anchor, at = first[there], last[there], anchor[there], at[there]
+        if not len(first):
+            return None
+        plain, seen = text.tobytes(), {}
+        number = np.array([seen.setdefault(plain[a:b], len(seen)) for a, b in zip(first.tolist(), (last + least).tolist())], dtype=np.int64)
+        offset, bucket = np.empty(len(seen), dtype=np.uint16), np.empty(len(seen), dtype=np.int64)
+        offset[number] = anchor - first
+        bucket[number] = at >> np.uint64(32)
+        parts, order = list(seen), np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return first, place[number], bucket[order], offset[order], [parts[i] for i in order]
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Distinct segments of shared anchors by bucket, with the smallest key of the block for each."""
+        rows, tables = [], list(zip(right["bucket"].to_pylist(), right["payload"].to_pylist()))
         for block, payload in zip(left["block"].to_pylist(), left["payload"].to_pylist()):
             keys, _, lengths, text = unpack(payload)
             ends = np.cumsum(lengths)
-            first, last, anchor, hashes = segments(text, ends, least, gram)
-            at = address(hashes, buckets)
-            if not len(known) or not len(at):
-                continue
-            there = known[np.minimum(np.searchsorted(known, at), len(known) - 1)] == at
-            first, last, anchor, at = first[there], last[there], anchor[there], at[there]
-            if not len(first):
+            found = shared_segments(text, ends, tables)
+            if found is None:
                 continue
-            owner = np.searchsorted(ends, first, side="right")
-            plain, seen = text.tobytes(), {}
-            number = np.array([seen.setdefault(plain[a:b], len(seen)) for a, b in zip(first.tolist(), (last + least).tolist())], dtype=np.int64)
-            lowest = np.full(len(seen), NO_KEY, dtype=np.int64)
-            np.minimum.at(lowest, number, keys[owner])
-            offset, bucket = np.empty(len(seen), dtype=np.uint16), np.empty(len(seen), dtype=np.int64)
-            offset[number] = anchor - first
-            bucket[number] = at >> np.uint64(32)
-            parts, order = list(seen), np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), dtype=np.int32)
-            place[order] = np.arange(len(order))
-            rows.append({"bucket": -1, "block": block, "payload": pack(first, place[number])})
-            for b, e in zip(*runs(bucket[order])):
-                some = order[b:e]
-                own = [parts[i] for i in some]
-                sizes = np.array([len(p) for p in own], dtype=np.int32)
-                payload = pack(offset[some], lowest[some], sizes, np.frombuffer(b"".join(own), dtype=np.uint8))
-                rows.append({"bucket": int(bucket[some[0]]), "block": block, "payload": payload})
+            first, place, bucket, offset, parts = found
+            lowest = np.full(len(parts), NO_KEY, dtype=np.int64)
+            np.minimum.at(lowest, place, keys[np.searchsorted(ends, first, side="right")])
+            sizes = np.array([len(p) for p in parts], dtype=np.int32)
+            for b, e in zip(*runs(bucket)):
+                payload = pack(offset[b:e], lowest[b:e], sizes[b:e], np.frombuffer(b"".join(parts[b:e]), dtype=np.uint8))
+                rows.append({"bucket": int(bucket[b]), "block": block, "payload": payload})
         return pa.Table.from_pylist(rows, schema=PIECE)
 
     def settle(table: pa.Table) -> pa.Table:
@@ -385,18 +391,21 @@ def cut_repeats(
         for block, numbers in zip(table["block"].to_pylist(), blocks_of):
             lows = [found[n] if n in found else np.full(len(parts[n]) - least + 1, keys[n]) for n in numbers]
             sizes = np.array([len(x) for x in lows], dtype=np.int32)
-            rows.append({"bucket": table["bucket"][0].as_py(), "block": block, "payload": pack(sizes, np.concatenate(lows))})
+            # Answers are told from tags by the sign.
+            rows.append({"bucket": -1 - table["bucket"][0].as_py(), "block": block, "payload": pack(sizes, np.concatenate(lows))})
         return pa.Table.from_pylist(rows, schema=PIECE)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        payload = {k: p for k, p in zip(left["bucket"].to_pylist(), left["payload"].to_pylist())}
-        keys, none, lengths, text = unpack(payload[-2])
+        """The responses of a block without their covered bytes."""
+        keys, none, lengths, text = unpack(left["payload"][0].as_py())
         ends = np.cumsum(lengths)
         begins = ends - lengths
         starts = np.zeros(len(text) + 1, dtype=np.int32)
-        if -1 in payload and len(right):
-            first, place = unpack(payload[-1])
-            answers = sorted(zip(right["bucket"].to_pylist(), right["payload"].to_pylist()))
+        sent = list(zip(right["bucket"].to_pylist(), right["payload"].to_pylist()))
+        found = shared_segments(text, ends, [x for x in sent if x[0] >= 0])
+        if found is not None:
+            first, place, *_ = found
+            answers = sorted((-1 - bucket, data) for bucket, data in sent if bucket < 0)
             sizes, lows = (np.concatenate(x) for x in zip(*(unpack(p) for _, p in answers)))
             offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             count = sizes[place]
@@ -420,10 +429,11 @@ def cut_repeats(
     piece = "bucket long, block long, payload binary"
     offers = blocks.mapInArrow(offer, f"{piece}, n long")
     common = materialise(offers.groupBy("bucket").applyInArrow(shared, piece))
-    pieces = materialise(blocks.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(gather, piece))
-    answers = materialise(pieces.filter("bucket >= 0").groupBy("bucket").applyInArrow(settle, piece))
-    texts = blocks.select(F.lit(-2).cast("long").alias("bucket"), "block", "payload").unionAll(pieces.filter("bucket = -1"))
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, KEEP_SQL.format(key=key))
+    pieces = blocks.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(gather, piece)
+    answers = materialise(pieces.groupBy("bucket").applyInArrow(settle, piece))
+    # Segments are found once more at the end: that is cheaper than to keep them.
+    sent = common.unionAll(answers).groupBy("block")
+    return blocks.groupBy("block").cogroup(sent).applyInArrow(cut, KEEP_SQL.format(key=key))
 
 
 OFFER = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("n", pa.int64())])
