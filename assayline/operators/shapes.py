@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.colour import full_hex, is_hex
-from assayline.operators.scale import numbered, spread_join
+from assayline.operators.scale import HOT_MIN_ROWS, numbered, spread_join
 
 # Grid kinds with the sizes each needs, and the colour rule used when none fits.
 GRID_SIZES = {"circle_grid": ("radius",), "rect_grid": ("width", "height")}
@@ -36,7 +36,9 @@ def first_seen_dictionary(
         .agg(F.min(F.struct(*order)).alias("__first"))
         .select(*group, value, *[F.col(f"__first.{c}").alias(f"__o_{c}") for c in order])
     )
-    ids = numbered(seen, group, [*[f"__o_{c}" for c in order], value], "__n", rows_per_slice, rows)
+    # The rows of ``df`` bound those of its aggregate, and counting them needs no shuffle.
+    bound = df.count() if rows is None else rows
+    ids = numbered(seen, group, [*[f"__o_{c}" for c in order], value], "__n", rows_per_slice, bound)
     return ids.select(*group, value, (F.col("__n") - 1).alias(name))
 
 
@@ -51,7 +53,10 @@ def encode_first_seen(
     **sizing,
 ) -> DataFrame:
     """Add the dictionary id of ``value`` to every row, NULL for NULL values."""
-    words = first_seen_dictionary(df, group, value, order, name, rows_per_slice, rows)
+    bound = df.count() if rows is None else rows
+    words = first_seen_dictionary(df, group, value, order, name, rows_per_slice, bound)
+    if not sizing and bound <= HOT_MIN_ROWS:
+        sizing = {"hot": []}
     return spread_join(df, words, [*group, value], "left", null_safe=True, **sizing)
 
 

@@ -11,7 +11,7 @@ from assayline.functions.colour import full_hex, is_hex
 from assayline.operators.contract import CANVAS, Contract, canvas_elements, document_faults
 from assayline.operators.reference import definition_text
 from assayline.operators.render import assemble
-from assayline.operators.scale import spread_join
+from assayline.operators.scale import HOT_MIN_ROWS, spread_join
 from assayline.operators.shapes import element_colours, expand_grid, first_seen_dictionary
 from assayline.session import materialise
 
@@ -51,7 +51,13 @@ def colour_definitions(names: DataFrame, key: Sequence[str], part_items: int, **
 
 
 def element_lists(
-    elements: DataFrame, names: DataFrame, key: Sequence[str], part_items: int, contract: Contract = CANVAS, **sizing
+    elements: DataFrame,
+    names: DataFrame,
+    key: Sequence[str],
+    part_items: int,
+    contract: Contract = CANVAS,
+    rows: int | None = None,
+    **sizing,
 ) -> DataFrame:
     """Elements of a document bottom to top, one ``type colour`` per line, in pages of ``part_items``;
     unknown types are left out and hex colours appear under their names."""
@@ -61,7 +67,7 @@ def element_lists(
     )
     named = spread_join(known, names, [*key, "hex"], "left", null_safe=True, **sizing)
     text = F.concat_ws(" ", "type", F.coalesce("name", "color"))
-    return assemble(named, key, ["pos"], text, "\n", part_items=part_items)
+    return assemble(named, key, ["pos"], text, "\n", part_items=part_items, rows=rows)
 
 
 def canvas_listing(docs: DataFrame, key: Sequence[str], json_col: str, part_items: int) -> DataFrame:
@@ -69,7 +75,11 @@ def canvas_listing(docs: DataFrame, key: Sequence[str], json_col: str, part_item
     # Written once: the elements are read for names, for sizes and for the lists.
     elements = materialise(accepted_elements(docs, key, json_col).withColumn("fields", F.to_json("fields")))
     parsed = elements.withColumn("fields", F.try_variant_get(F.try_parse_json("fields"), "$", "map<string,variant>"))
-    return element_lists(parsed, colour_names(parsed, key), key, part_items)
+    rows = elements.count()
+    # The contract allows a colour and a list of four per element.
+    names = colour_names(parsed, key, rows=5 * rows)
+    hot = {"hot": []} if rows <= HOT_MIN_ROWS else {}
+    return element_lists(parsed, names, key, part_items, rows=rows, **hot)
 
 
 def canvas_cells(docs: DataFrame, key: Sequence[str], json_col: str) -> DataFrame:

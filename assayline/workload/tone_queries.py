@@ -215,6 +215,35 @@ def alias_pivot(t):
     return reference.pivot_alias(rows, ["p_partkey"])
 
 
+# A second map with its own link, background and fallback.
+OTHER_ALIASES = reference.Aliases(
+    roles={"Ink": "neutral", "Paper": "light", "Mark": "accent_1"},
+    link="Mark",
+    background="light",
+    muted="bg_secondary",
+    muted_default="000000",
+    least_ratio=4.5,
+)
+
+
+@query(
+    "alias_other",
+    f"""
+    WITH r AS ({palette_rows_sql(faulty=False)}),
+    w AS (SELECT p_partkey, {", ".join(f"max(substr(hex, 2)) FILTER (WHERE role = '{x}') AS {x}" for x in ROLES)}
+          FROM r GROUP BY p_partkey),
+    l AS (SELECT *, {luminance_sql("accent_1")} AS la, {luminance_sql("light")} AS lb FROM w)
+    SELECT p_partkey, neutral AS "Ink", light AS "Paper",
+           CASE WHEN (greatest(la, lb) + 0.05) / (least(la, lb) + 0.05) < 4.5 AND la IS NOT NULL AND lb IS NOT NULL
+                THEN coalesce(bg_secondary, '000000') ELSE accent_1 END AS "Mark"
+    FROM l
+    """,
+)
+def alias_other(t):
+    aliased = reference.alias_columns(_brands(t, faulty=False), "colors", aliases=OTHER_ALIASES)
+    return aliased.select("p_partkey", *OTHER_ALIASES.roles)
+
+
 # --- layers ------------------------------------------------------------------
 
 

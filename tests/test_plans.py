@@ -158,3 +158,21 @@ def test_materialise_writes_below_the_folder_of_the_session(spark):
     before = set(Path(folder).iterdir()) if Path(folder).exists() else set()
     assert materialise(spark.range(5)).count() == 5
     assert len(set(Path(folder).iterdir()) - before) == 1
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from assayline.session import checkpoint_dir
+
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, applicationId="app", getCheckpointDir=lambda: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: folder))
+
+    assert checkpoint_dir(session("local[8]")).endswith("assayline-app") and checkpoint_dir(session("local"))
+    assert checkpoint_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_dir(session(master))

@@ -149,3 +149,19 @@ def test_catalogue(spark):
       {"id": "f", "pricing": {"prompt": "0", "completion": "0"}, "architecture": {"modality": "text"}}]}"""
     df = spark.createDataFrame([(doc,), ("not json",), (doc,)], "json string")
     assert [tuple(r) for r in filter_catalogue(df).collect()] == [("b", "B", "?", "5", 2), ("z", "z", "8192", "?", 2)]
+
+
+def test_truthy_layers_follow_the_type(spark):
+    from decimal import Decimal
+
+    from assayline.operators.reference import layered
+
+    df = spark.createDataFrame(
+        [("0", Decimal("0.00"), False, 0.0), ("", Decimal("0.10"), True, 2.0), (None, None, None, None)],
+        "s string, d decimal(9,2), b boolean, f double",
+    )
+    got = df.select(
+        layered("truthy", F.col("s"), F.lit("last")), layered("truthy", F.col("d"), F.col("f"), F.lit(7.0)).cast("double"),
+        layered("truthy", F.col("b"), F.lit(None)),
+    ).collect()
+    assert [tuple(r) for r in got] == [("0", 7.0, None), ("last", 0.1, True), ("last", 7.0, None)]

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from assayline.operators.attempts import resolve_attempts
 from assayline.operators.render import assemble
 from assayline.operators.scale import SLICE, hot_keys, in_slices, numbered, running_total, spread_join
 from assayline.operators.shapes import encode_first_seen, first_seen_dictionary
@@ -128,3 +129,20 @@ def test_partners_equal_all_pairs(spark):
     for per_slice in (None, 20):
         got = contrast_partners(df, ["g"], "hex", rows_per_slice=per_slice)
         assert {(r.g, round(r.lum, 9)): r.partners for r in got.collect()} == want
+
+
+def test_partition_count_does_not_matter(spark):
+    df = skewed(spark, 600).withColumn("v", F.concat(F.lit("v"), F.col("id") % 23))
+    tries = df.select("k", "id", F.when(F.col("id") % 50 == 7, "ok").otherwise("busy").alias("status"), "v")
+    seen = []
+    for parts in (1, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spread = df.repartition(parts)
+        jobs = (
+            resolve_attempts(tries.repartition(parts), ["k"], ["id"], "status", "v", "id", rows_per_slice=40),
+            encode_first_seen(spread, ["k"], "v", ["ts", "id"], "code", rows_per_slice=40),
+            assemble(spread, ["k"], ["ts", "id"], F.col("v"), ",", part_items=25, rows_per_slice=40),
+        )
+        seen.append([sorted(map(str, job.collect())) for job in jobs])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1]
