@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Batches = Iterator[pa.RecordBatch]
@@ -44,6 +46,17 @@ def batches_of(build: Callable[[list[dict]], list[dict]], schema: pa.Schema) ->
     return run
 
 
+def known_to_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where it lies, whatever their folder.
+
+    On a cluster the package travels as any other code does (``--py-files``).
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def bytes_total(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of a text column, summed by Spark."""
     return df.select(F.sum(F.octet_length(quoted(text)))).first()[0] or 0

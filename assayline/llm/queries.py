@@ -20,6 +20,7 @@ from assayline.llm import (
     warc_bundles,
     zstd_language,
 )
+from assayline.llm.common import known_to_workers
 from assayline.session import checkpoint_dir, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,7 @@ HELD_OUT = 2
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    known_to_workers(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.llm import raking, secret_ledger, simhash_vptree, tile_decontamination, zstd_language
-from assayline.llm.common import fresh, quoted
+from assayline.llm.common import fresh, known_to_workers, quoted
 from assayline.llm.queries import topic_of
 from assayline.session import materialise
 
@@ -89,6 +89,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known_to_workers(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
