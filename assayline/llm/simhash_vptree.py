@@ -188,13 +188,14 @@ def spanning_links(prints: DataFrame, *, views: int = 1, radius: int = 3, shard_
     ``prints`` holds distinct (view int, fingerprint long), views from 0; only fingerprints of one view
     are compared. Not all pairs come out: each shard
     keeps a spanning forest of the links it finds, at most one edge per fingerprint it sees, and
-    together these connect what all pairs would. The routers are fitted on a bounded sample of
-    ``sample_points`` by hash; they steer the work only, results do not depend on them.
+    together these connect what all pairs would. The routers are fitted on a bounded sample of about
+    ``sample_points`` by hash (none where one shard holds all); they steer the work only, results
+    do not depend on them.
     """
     spark, reach = prints.sparkSession, radius // 2
     count = prints.count() // views
     shards = max(1, -(-count // shard_points))
-    share = min(1.0, 2.0 * sample_points / max(count, 1))
+    share = min(1.0, sample_points / max(count, 1)) if shards > 1 else 0.0
     drawn = prints.select("fingerprint").filter(F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).limit(2 * sample_points)
     sample = np.sort(np.array([r[0] for r in drawn.collect()], dtype=np.int64)).view(np.uint64)
     routers = [Router((sample >> shift) & LOW32, shards) if len(sample) else Router(np.zeros(1, np.uint64), 1) for shift in HALVES]

@@ -28,6 +28,7 @@ def usable(embedding: Column) -> Column:
 
 def pack_tiles(vectors: DataFrame, tile_rows: int) -> DataFrame:
     """Rows (vec_id, embedding) to tiles of about ``tile_rows`` vectors, dealt by a hash of the id."""
+    vectors = materialise(vectors)
     tiles = max(1, -(-vectors.count() // tile_rows))
 
     def pack(table: pa.Table) -> pa.Table:

@@ -10,6 +10,7 @@ size is taken off. Only runs of letters count, in lower case.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
@@ -80,6 +81,10 @@ def learn_dictionaries(
     return content
 
 
+# Of the latest call that a worker has seen.
+_CODERS: dict[str, list] = {}
+
+
 @dataclass
 class Coder:
     """A language's compressor with its primers and their size."""
@@ -139,26 +144,17 @@ def identify_language(
     Columns of these names in the input are replaced.
     """
     schema = "lang_pred string, score double, rejected boolean"
-    shared = responses.sparkSession.sparkContext.broadcast(content)
+    shared, name = responses.sparkSession.sparkContext.broadcast(content), uuid.uuid4().hex
 
     @F.pandas_udf(schema)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        coders = _coders(shared.value, level)
+        if name not in _CODERS:  # built once per worker, which may serve several calls in turn
+            _CODERS.clear()
+            _CODERS[name] = compressors(shared.value, level)
+        coders = _CODERS[name]
         return pd.DataFrame([judge(t, coders, reject_margin) for t in texts], columns=["lang_pred", "score", "rejected"])
 
     (found,) = fresh(responses, "found")
     kept = [quoted(c) for c in responses.columns if c not in ("lang_pred", "score", "rejected")]
     judged = responses.select(*kept, predict(quoted(raw).cast("string")).alias(found))
     return judged.select(*kept, f"{found}.*")
-
-
-_CODERS: dict[tuple[int, int], list] = {}
-
-
-def _coders(content: dict[str, bytes], level: int) -> list:
-    """The coders of one worker, built once."""
-    at = (id(content), level)
-    if at not in _CODERS:
-        _CODERS.clear()
-        _CODERS[at] = compressors(content, level)
-    return _CODERS[at]
