@@ -28,7 +28,8 @@ def incident_windows(
     """Non-overlapping windows of ``k`` events from each trigger: (key, start_line, subject,
     events, total). With ``dedup`` only the first window per subject of the trigger stays."""
     slim = events.select(*key, *order, F.coalesce(trigger, F.lit(False)).alias("__opens"), subject, value)
-    lines = numbered(slim, key, order, "line_no", rows_per_slice)
+    # Read for the triggers and again for the lines in windows; numbered once.
+    lines = materialise(numbered(slim, key, order, "line_no", rows_per_slice))
     starts = window_starts(lines, key, "line_no", F.col("__opens"), k, **folding)
     inside = window_lines(lines, starts, key, "line_no", k)
     windows = inside.groupBy(*key, "start_line").agg(
