@@ -288,7 +288,12 @@ def near_duplicate_classes(prints: DataFrame, *, key: str = "request_id", radius
 
 # --- near-duplicates by similarity ------------------------------------------------------------
 
-SKETCH = pa.schema([("key", pa.int64()), ("same", pa.binary()), ("prints", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("key", pa.int64()), ("same", pa.binary()), ("size", pa.int32()), ("parity", pa.binary()), ("prints", pa.list_(pa.int64()))])
+HELD = pa.schema([("id", pa.int64()), ("held", pa.binary())])
+POSTING = pa.schema([("token", pa.int64()), ("id", pa.int64())])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PARITY_BITS = 512
+SLACK = 1e-6
 
 
 def sample_prints(hashes: np.ndarray, views: int, sample: int) -> list[int]:
@@ -303,6 +308,58 @@ def sample_prints(hashes: np.ndarray, views: int, sample: int) -> list[int]:
     return found
 
 
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Per bucket of hashes whether it holds an odd number: two sketches differ in no more bits than the sets in members."""
+    counts = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the first shingles, rarest first, that two sets of ``similarity`` or more share one of them.
+
+    ``common`` holds the shingles known to be frequent, sorted, with their ``counts``; others count as 0.
+    """
+    size = len(hashes)
+    if not size:
+        return hashes
+    at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
+    known = common[at] == hashes if len(common) else np.zeros(size, dtype=bool)
+    rank = np.where(known, counts[at], 0) if len(common) else np.zeros(size, dtype=np.int64)
+    return hashes[np.lexsort((hashes, rank))][: size - int(np.ceil(similarity * size - SLACK)) + 1]
+
+
+def close_pairs(table: pa.Table, similarity: float, nearest: bool) -> pa.Table:
+    """Pairs of different components in the cells of ``table`` whose sizes and parities leave ``similarity`` possible.
+
+    With ``nearest``, of a member's pairs with one other component only the one with the closest parities.
+    """
+    token, i, j, block, ids, comp, size = (table[c].to_numpy() for c in ("token", "i", "j", "block", "id", "comp", "size"))
+    parity = np.frombuffer(b"".join(table["parity"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+    order = np.lexsort((ids, j, i, token))
+    cuts = np.nonzero((np.diff(token[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0))[0] + 1
+    bound, found = (1 - similarity) / (1 + similarity), set()
+    for cell in np.split(order, cuts):
+        left, right = cell[block[cell] == i[cell]], cell[block[cell] == j[cell]]
+        for at in range(0, len(left), 128):
+            x, y = left[at : at + 128, None], right[None, :]
+            row, col = np.nonzero((comp[x] != comp[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - SLACK))
+            row, col = left[at + row], right[col]
+            for start in range(0, len(row), 262_144):
+                x, y = row[start : start + 262_144], col[start : start + 262_144]
+                apart = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
+                near = apart <= bound * (size[x].astype(np.int64) + size[y]) + SLACK
+                x, y, apart = x[near], y[near], apart[near]
+                if nearest:
+                    first = np.lexsort((ids[y], apart, comp[y], ids[x]))
+                    x, y = x[first], y[first]
+                    new = np.ones(len(x), dtype=bool)
+                    new[1:] = (np.diff(ids[x]) != 0) | (np.diff(comp[y]) != 0)
+                    x, y = x[new], y[new]
+                found.update(zip(np.maximum(ids[x], ids[y]).tolist(), np.minimum(ids[x], ids[y]).tolist()))
+    a, b = zip(*found) if found else ((), ())
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR)
+
+
 def near_duplicates(
     responses: DataFrame,
     *,
@@ -313,30 +370,46 @@ def near_duplicates(
     views: int = 8,
     sample: int = 3,
     radius: int = 3,
+    sample_texts: int = 20_000,
+    common_shingles: int = 500_000,
+    block_texts: int = 2_048,
 ) -> DataFrame:
     """(key, component_id) per response: the smallest key among it and its near copies, theirs included.
 
     Two texts are near copies if their sets of ``words``-word shingles have a Jaccard similarity of
-    ``similarity`` or more. One fingerprint of a whole text differs in far more than ``radius`` bits at such
-    similarities, so each text has ``views`` fingerprints, each over the ``sample`` shingles that come
-    first in an order of its own: two texts of similarity s agree in a view with probability s**sample
-    (0.997 over eight views at 0.8). The trees find fingerprints within ``radius`` bits; within a
-    group of these every text is compared with one text, another one in every view, by its whole shingle
-    set. Equal sets are one node, so copies are merged before the search and no pair of copies is built.
-    Keys are long; rows repeated under one key are one document (their first by text counts); null keys
+    ``similarity`` or more. All such pairs count. Two steps find them:
+
+    - Most are joined cheaply. Each text has ``views`` fingerprints, each over the ``sample`` shingles that
+      come first in an order of its own. Within a group of one fingerprint every text is compared with
+      one text, another one in every view.
+    - The rest by an exact join. Of each text the rarest shingles are listed, so many that two near copies share
+      one of them (prefix filter). Texts listed under one shingle that are of different components so far
+      meet, unless sizes or parities of their sets rule the similarity out: first each
+      with the nearest of every other component, then, in the components as they are by then, all.
+
+    Every pair is confirmed by the whole shingle sets. What is frequent is learned from about ``sample_texts``
+    texts by hash, at most ``common_shingles`` shingles; it steers the work only. A long list is dealt in blocks
+    of about ``block_texts``; its largest component does not meet itself. Equal sets are one node, so copies are
+    merged before the search. Texts that share rare shingles and stay apart do meet in pairs: the work then
+    grows with the square of such a list, the rows only with the pairs left possible.
+    Keys are long; rows repeated under one key are one document (the one of the smallest digest); null keys
     take no part. Wordless texts count as copies of each other.
     """
+    spark = responses.sparkSession
     rows = responses.select(quoted(key).cast("long").alias("key"), quoted(raw).cast("string").alias("raw")).filter("key IS NOT NULL")
+    shingles = lambda t: np.unique(shingle_hashes(t, words))
+    digest = lambda s: xxhash.xxh128_digest(s.tobytes())
 
     def sketch(batches: Batches) -> Batches:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
-            same = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
             prints = [np.array(sample_prints(s, views, sample), dtype=np.uint64).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], schema=SKETCH)
+            columns = [[digest(s) for s in sets], [len(s) for s in sets], [parity_sketch(s) for s in sets], prints]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(SKETCH)[1:]))], schema=SKETCH)
 
-    texts = materialise(rows.mapInArrow(sketch, "key long, same binary, prints array<long>").groupBy("key").agg(F.min_by(F.struct("same", "prints"), "same").alias("s")).select("key", "s.*"))
-    classes = materialise(texts.groupBy("same").agg(F.min("key").alias("first"), F.any_value("prints").alias("prints")))
+    sketched = rows.mapInArrow(sketch, "key long, same binary, size int, parity binary, prints array<long>")
+    texts = materialise(sketched.groupBy("key").agg(F.min_by(F.struct("same", "size", "parity", "prints"), "same").alias("s")).select("key", "s.*"))
+    classes = materialise(texts.groupBy("same").agg(F.min_by(F.struct("key", "size", "parity", "prints"), "key").alias("s")).select("same", F.col("s.key").alias("first"), "s.size", "s.parity", "s.prints"))
     members = materialise(classes.select("first", F.posexplode("prints").alias("view", "fingerprint")))
     order = F.xxhash64("first", "view")
     # One text per fingerprint and view, by a hash that differs from view to view.
@@ -346,15 +419,16 @@ def near_duplicates(
     ends = heads.select("view", "fingerprint", "head")
     across = links.join(ends.withColumnsRenamed({"fingerprint": "a", "head": "x"}), ["view", "a"]).join(ends.withColumnsRenamed({"fingerprint": "b", "head": "y"}), ["view", "b"])
     pairs = within.unionAll(across.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
-    pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    wanted = materialise(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct())
 
     def shingle_sets(batches: Batches) -> Batches:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "held"])
-
-    held = materialise(rows.join(wanted, "key", "left_semi").mapInArrow(shingle_sets, "key long, held binary").groupBy("key").agg(F.min("held").alias("held")))
+            ids, held = [], []
+            for id_, text, same in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                of = shingles(text)
+                if digest(of) == same:  # another text under the same key
+                    ids.append(id_)
+                    held.append(of.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], schema=HELD)
 
     def verify(batches: Batches) -> Batches:
         for batch in batches:
@@ -365,12 +439,78 @@ def near_duplicates(
                 good.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(held.withColumnsRenamed({"key": "a", "held": "x"}), "a").join(held.withColumnsRenamed({"key": "b", "held": "y"}), "b")
-    edges = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    roots = materialise(components(edges))
-    named = classes.select("same", "first").join(roots.withColumnsRenamed({"node": "first", "root": "least"}), "first", "left")
-    named = materialise(named.select("same", F.coalesce("least", "first").alias("component_id")))
-    return texts.select("key", "same").join(named, "same").select(F.col("key").alias(key), "component_id")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        wanted = materialise(pairs.select(F.col("a").alias("first")).unionAll(pairs.select(F.col("b").alias("first"))).distinct())
+        chosen = classes.join(wanted, "first", "left_semi").select(F.col("first").alias("key"), "same")
+        held = rows.join(chosen, "key").select("key", "raw", "same").mapInArrow(shingle_sets, "id long, held binary")
+        held = materialise(held.groupBy("id").agg(F.min("held").alias("held")))
+        both = pairs.join(held.withColumnsRenamed({"id": "a", "held": "x"}), "a").join(held.withColumnsRenamed({"id": "b", "held": "y"}), "b")
+        return materialise(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+
+    def tied(edges: DataFrame) -> DataFrame:
+        """(same, first, size, parity, comp): every class with the smallest one it is tied to."""
+        roots = materialise(components(edges))
+        named = classes.drop("prints").join(roots.withColumnsRenamed({"node": "first", "root": "least"}), "first", "left")
+        return materialise(named.select("same", "first", "size", "parity", F.coalesce("least", "first").alias("comp")))
+
+    edges = confirmed(pairs)
+    named = tied(edges)
+
+    # What is frequent, from a bounded sample of the classes.
+    count = max(classes.count(), 1)
+    drawn = classes.filter(F.pmod(F.xxhash64("same"), F.lit(1 << 40)) < F.lit(int(min(1.0, sample_texts / count) * (1 << 40)))).select(F.col("first").alias("key"), "same")
+
+    def listed(batches: Batches, choose) -> Batches:
+        for batch in shingle_sets(batches):
+            sets = [choose(np.frombuffer(x, dtype=np.uint64)) for x in batch.column(1).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+            tokens = np.concatenate(sets).view(np.int64) if sets else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(ids, pa.int64())], schema=POSTING)
+
+    whole = rows.join(drawn, "key").select("key", "raw", "same").mapInArrow(lambda batches: listed(batches, lambda s: s), "token long, id long")
+    often = whole.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(common_shingles).toPandas()
+    often_tokens = often["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    sort = np.argsort(often_tokens)
+    shared = spark.sparkContext.broadcast((often_tokens[sort], often["n"].to_numpy(dtype=np.int64)[sort]))
+
+    def prefixes(batches: Batches) -> Batches:
+        return listed(batches, lambda s: prefix(s, *shared.value, similarity))
+
+    chosen = classes.select(F.col("first").alias("key"), "same")
+    postings = materialise(rows.join(chosen, "key").select("key", "raw", "same").mapInArrow(prefixes, "token long, id long").distinct())
+    lists = postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    postings = materialise(postings.join(lists, "token", "left_semi"))
+
+    def meeting(nearest: bool):
+        return lambda table: close_pairs(table, similarity, nearest)
+
+    # A list's minor components in blocks from 0, its largest in blocks after these.
+    cells = """
+        flatten(array(
+            transform(sequence(0, least(block, minors - 1)), x -> struct(x AS i, block AS j)),
+            CASE WHEN block < minors AND block < blocks - 1
+                 THEN transform(sequence(block + 1, blocks - 1), x -> struct(block AS i, x AS j))
+                 ELSE cast(array() AS array<struct<i: int, j: int>>) END))
+    """
+    for nearest in (True, False):
+        of = postings.join(named.select(F.col("first").alias("id"), "comp", "size", "parity"), "id")
+        sizes = of.groupBy("token", "comp").agg(F.count("*").alias("n"))
+        lists = sizes.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n")).filter("n > most")
+        lists = materialise(lists.withColumns({"minors": F.ceil((F.col("n") - F.col("most")) / block_texts).cast("int"), "majors": F.ceil(F.col("most") / block_texts).cast("int")}))
+        if lists.isEmpty():
+            break
+        spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        block = F.when(F.col("comp") == F.col("major"), F.col("minors") + spread("majors")).otherwise(spread("minors"))
+        dealt = of.join(lists, "token").withColumns({"block": block, "blocks": F.col("minors") + F.col("majors")})
+        dealt = dealt.select("token", "n", "block", "id", "comp", "size", "parity", F.explode(F.expr(cells)).alias("cell")).select("*", "cell.*")
+        # Short lists share groups of about a block.
+        groups = max(1, lists.filter(F.col("n") <= block_texts).agg(F.sum("n")).first()[0] or 0) // block_texts + 1
+        dealt = dealt.withColumn("cell", F.when(F.col("n") <= block_texts, F.pmod(F.xxhash64("token"), F.lit(groups))).otherwise(F.xxhash64("token", "i", "j")))
+        pairs = dealt.groupBy("cell").applyInArrow(meeting(nearest), "a long, b long")
+        edges = edges.unionAll(confirmed(pairs))
+        named = tied(edges)
+    return texts.select("key", "same").join(named.select("same", "comp"), "same").select(F.col("key").alias(key), F.col("comp").alias("component_id"))
 
 
 def hexadecimal(fingerprint: str = "fingerprint"):

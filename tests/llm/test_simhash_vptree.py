@@ -139,3 +139,19 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == [(1, 1), (2, 2)]
     assert sv.near_duplicates(table.limit(0)).count() == 0
     assert sv.fingerprints(table).select(F.max("fingerprint")).first()[0] is not None
+
+
+def test_edited_copies_of_one_base_that_are_far_from_each_other(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 200)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 301):  # about 0.82 to the base, 0.66 to each other
+        words = list(base)
+        for at in rng.choice(np.arange(5, 195), 4, replace=False):
+            words[int(at)] = f"x{i}_{at}"
+        texts[i] = " ".join(words)
+    table = spark.createDataFrame(list(texts.items()), "request_id long, raw string")
+    want = plain_similar(texts)
+    assert sum(root == 0 for root in want.values()) > 250
+    for block_texts in (2_048, 40):
+        assert {r["request_id"]: r["component_id"] for r in sv.near_duplicates(table, block_texts=block_texts).collect()} == want
