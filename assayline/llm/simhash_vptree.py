@@ -300,9 +300,11 @@ def sample_prints(hashes: np.ndarray, views: int, sample: int) -> list[int]:
     """A SimHash per view, of the ``sample`` shingles that come first in the view's own order."""
     found = []
     for view in range(views):
-        turn = np.uint64((0x9E3779B97F4A7C15 * (2 * view + 1)) % 2**64)
-        mixed = (hashes ^ (hashes >> np.uint64(29))) * turn
-        mixed ^= mixed >> np.uint64(32)
+        # splitmix64 from a start of the view's own: no two orders are tied to each other.
+        mixed = hashes + np.uint64(0x9E3779B97F4A7C15 * (view + 1) % 2**64)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
         first = hashes if len(hashes) <= sample else hashes[np.argpartition(mixed, sample - 1)[:sample]]
         found.append(majority(first))
     return found

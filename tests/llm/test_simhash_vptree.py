@@ -155,3 +155,25 @@ def test_edited_copies_of_one_base_that_are_far_from_each_other(spark):
     assert sum(root == 0 for root in want.values()) > 250
     for block_texts in (2_048, 40):
         assert {r["request_id"]: r["component_id"] for r in sv.near_duplicates(table, block_texts=block_texts).collect()} == want
+
+
+def test_views_are_independent():
+    rng, apart = np.random.default_rng(3), 0
+    for _ in range(2_000):  # similarity 0.9
+        both, own = rng.integers(0, 2**64, 180, dtype=np.uint64), rng.integers(0, 2**64, 20, dtype=np.uint64)
+        a, b = np.concatenate([both, own[:10]]), np.concatenate([both, own[10:]])
+        apart += not any(x == y for x, y in zip(sv.sample_prints(a, 8, 3), sv.sample_prints(b, 8, 3)))
+    assert apart <= 2
+
+
+def test_isolated_pairs_at_the_threshold(spark):
+    rng, texts = np.random.default_rng(8), {}
+    for i in range(400):
+        words = [f"w{w}" for w in rng.integers(0, 10**6, 203)]
+        texts[2 * i] = " ".join(words)
+        for at in (20, 60, 100, 140):
+            words[at] = "x"
+        texts[2 * i + 1] = " ".join(words)
+    table = spark.createDataFrame(list(texts.items()), "request_id long, raw string")
+    got = {r["request_id"]: r["component_id"] for r in sv.near_duplicates(table).collect()}
+    assert got == plain_similar(texts) and all(got[2 * i + 1] == 2 * i for i in range(400))
