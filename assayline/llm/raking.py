@@ -1,8 +1,9 @@
 """Mixing sources to target weights: raking of token mass, then sampling by calibrated probability.
 
 Iterative proportional fitting on the cells (one per combination of the margins' values): each
-sweep scales the mass of every value of every margin to its target. A response is kept with the
-probability that brings its cell from its present mass to the fitted one.
+sweep scales the mass of every value of every margin to its target. A response is drawn as many times
+in expectation as brings its cell from its present mass to the fitted one: cells that hold less than
+their share are repeated.
 """
 
 from __future__ import annotations
@@ -82,18 +83,20 @@ def mixing_probabilities(
     tolerance: float = 1e-4,
     seed: int = 7,
 ) -> DataFrame:
-    """``responses`` with ``mix_weight``, ``mix_probability`` and ``mix_kept``.
+    """``responses`` with ``mix_weight``, ``mix_probability``, ``mix_kept`` and ``mix_copies``.
 
-    ``mix_weight`` is the fitted share of a row's cell over its present share. The probability is that
-    weight times a common rate, at most 1. ``keep`` sets the rate to aim at this share of all tokens;
-    by default it is the largest that leaves every probability at or under 1, so that the kept
-    tokens meet the targets in expectation. ``targets`` maps a margin to (value, share); margins
-    without get their present shares to the power ``alpha``. A row is kept when a hash of its key and
-    ``seed`` lies under its probability: rows repeated under one key share their fate. Rows without
-    tokens (null or not positive) have weight and probability 0; an empty table gives no row. Input
-    columns of the three names are replaced.
+    ``mix_weight`` is the fitted share of a row's cell over its present share. That weight times a common
+    rate is the expected number of copies; tokens times ``mix_copies`` meet the targets in expectation.
+    ``keep`` is the rate: the copies hold this share of all tokens. Where a cell must grow by more
+    than 1 / ``keep`` its rows come more than once: ``mix_copies`` is the whole part, and one more when a
+    hash of the row's key and ``seed`` lies under the rest. By default the rate is the largest that
+    repeats nothing. ``mix_probability`` is that of one copy or more (the expected number, at most 1),
+    ``mix_kept`` says whether there is one. ``targets`` maps a margin to (value, share); margins
+    without get their present shares to the power ``alpha``. Rows repeated under one key share their
+    fate. Rows without tokens (null or not positive) have weight and probability 0; an empty table gives
+    no row. Input columns of the four names are replaced.
     """
-    made = ("mix_weight", "mix_probability", "mix_kept")
+    made = ("mix_weight", "mix_probability", "mix_kept", "mix_copies")
     responses = responses.select(*(quoted(c) for c in responses.columns if c.lower() not in made))
     cells = materialise(cells_of(responses, margins, tokens))
     wanted = [(targets or {}).get(m) for m in margins]
@@ -113,10 +116,14 @@ def mixing_probabilities(
     weight = F.when(has_tokens, F.coalesce(F.col(names[-1]), F.lit(0.0))).otherwise(F.lit(0.0))
     # 53 bits of a hash of the key, as a number in [0, 1).
     draw = F.shiftrightunsigned(F.xxhash64(quoted(key).cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    expected = F.col("mix_weight") * F.lit(rate)
+    if keep is None:  # rounding must not repeat the rows of the largest weight
+        expected = F.least(F.lit(1.0), expected)
     return (
         responses.join(weights, on, "left")
         .withColumn("mix_weight", weight)
-        .withColumn("mix_probability", F.least(F.lit(1.0), F.col("mix_weight") * F.lit(rate)))
+        .withColumn("mix_probability", F.least(F.lit(1.0), expected))
         .withColumn("mix_kept", draw < F.col("mix_probability"))
+        .withColumn("mix_copies", (F.floor(expected) + (draw < expected - F.floor(expected)).cast("long")).cast("long"))
         .drop(*names)
     )

@@ -67,13 +67,16 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that source, language and topic meet their targets, with their probabilities.
 
-    Targets are the token shares to the power 0.5; about ``KEEP_TOKENS`` of all tokens stay.
+    Targets are the token shares to the power 0.5; the result holds about ``KEEP_TOKENS`` of all tokens.
+    Documents of kinds that must grow come several times, numbered from 1 in ``mix_copy``.
     """
     (topic, tokens) = fresh(docs, "mix_topic", "mix_tokens")
     words = F.size(F.filter(F.split(F.coalesce(quoted("text"), F.lit("")), r"\s+"), lambda w: w != ""))
     rows = docs.withColumns({topic: topic_of("text"), tokens: words.cast("long")})
     mixed = raking.mixing_probabilities(rows, margins=["source", "lang", topic], tokens=tokens, key="doc_id", keep=KEEP_TOKENS)
-    return mixed.filter("mix_kept").drop("mix_kept", tokens)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copy")
+    kept = mixed.filter("mix_copies > 0")
+    return kept.select(*(quoted(c) for c in kept.columns if c not in ("mix_kept", "mix_copies", tokens)), copies)
 
 
 STAGES = [

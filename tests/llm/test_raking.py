@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from assayline.llm import raking
+from assayline.llm.queries import op8_raking, topic_of
 
 ROWS = [(i, f"s{i % 5 if i % 3 else 0}", ("en", "fr", None)[i % 3 if i % 7 else 0], f"t{i % 2}", 10 + i % 40) for i in range(400)]
 SCHEMA = "request_id long, source string, lang string, topic string, tokens long, m0 string, w double"
@@ -69,3 +71,31 @@ def test_targets_without_support_are_scaled_away(spark):
     frames = {"source": spark.createDataFrame([("s0", 1.0), ("nowhere", 3.0), ("s1", 0.0)], "value string, share double")}
     got = raking.mixing_probabilities(table(spark), margins=["source"], tokens="tokens", targets=frames).collect()
     assert {r["source"] for r in got if r["mix_probability"] > 0} == {"s0"}
+
+
+def margins_met(rows, copies, share):
+    """Kept share and margins of ``rows`` (source, lang, topic, tokens, copies) against square roots of the present ones."""
+    total, kept = sum(r["tokens"] for r in rows), sum(r["tokens"] * copies(r) for r in rows)
+    assert kept / total == pytest.approx(share, abs=0.05)
+    for margin in ("source", "lang", "topic"):
+        now, got = {}, {}
+        for r in rows:
+            now[r[margin]] = now.get(r[margin], 0) + r["tokens"]
+            got[r[margin]] = got.get(r[margin], 0) + r["tokens"] * copies(r)
+        roots = sum(n**0.5 for n in now.values())
+        for value, n in now.items():
+            assert got[value] / kept == pytest.approx(n**0.5 / roots, abs=0.03), (margin, value)
+
+
+def test_query_meets_targets_and_share(spark):
+    got = op8_raking(spark, "/root/testdata/sf0.01").collect()
+    margins_met(got, lambda r: r["mix_copies"], 0.5)
+    assert all(r["mix_kept"] == (r["mix_copies"] > 0) for r in got)
+
+
+def test_stage_meets_targets_and_share(spark):
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("tokens")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    drawn = corpus_pipeline.mixture(spark, docs, "").groupBy("doc_id").count()
+    rows = docs.select("doc_id", "source", "lang", topic_of("text").alias("topic"), words).join(drawn, "doc_id", "left").fillna(0, ["count"])
+    margins_met(rows.collect(), lambda r: r["count"], corpus_pipeline.KEEP_TOKENS)
