@@ -14,6 +14,7 @@ from assayline.llm import (
     raking,
     secret_ledger,
     simhash_vptree,
+    spelling_variants,
     tile_decontamination,
     topk_search,
     trust_propagation,
@@ -161,6 +162,10 @@ def op10_bwt_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_permuterm_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.count_words(responses(spark, folder), slip_every=31))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -174,6 +179,7 @@ QUERIES: dict[str, Query] = {
         op8_raking,
         op9_zstd_language,
         op10_bwt_dedup,
+        op13_permuterm_variants,
     )
 }
 ORACLES: dict[str, str] = {"op2_topk_search": OP2_SQL, "op4_warc_bundles": OP4_SQL}
