@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayline.llm import (
     bwt_dedup,
+    hard_negatives,
     license_signatures,
     raking,
     secret_ledger,
@@ -162,6 +163,33 @@ def op10_bwt_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    scaled = F.transform("embedding", lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), F.floor(256 * x.cast("double")).cast("double")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", label.alias("label"), scaled.alias("embedding"))
+    return hard_negatives.mine_negatives(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+OP11_SQL = """
+WITH ok AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM ok a JOIN ok c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE same) WHERE r <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS r
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE r <= 10
+"""
+
+
 def op13_permuterm_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.group_variants(spelling_variants.count_words(responses(spark, folder), slip_every=31))
 
@@ -179,7 +207,8 @@ QUERIES: dict[str, Query] = {
         op8_raking,
         op9_zstd_language,
         op10_bwt_dedup,
+        op11_hard_negatives,
         op13_permuterm_variants,
     )
 }
-ORACLES: dict[str, str] = {"op2_topk_search": OP2_SQL, "op4_warc_bundles": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_topk_search": OP2_SQL, "op4_warc_bundles": OP4_SQL, "op11_hard_negatives": OP11_SQL}
