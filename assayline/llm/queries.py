@@ -13,6 +13,7 @@ from assayline.llm import (
     hard_negatives,
     license_signatures,
     raking,
+    rule_quality,
     secret_ledger,
     simhash_vptree,
     spelling_variants,
@@ -190,6 +191,15 @@ SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive
 """
 
 
+def op12_rule_quality(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("request_id").cast("string").cast("binary")) % 5 == 0
+    docs = responses(spark, folder).select("request_id", held_out.alias("held_out"), "raw")
+    judged = materialise(rule_quality.with_statistics(docs))
+    verdicts = table(spark, folder, "labels").select(F.col("doc_id").alias("request_id"), F.col("quality").alias("accepted"))
+    ensemble = rule_quality.fit_rules(judged.filter("NOT held_out").join(verdicts, "request_id"))
+    return rule_quality.score_responses(judged, ensemble).withColumnRenamed("request_id", "doc_id")
+
+
 def op13_permuterm_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.group_variants(spelling_variants.count_words(responses(spark, folder), slip_every=31))
 
@@ -208,6 +218,7 @@ QUERIES: dict[str, Query] = {
         op9_zstd_language,
         op10_bwt_dedup,
         op11_hard_negatives,
+        op12_rule_quality,
         op13_permuterm_variants,
     )
 }
