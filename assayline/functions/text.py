@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,6 +66,11 @@ def plain_number(col: Column) -> Column:
     return F.when(col == whole, whole.cast("bigint").cast("string")).otherwise(col.cast("string"))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once and stands once in the plan, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def binary_round(col: Column, places: int) -> Column:
     """``col`` times 10**places as a whole number: the binary value rounded, exact halves to even.
 
@@ -72,13 +78,18 @@ def binary_round(col: Column, places: int) -> Column:
     value in two parts, each with few bits, then gives the product's error.
     """
     scale = float(10**places)
-    product = col * scale
-    whole = F.floor(product)
-    upper = col * 134217729.0 - (col * 134217729.0 - col)
-    error = (upper * scale - product) + (col - upper) * scale
-    rest = product - whole
-    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 != 0))))
-    return whole + F.when(up, 1).otherwise(0)
+
+    def parts(c: Column) -> Column:
+        upper = c * 134217729.0 - (c * 134217729.0 - c)
+        return F.struct(c.alias("c"), (c * scale).alias("product"), F.floor(c * scale).alias("whole"), upper.alias("upper"))
+
+    def settled(v: Column) -> Column:
+        error = (v["upper"] * scale - v["product"]) + (v["c"] - v["upper"]) * scale
+        rest = v["product"] - v["whole"]
+        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (v["whole"] % 2 != 0))))
+        return v["whole"] + F.when(up, 1).otherwise(0)
+
+    return bind(bind(col, parts), settled)
 
 
 def short_number(col: Column) -> Column:
@@ -86,23 +97,29 @@ def short_number(col: Column) -> Column:
 
     Both roundings look at the binary value, with halves to the even digit.
     """
+
     def fixed(value: Column, places: int) -> Column:
-        digits = F.abs(binary_round(value, places))
-        head = F.floor(digits / 10**places).cast("string")
-        tail = F.lpad((digits % 10**places).cast("string"), places, "0")
-        return F.concat(F.when(value < 0, "-").otherwise(""), head, *([F.lit("."), tail] if places else []))
-
-    value = binary_round(col, 3) / 1000.0
-    size = F.abs(value)
-    text = (
-        F.when(size < 1000, fixed(col, 3))
-        .when(size < 10000, fixed(value, 2))
-        .when(size < 100000, fixed(value, 1))
-        .when(size < 999999.5, fixed(value, 0))
-    )
-    trimmed = F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-    mantissa = F.regexp_replace(F.format_string("%.5e", col), r"\.?0+e", "e")
-    return F.when(size < 999999.5, trimmed).otherwise(mantissa)
+        def written(digits: Column) -> Column:
+            head = F.floor(digits / 10**places).cast("string")
+            tail = F.lpad((digits % 10**places).cast("string"), places, "0")
+            return F.concat(F.when(value < 0, "-").otherwise(""), head, *([F.lit("."), tail] if places else []))
+
+        return bind(F.abs(binary_round(value, places)), written)
+
+    def of(v: Column) -> Column:
+        number, value = v["number"], v["value"]
+        size = F.abs(value)
+        text = (
+            F.when(size < 1000, fixed(number, 3))
+            .when(size < 10000, fixed(value, 2))
+            .when(size < 100000, fixed(value, 1))
+            .when(size < 999999.5, fixed(value, 0))
+        )
+        trimmed = bind(text, lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t))
+        mantissa = F.regexp_replace(F.format_string("%.5e", number), r"\.?0+e", "e")
+        return F.when(size < 999999.5, trimmed).otherwise(mantissa)
+
+    return bind(bind(col, lambda c: F.struct(c.alias("number"), (binary_round(c, 3) / 1000.0).alias("value"))), of)
 
 
 # Beyond \n, a line also ends at these; \r\n counts as one end.
@@ -120,11 +137,4 @@ def split_lines(col: Column) -> Column:
     for end in _OTHER_ENDS[1:]:
         unusual = unusual | F.contains(col, F.lit(end))
     parts = F.when(unusual, F.split(col, r"\r\n|\n|" + LINE_ENDS, -1)).otherwise(F.split(col, "\n", -1))
-    # Bound through a one-item array, so that the split is evaluated once.
-    return F.get(
-        F.transform(
-            F.array(parts),
-            lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p),
-        ),
-        F.lit(0),
-    )
+    return bind(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))

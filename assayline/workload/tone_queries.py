@@ -151,6 +151,32 @@ def contrast_partners(t):
     )
 
 
+_LOW_PAIRS = f"""
+    WITH l AS (SELECT p_partkey, p_brand, {luminance_sql(part_hex_sql())} + 0.05 AS y FROM part)
+    SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, greatest(a.y, b.y) / least(a.y, b.y) AS ratio
+    FROM l a JOIN l b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND greatest(a.y, b.y) / least(a.y, b.y) < 2.5
+"""
+
+
+def _low_pairs(t):
+    return tone.contrast_pairs(t.part.select("p_partkey", "p_brand", part_hex().alias("hex")), ["p_brand"], "p_partkey", "hex")
+
+
+@query("contrast_pairs", f"SELECT p_brand, a, b, round(ratio, 4) AS ratio FROM ({_LOW_PAIRS})")
+def contrast_pairs(t):
+    return _low_pairs(t).withColumn("ratio", F.round("ratio", 4))
+
+
+@query(
+    "contrast_pair_counts",
+    f"SELECT p_brand, count(*) AS n_low, round(max(ratio), 4) AS highest, round(min(ratio), 4) AS lowest FROM ({_LOW_PAIRS}) GROUP BY p_brand",
+)
+def contrast_pair_counts(t):
+    return _low_pairs(t).groupBy("p_brand").agg(
+        F.count(F.lit(1)).alias("n_low"), F.round(F.max("ratio"), 4).alias("highest"), F.round(F.min("ratio"), 4).alias("lowest")
+    )
+
+
 # --- choice ------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.colour import blend, contrast, full_hex, is_hex, luminance
 from assayline.functions.text import pascal_case, plain_number, short_number, split_lines, strip_fences, unwrap_fence
-from assayline.operators.tone import choose_by_preference, choose_over_rows, classify_tone, contrast_audit
+from assayline.operators.tone import choose_by_preference, choose_over_rows, classify_tone, contrast_audit, contrast_pairs
 
 
 def column(spark, values, build, kind="string"):
@@ -85,3 +85,45 @@ def test_text_helpers(spark):
 def test_line_splitting_follows_the_origin(spark):
     texts = ["", "a", "a\n", "a\r\nb\rc", "a\n\nb\n\n", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i", "\n", "a\x0b\n", "\r\n\r\n", "tab\tx\x1fy"]
     assert column(spark, texts, split_lines) == [t.splitlines() for t in texts]
+
+
+def low_pairs(rows, ratio):
+    def lum(h):
+        channels = [int(h[i : i + 2], 16) / 255 for i in (0, 2, 4)]
+        return sum(w * (c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4) for w, c in zip((0.2126, 0.7152, 0.0722), channels))
+
+    found = {}
+    for g, a, x in rows:
+        for h, b, y in rows:
+            if g is not None and g == h and a < b and x and y:
+                r = (max(lum(x), lum(y)) + 0.05) / (min(lum(x), lum(y)) + 0.05)
+                if r < ratio:
+                    found[g, a, b] = r
+    return found
+
+
+@pytest.mark.parametrize("block_rows", [7, 60, 4096])
+def test_low_pairs_of_palette_rows(spark, block_rows):
+    # Half of all rows under one brand, many of one colour, some without brand or colour.
+    rows = [("hot" if i % 2 else f"b{i % 3}", i, f"{i * 9_000_001 % 16_777_216:06X}" if i % 5 else "4CB6B4") for i in range(240)]
+    rows += [(None, 1000, "FFFFFF"), (None, 1001, "FFFFFF"), ("b0", 1002, None), ("b0", 1003, "FFFFFF"), ("b0", 1004, "000000")]
+    df = spark.createDataFrame(rows, "brand string, role int, hex string")
+    for ratio in (2.5, 1.05, 4.5, 30.0):
+        got = contrast_pairs(df, ["brand"], "role", "hex", ratio, block_rows, min_rows=50, share=0.1).collect()
+        want = low_pairs(rows, ratio)
+        assert len(got) == len(want)
+        assert {(r.brand, r.a, r.b): r.ratio for r in got} == pytest.approx(want)
+
+
+def test_low_pairs_at_the_edge(spark):
+    df = spark.createDataFrame([("b", 1, "000000"), ("b", 2, "FFFFFF")], "brand string, role int, hex string")
+    assert contrast_pairs(df, ["brand"], "role", "hex", 21.0).count() == 0
+    assert contrast_pairs(df, ["brand"], "role", "hex", 21.0001).count() == 1
+    assert contrast_pairs(df.limit(0), ["brand"], "role", "hex").count() == 0
+    with pytest.raises(ValueError):
+        contrast_pairs(df, ["brand"], "role", "hex", 1.0)
+
+
+def test_a_number_format_stays_a_small_expression(spark):
+    plan = spark.range(1).select(short_number(F.col("id") / 7.0))._jdf.queryExecution().toString()
+    assert len(plan) < 100_000
