@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,12 +40,65 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Removes the shuffle files of a query as soon as it has ended; unknown to releases before 4.1, which ignore it.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+# Paths written inside open ``scratch`` blocks, the innermost last.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that start and end inside leave no shuffle files; for writes, whose plans nothing reads again."""
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_CONF)
+        else:
+            spark.conf.set(CLEANUP_CONF, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table that later steps read several times, and read it back.
 
     It cuts the lineage: a lost executor costs a read, not the steps before. Parquet keeps
-    column pruning and sizes for the steps after.
+    column pruning and sizes for the steps after. The shuffle files of the write go with its end.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/assayline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose materialised tables are removed at its end.
+
+    It yields ``keep``: what the block leaves behind is written by it, and lasts as long as the block
+    around this one, if any. Plans built inside and not kept must not be used after the block.
+    """
+    _WRITTEN.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        mine = _WRITTEN.pop()
+        try:
+            return materialise(df)
+        finally:
+            _WRITTEN.append(mine)
+
+    try:
+        yield keep
+    finally:
+        for path in _WRITTEN.pop():
+            remove(spark, path)

@@ -8,6 +8,7 @@ from assayline.operators.render import assemble
 from assayline.operators.scale import SLICE, hot_keys, in_slices, numbered, running_total, spread_join
 from assayline.operators.shapes import encode_first_seen, first_seen_dictionary
 from assayline.operators.tone import contrast_partners
+from assayline.session import CLEANUP_CONF, materialise, scratch
 
 
 def skewed(spark, rows=3000):
@@ -146,3 +147,21 @@ def test_partition_count_does_not_matter(spark):
         seen.append([sorted(map(str, job.collect())) for job in jobs])
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert seen[0] == seen[1]
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    def there(path):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+    def folder(df):
+        return df.inputFiles()[0].rsplit("/", 1)[0]
+
+    with scratch(spark) as outer:
+        with scratch(spark) as keep:
+            inner = materialise(spark.range(10))
+            kept = keep(inner.groupBy(F.col("id") % 3).count())
+        assert not there(folder(inner)) and there(folder(kept)) and kept.count() == 3
+        last = outer(kept.select("count"))
+    assert not there(folder(kept)) and sorted(r[0] for r in last.collect()) == [3, 3, 4]
+    assert spark.conf.get(CLEANUP_CONF, None) is None
