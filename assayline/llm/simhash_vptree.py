@@ -18,9 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assayline.llm.common import Batches, quoted
-from assayline.session import materialise
+from assayline.session import materialise, scratch, shuffles_removed
 
 NOT_WORD = re.compile(r"[\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -288,10 +289,19 @@ def near_duplicate_classes(prints: DataFrame, *, key: str = "request_id", radius
 
 # --- near-duplicates by similarity ------------------------------------------------------------
 
-SKETCH = pa.schema([("key", pa.int64()), ("same", pa.binary()), ("size", pa.int32()), ("parity", pa.binary()), ("prints", pa.list_(pa.int64()))])
-HELD = pa.schema([("id", pa.int64()), ("held", pa.binary())])
-POSTING = pa.schema([("token", pa.int64()), ("id", pa.int64())])
+SKETCH = pa.schema(
+    [
+        ("same", pa.binary()),
+        ("size", pa.int32()),
+        ("parity", pa.binary()),
+        ("prints", pa.list_(pa.int64())),
+        ("rare", pa.list_(pa.int64())),
+        ("known", pa.list_(pa.int64())),
+    ]
+)
+HELD = pa.schema([("id", pa.int64()), ("raw", pa.string())])
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+BROADCAST_KEYS = 1_000_000  # of 24 bytes each
 PARITY_BITS = 512
 SLACK = 1e-6
 
@@ -316,18 +326,20 @@ def parity_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """So many of the first shingles, rarest first, that two sets of ``similarity`` or more share one of them.
 
     ``common`` holds the shingles known to be frequent, sorted, with their ``counts``; others count as 0.
+    Those not known to be frequent come first, the known ones second.
     """
     size = len(hashes)
-    if not size:
-        return hashes
-    at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
-    known = common[at] == hashes if len(common) else np.zeros(size, dtype=bool)
-    rank = np.where(known, counts[at], 0) if len(common) else np.zeros(size, dtype=np.int64)
-    return hashes[np.lexsort((hashes, rank))][: size - int(np.ceil(similarity * size - SLACK)) + 1]
+    known, rank = np.zeros(size, dtype=bool), np.zeros(size, dtype=np.int64)
+    if size and len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        known = common[at] == hashes
+        rank = np.where(known, counts[at], 0)
+    first = np.lexsort((hashes, rank))[: size - int(np.ceil(similarity * size - SLACK)) + 1 if size else 0]
+    return hashes[first[~known[first]]], hashes[first[known[first]]]
 
 
 def close_pairs(table: pa.Table, similarity: float, nearest: bool) -> pa.Table:
@@ -372,7 +384,7 @@ def near_duplicates(
     views: int = 8,
     sample: int = 3,
     radius: int = 3,
-    sample_texts: int = 20_000,
+    sample_texts: int = 8_000,
     common_shingles: int = 500_000,
     block_texts: int = 2_048,
 ) -> DataFrame:
@@ -394,24 +406,67 @@ def near_duplicates(
     of about ``block_texts``; its largest component does not meet itself. Equal sets are one node, so copies are
     merged before the search. Texts that share rare shingles and stay apart do meet in pairs: the work then
     grows with the square of such a list, the rows only with the pairs left possible.
-    Keys are long; rows repeated under one key are one document (the one of the smallest digest); null keys
-    take no part. Wordless texts count as copies of each other.
+    Keys may be of any type that has an order, which decides what is smaller; inside, rows bear numbers. Rows
+    repeated under one key are one document (the one of the smallest digest); null keys
+    take no part. Wordless texts count as copies of each other. The result is written, and all tables before it removed.
     """
+    with scratch(responses.sparkSession) as keep:
+        return keep(
+            _near_duplicates(
+                responses, key, raw, words, similarity, views, sample, radius, sample_texts, common_shingles, block_texts
+            )
+        )
+
+
+def _near_duplicates(
+    responses: DataFrame,
+    key: str,
+    raw: str,
+    words: int,
+    similarity: float,
+    views: int,
+    sample: int,
+    radius: int,
+    sample_texts: int,
+    common_shingles: int,
+    block_texts: int,
+) -> DataFrame:
     spark = responses.sparkSession
-    rows = responses.select(quoted(key).cast("long").alias("key"), quoted(raw).cast("string").alias("raw")).filter("key IS NOT NULL")
+    rows = responses.select(quoted(key).alias("key"), quoted(raw).cast("string").alias("raw")).filter("key IS NOT NULL")
     shingles = lambda t: np.unique(shingle_hashes(t, words))
     digest = lambda s: xxhash.xxh128_digest(s.tobytes())
 
+    # What is frequent, from a bounded sample of the texts. Copies in it only make shingles seem more frequent.
+    def tokens(batches: Batches) -> Batches:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["token"])
+
+    share = min(1.0, sample_texts / max(rows.count(), 1))
+    drawn = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("raw")
+    with shuffles_removed(spark):
+        counted = drawn.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n"))
+        often = counted.filter("n > 1").orderBy(F.desc("n"), "token").limit(common_shingles).toPandas()
+    often_tokens = often["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    sort = np.argsort(often_tokens)
+    shared = spark.sparkContext.broadcast((often_tokens[sort], often["n"].to_numpy(dtype=np.int64)[sort]))
+
     def sketch(batches: Batches) -> Batches:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             prints = [np.array(sample_prints(s, views, sample), dtype=np.uint64).view(np.int64) for s in sets]
-            columns = [[digest(s) for s in sets], [len(s) for s in sets], [parity_sketch(s) for s in sets], prints]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(SKETCH)[1:]))], schema=SKETCH)
-
-    sketched = rows.mapInArrow(sketch, "key long, same binary, size int, parity binary, prints array<long>")
-    texts = materialise(sketched.groupBy("key").agg(F.min_by(F.struct("same", "size", "parity", "prints"), "same").alias("s")).select("key", "s.*"))
-    classes = materialise(texts.groupBy("same").agg(F.min_by(F.struct("key", "size", "parity", "prints"), "key").alias("s")).select("same", F.col("s.key").alias("first"), "s.size", "s.parity", "s.prints"))
+            firsts = [prefix(s, *shared.value, similarity) for s in sets]
+            rare, known = ([f[i].view(np.int64) for f in firsts] for i in range(2))
+            columns = [[digest(s) for s in sets], [len(s) for s in sets], [parity_sketch(s) for s in sets], prints, rare, known]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, SKETCH))], names=["key", *SKETCH.names])
+
+    of_key = rows.schema["key"].dataType.simpleString()
+    fields = f"key {of_key}, same binary, size int, parity binary, prints array<long>, rare array<long>, known array<long>"
+    sketched = materialise(rows.mapInArrow(sketch, fields).withColumn("row", F.monotonically_increasing_id()))
+    slim = ("row", "same", "size", "parity", "prints")
+    texts = materialise(sketched.groupBy("key").agg(F.min_by(F.struct(*slim), F.struct("same", "row")).alias("s")).select("key", "s.*"))
+    classes = texts.groupBy("same").agg(F.min_by(F.struct("key", "row", "size", "parity", "prints"), "key").alias("s"))
+    classes = materialise(classes.select("same", "s.key", F.col("s.row").alias("first"), "s.size", "s.parity", "s.prints"))
     members = materialise(classes.select("first", F.posexplode("prints").alias("view", "fingerprint")))
     order = F.xxhash64("first", "view")
     # One text per fingerprint and view, by a hash that differs from view to view.
@@ -422,67 +477,49 @@ def near_duplicates(
     across = links.join(ends.withColumnsRenamed({"fingerprint": "a", "head": "x"}), ["view", "a"]).join(ends.withColumnsRenamed({"fingerprint": "b", "head": "y"}), ["view", "b"])
     pairs = within.unionAll(across.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
 
-    def shingle_sets(batches: Batches) -> Batches:
+    def chosen_texts(batches: Batches) -> Batches:
         for batch in batches:
-            ids, held = [], []
-            for id_, text, same in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                of = shingles(text)
-                if digest(of) == same:  # another text under the same key
-                    ids.append(id_)
-                    held.append(of.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], schema=HELD)
+            # Another text may stand under the same key.
+            good = [digest(shingles(t)) == same for t, same in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=HELD.names).filter(pa.array(good, pa.bool_()))
 
     def verify(batches: Batches) -> Batches:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                x, y = shingles(x), shingles(y)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        wanted = materialise(pairs.select(F.col("a").alias("first")).unionAll(pairs.select(F.col("b").alias("first"))).distinct())
-        chosen = classes.join(wanted, "first", "left_semi").select(F.col("first").alias("key"), "same")
-        held = rows.join(chosen, "key").select("key", "raw", "same").mapInArrow(shingle_sets, "id long, held binary")
-        held = materialise(held.groupBy("id").agg(F.min("held").alias("held")))
-        both = pairs.join(held.withColumnsRenamed({"id": "a", "held": "x"}), "a").join(held.withColumnsRenamed({"id": "b", "held": "y"}), "b")
+        wanted = pairs.select(F.col("a").alias("first")).unionAll(pairs.select(F.col("b").alias("first"))).distinct()
+        chosen = materialise(classes.join(wanted, "first", "left_semi").select("key", "first", "same"))
+        # Few keys go to the texts; beyond a bound both sides are shuffled.
+        near = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
+        held = rows.join(near, "key").select(F.col("first").alias("id"), "raw", "same").mapInArrow(chosen_texts, "id long, raw string")
+        held = materialise(held.groupBy("id").agg(F.min("raw").alias("raw")))
+        both = pairs.join(held.withColumnsRenamed({"id": "a", "raw": "x"}), "a").join(held.withColumnsRenamed({"id": "b", "raw": "y"}), "b")
         return materialise(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
 
     def tied(edges: DataFrame) -> DataFrame:
-        """(same, first, size, parity, comp): every class with the smallest one it is tied to."""
+        """(same, key, first, size, parity, comp): every class with the smallest one it is tied to."""
         roots = materialise(components(edges))
         named = classes.drop("prints").join(roots.withColumnsRenamed({"node": "first", "root": "least"}), "first", "left")
-        return materialise(named.select("same", "first", "size", "parity", F.coalesce("least", "first").alias("comp")))
+        return materialise(named.select("same", "key", "first", "size", "parity", F.coalesce("least", "first").alias("comp")))
 
     edges = confirmed(pairs)
     named = tied(edges)
 
-    # What is frequent, from a bounded sample of the classes.
-    count = max(classes.count(), 1)
-    drawn = classes.filter(F.pmod(F.xxhash64("same"), F.lit(1 << 40)) < F.lit(int(min(1.0, sample_texts / count) * (1 << 40)))).select(F.col("first").alias("key"), "same")
-
-    def listed(batches: Batches, choose) -> Batches:
-        for batch in shingle_sets(batches):
-            sets = [choose(np.frombuffer(x, dtype=np.uint64)) for x in batch.column(1).to_pylist()]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
-            tokens = np.concatenate(sets).view(np.int64) if sets else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(ids, pa.int64())], schema=POSTING)
-
-    whole = rows.join(drawn, "key").select("key", "raw", "same").mapInArrow(lambda batches: listed(batches, lambda s: s), "token long, id long")
-    often = whole.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(common_shingles).toPandas()
-    often_tokens = often["token"].to_numpy(dtype=np.int64).view(np.uint64)
-    sort = np.argsort(often_tokens)
-    shared = spark.sparkContext.broadcast((often_tokens[sort], often["n"].to_numpy(dtype=np.int64)[sort]))
-
-    def prefixes(batches: Batches) -> Batches:
-        return listed(batches, lambda s: prefix(s, *shared.value, similarity))
-
-    chosen = classes.select(F.col("first").alias("key"), "same")
-    postings = materialise(rows.join(chosen, "key").select("key", "raw", "same").mapInArrow(prefixes, "token long, id long").distinct())
-    lists = postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    postings = materialise(postings.join(lists, "token", "left_semi"))
+    # Shingles not known to be frequent are counted, all in one exchange; those that one class alone lists can
+    # tie nothing. Known ones stay without being counted, so no hot one meets in one place.
+    entry = lambda known: lambda token: F.struct(token.alias("token"), F.lit(known).alias("known"))
+    lists = F.concat(F.transform("rare", entry(False)), F.transform("known", entry(True)))
+    listed = sketched.join(classes.select(F.col("first").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), F.explode(lists).alias("t"))
+    alone = Window.partitionBy("token", F.when(F.col("known"), F.col("id")))
+    postings = listed.select("t.token", "t.known", "id").withColumn("n", F.count("*").over(alone))
+    postings = materialise(postings.filter("known OR n > 1").select("token", "id"))
 
     def meeting(nearest: bool):
         return lambda table: close_pairs(table, similarity, nearest)
@@ -512,7 +549,9 @@ def near_duplicates(
         pairs = dealt.groupBy("cell").applyInArrow(meeting(nearest), "a long, b long")
         edges = edges.unionAll(confirmed(pairs))
         named = tied(edges)
-    return texts.select("key", "same").join(named.select("same", "comp"), "same").select(F.col("key").alias(key), F.col("comp").alias("component_id"))
+    least = named.groupBy("comp").agg(F.min("key").alias("component_id"))
+    ids = materialise(named.select("same", "comp").join(least, "comp").select("same", "component_id"))
+    return texts.select("key", "same").join(ids, "same").select(F.col("key").alias(key), "component_id")
 
 
 def hexadecimal(fingerprint: str = "fingerprint"):
