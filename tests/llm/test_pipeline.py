@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assayline.llm import secret_ledger
@@ -73,20 +74,44 @@ def test_mixture_draws_from_what_is_there(steps):
     assert after.filter("mix_probability <= 0 OR mix_probability > 1").count() == 0
 
 
+def by_row(df):
+    return sorted(map(str, (tuple(r) for r in df.select("doc_id", "text", "source").collect())))
+
+
+def test_rows_are_dropped_by_their_text_not_their_id(spark):
+    item = next(r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect() if len(r["text"].split()) > 20)
+    clean = " ".join(f"word{i}" for i in range(60))
+    near = clean.replace("word59", "other")
+    rows = [(None, item, "a"), (1, item, "a"), (1, clean, "b"), (None, clean, "c"), (2, near, "d"), (2, near, "d"), (1, clean, "b"), (None, "own " * 9, "e")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], DOCS)
+    left = corpus_pipeline.decontaminate(spark, docs, FOLDER)
+    assert left.columns == docs.columns and by_row(left) == by_row(docs.filter(F.col("text") != item))
+    # Clean and near are one group under its smallest id, of which one row stays; a text under null alone stays too.
+    once = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    assert by_row(once) == sorted(map(str, [(1, item, "a"), (1, clean, "b"), (None, "own " * 9, "e")]))
+
+
+def test_language_found_fills_the_gaps(spark, steps):
+    before, after = (
+        {r["doc_id"]: r["lang"] for r in df.collect()} for df in (steps[0][1], steps[0][2])
+    )
+    assert all(after[k] == (before[k] or after[k]) and after[k] for k in after)
+
+
 def test_odd_rows_and_empty_table(spark):
     rows = [
-        (1, "der die das und nicht ein mit von token=abcdefgh12", "de", "s", 3, "x"),
-        (1, "der die das und nicht ein mit von token=abcdefgh12", "de", "s", 3, "x"),
-        (2, None, None, None, None, None),
-        (3, "", "de", "s", 0, "x"),
-        (None, "the and of that with for this is a page of words", "en", None, None, "y"),
-        (4, "w " * 50_000 + "the and of that with", "en", "s", 9, "z"),
+        (1, "der die das und nicht ein mit von token=abcdefgh12", "de", "s", 3, "x", 1, "b"),
+        (1, "der die das und nicht ein mit von token=abcdefgh12", "de", "s", 3, "x", 1, "b"),
+        (2, None, None, None, None, None, None, None),
+        (3, "", "de", "s", 0, "x", 2, ""),
+        (None, "the and of that with for this is a page of words", "en", None, None, "y", None, "c"),
+        (4, "w " * 50_000 + "the and of that with", "en", "s", 9, "z", 7, "d"),
     ]
-    table = spark.createDataFrame(rows, f"{DOCS}, lang_pred string")
+    table = spark.createDataFrame(rows, f"{DOCS}, lang_pred string, mix_copy long, dedup_blob string")
     for docs in (table, table.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             columns = docs.columns
             docs = stage(spark, docs, FOLDER).cache()
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert docs.columns == columns, name
-        assert docs.count() >= 0
+        assert docs.count() >= 0 and [c for c in docs.columns if c.lower() == "mix_copy"] == ["mix_copy"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayline.llm import simhash_vptree as sv
 from assayline.llm.queries import op6_simhash_vptree
+from assayline.schemas import RESPONSES
 
 
 def plain_print(text, size):
@@ -177,3 +178,11 @@ def test_isolated_pairs_at_the_threshold(spark):
     table = spark.createDataFrame(list(texts.items()), "request_id long, raw string")
     got = {r["request_id"]: r["component_id"] for r in sv.near_duplicates(table).collect()}
     assert got == plain_similar(texts) and all(got[2 * i + 1] == 2 * i for i in range(400))
+
+
+def test_keys_of_text_and_their_order(spark):
+    base = [f"w{i}" for i in range(40)]
+    texts = {"req-b": base, "req-a": [*base, "x"], "Req-c": base, "req-10": ["u", "v"], "req-9": ["u", "v"]}
+    rows = [(k, 1, "m", None, " ".join(w), None) for k, w in texts.items()] + [(None, 1, "m", None, " ".join(base), None)]
+    got = {r["request_id"]: r["component_id"] for r in sv.near_duplicates(spark.createDataFrame(rows, RESPONSES)).collect()}
+    assert got == {"req-a": "Req-c", "req-b": "Req-c", "Req-c": "Req-c", "req-10": "req-10", "req-9": "req-10"}
