@@ -294,6 +294,7 @@ SKETCH = pa.schema(
         ("same", pa.binary()),
         ("size", pa.int32()),
         ("parity", pa.binary()),
+        ("wide", pa.binary()),
         ("prints", pa.list_(pa.int64())),
         ("rare", pa.list_(pa.int64())),
         ("known", pa.list_(pa.int64())),
@@ -326,6 +327,21 @@ def parity_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def wide_parity(hashes: np.ndarray) -> bytes:
+    """A parity sketch with a bucket for each shingle or more, a power of two: it tells large sets apart too."""
+    buckets = max(PARITY_BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound on the members that two sets do not share; the wider sketch is folded to the other's width."""
+    a, b = (np.frombuffer(s, dtype=np.uint8) for s in (x, y))
+    width = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(s.reshape(-1, width), axis=0) for s in (a, b))
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """So many of the first shingles, rarest first, that two sets of ``similarity`` or more share one of them.
 
@@ -401,7 +417,7 @@ def near_duplicates(
       meet, unless sizes or parities of their sets rule the similarity out: first each
       with the nearest of every other component, then, in the components as they are by then, all.
 
-    Every pair is confirmed by the whole shingle sets. What is frequent is learned from about ``sample_texts``
+    Pairs that wide parity sketches leave possible are confirmed by the whole shingle sets. What is frequent is learned from about ``sample_texts``
     texts by hash, at most ``common_shingles`` shingles; it steers the work only. A long list is dealt in blocks
     of about ``block_texts``; its largest component does not meet itself. Equal sets are one node, so copies are
     merged before the search. Texts that share rare shingles and stay apart do meet in pairs: the work then
@@ -457,16 +473,16 @@ def _near_duplicates(
             prints = [np.array(sample_prints(s, views, sample), dtype=np.uint64).view(np.int64) for s in sets]
             firsts = [prefix(s, *shared.value, similarity) for s in sets]
             rare, known = ([f[i].view(np.int64) for f in firsts] for i in range(2))
-            columns = [[digest(s) for s in sets], [len(s) for s in sets], [parity_sketch(s) for s in sets], prints, rare, known]
+            columns = [[f(s) for s in sets] for f in (digest, len, parity_sketch, wide_parity)] + [prints, rare, known]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, SKETCH))], names=["key", *SKETCH.names])
 
     of_key = rows.schema["key"].dataType.simpleString()
-    fields = f"key {of_key}, same binary, size int, parity binary, prints array<long>, rare array<long>, known array<long>"
+    fields = f"key {of_key}, same binary, size int, parity binary, wide binary, prints array<long>, rare array<long>, known array<long>"
     sketched = materialise(rows.mapInArrow(sketch, fields).withColumn("row", F.monotonically_increasing_id()))
-    slim = ("row", "same", "size", "parity", "prints")
+    slim = ("row", "same", "size", "parity", "wide", "prints")
     texts = materialise(sketched.groupBy("key").agg(F.min_by(F.struct(*slim), F.struct("same", "row")).alias("s")).select("key", "s.*"))
-    classes = texts.groupBy("same").agg(F.min_by(F.struct("key", "row", "size", "parity", "prints"), "key").alias("s"))
-    classes = materialise(classes.select("same", "s.key", F.col("s.row").alias("first"), "s.size", "s.parity", "s.prints"))
+    classes = texts.groupBy("same").agg(F.min_by(F.struct("key", "row", "size", "parity", "wide", "prints"), "key").alias("s"))
+    classes = materialise(classes.select("same", "s.key", F.col("s.row").alias("first"), "s.size", "s.parity", "s.wide", "s.prints"))
     members = materialise(classes.select("first", F.posexplode("prints").alias("view", "fingerprint")))
     order = F.xxhash64("first", "view")
     # One text per fingerprint and view, by a hash that differs from view to view.
@@ -492,8 +508,18 @@ def _near_duplicates(
                 good.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    def possible(batches: Batches) -> Batches:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            apart = np.array([apart_at_least(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())])
+            good = apart <= (1 - similarity) / (1 + similarity) * sizes + SLACK
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for end in "ab":
+            pairs = pairs.join(classes.select(F.col("first").alias(end), F.col("size").alias(f"size_{end}"), F.col("wide").alias(f"wide_{end}")), end)
+        pairs = materialise(pairs.select("a", "b", "size_a", "size_b", "wide_a", "wide_b").mapInArrow(possible, "a long, b long"))
         wanted = pairs.select(F.col("a").alias("first")).unionAll(pairs.select(F.col("b").alias("first"))).distinct()
         chosen = materialise(classes.join(wanted, "first", "left_semi").select("key", "first", "same"))
         # Few keys go to the texts; beyond a bound both sides are shuffled.
@@ -506,7 +532,7 @@ def _near_duplicates(
     def tied(edges: DataFrame) -> DataFrame:
         """(same, key, first, size, parity, comp): every class with the smallest one it is tied to."""
         roots = materialise(components(edges))
-        named = classes.drop("prints").join(roots.withColumnsRenamed({"node": "first", "root": "least"}), "first", "left")
+        named = classes.drop("prints", "wide").join(roots.withColumnsRenamed({"node": "first", "root": "least"}), "first", "left")
         return materialise(named.select("same", "key", "first", "size", "parity", F.coalesce("least", "first").alias("comp")))
 
     edges = confirmed(pairs)

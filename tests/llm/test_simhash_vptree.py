@@ -186,3 +186,14 @@ def test_keys_of_text_and_their_order(spark):
     rows = [(k, 1, "m", None, " ".join(w), None) for k, w in texts.items()] + [(None, 1, "m", None, " ".join(base), None)]
     got = {r["request_id"]: r["component_id"] for r in sv.near_duplicates(spark.createDataFrame(rows, RESPONSES)).collect()}
     assert got == {"req-a": "Req-c", "req-b": "Req-c", "Req-c": "Req-c", "req-10": "req-10", "req-9": "req-10"}
+
+
+def test_sketches_never_rule_out_a_near_pair():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (600, 600), (600, 5_000), (3_000, 2_800), (20_000, 20_000)):
+        both = rng.integers(0, 2**64, min(n, m) * 9 // 10, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, k - len(both), dtype=np.uint64)])) for k in (n, m))
+        apart = len(np.setxor1d(a, b))
+        bound = sv.apart_at_least(sv.wide_parity(a), sv.wide_parity(b))
+        assert bound <= apart and bound >= 0.4 * min(apart, min(n, m))
+    assert sv.apart_at_least(sv.wide_parity(np.empty(0, np.uint64)), sv.wide_parity(both)) <= len(both)
