@@ -71,11 +71,13 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     return ends.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iterations: int = 10) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-9, passes: int = 10_000) -> DataFrame:
     """(host, trust, distrust) from ``edges`` (src, dst, links) and ``seeds`` (host, trusted, blocked weights).
 
     Both kinds run in the same passes. Each kind's seed weights sum to 1; a host without outgoing
-    links keeps nothing to pass on. Hosts that no seed reaches do not appear. Every pass is written,
+    links keeps nothing to pass on. Hosts that no seed reaches do not appear. A pass moves on only what
+    the one before brought, and passes end once they reach no new host and bring less than ``tolerance``
+    in sum; if that is not so after ``passes`` of them, the call fails. Every pass is written,
     so a lost executor repeats one pass at most.
     """
     forward = edges.select(F.lit("trust").alias("kind"), "src", "dst", "links")
@@ -87,10 +89,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iter
     start = seeds.select("host", F.explode(F.map_from_arrays(F.array(F.lit("trust"), F.lit("distrust")), F.array("trusted", "blocked"))).alias("kind", "weight")).filter("weight > 0")
     totals = start.groupBy("kind").agg(F.sum("weight").alias("total"))  # two rows
     base = materialise(start.join(F.broadcast(totals), "kind").select("kind", "host", ((1 - damping) * F.col("weight") / F.col("total")).alias("rank")))
-    rank = base
-    for _ in range(0 if steps.isEmpty() else iterations):
-        passed = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("w")).alias("rank"))
-        rank = materialise(passed.unionAll(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+    rank = moved = base
+    for _ in range(passes):
+        onward = moved.withColumnRenamed("host", "src").join(steps, ["kind", "src"])
+        onward = onward.select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("w")).alias("rank"))
+        moved = materialise(onward.groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        known = rank.select("kind", "host", F.lit(True).alias("known"))
+        brought = moved.join(known, ["kind", "host"], "left").agg(F.coalesce(F.sum("rank"), F.lit(0.0)), F.count_if(F.col("known").isNull())).first()
+        if not any(brought):
+            break
+        rank = materialise(rank.unionAll(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        if brought[0] < tolerance and not brought[1]:
+            break
+    else:
+        raise RuntimeError(f"ranks have not settled after {passes} passes")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
@@ -103,7 +115,8 @@ def judge_urls(
     html: str = "html",
     rules: tuple[UrlRule, ...] = RULES,
     damping: float = 0.85,
-    iterations: int = 10,
+    tolerance: float = 1e-9,
+    passes: int = 10_000,
     block_ratio: float = 1.0,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust): one row per row of ``pages``.
@@ -119,7 +132,7 @@ def judge_urls(
     ).withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
     count_of = lambda verdict: F.count_if(F.col("found.verdict") == verdict).cast("double")
     seeds = rows.filter("found IS NOT NULL AND host <> ''").groupBy("host").agg(count_of("allow").alias("trusted"), count_of("block").alias("blocked"))
-    ranks = materialise(propagate(host_edges(pages, url=url, html=html), seeds, damping=damping, iterations=iterations))
+    ranks = materialise(propagate(host_edges(pages, url=url, html=html), seeds, damping=damping, tolerance=tolerance, passes=passes))
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     own = F.when(distrust > block_ratio * trust, F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(ranks, "host", "left").select(

@@ -1,5 +1,6 @@
 """Rules and hosts in plain Python, ranks against a dense iteration."""
 
+import numpy as np
 import pytest
 
 from assayline.llm import trust_propagation as tp
@@ -40,7 +41,7 @@ PAGES = [
 ]
 
 
-def ranks(links, seeds, damping=0.85, iterations=10):
+def ranks(links, seeds, damping=0.85, iterations=400):
     """links: {(src, dst): n}; seeds: {host: weight}."""
     total, out = sum(seeds.values()), {}
     for (s, _), n in links.items():
@@ -80,6 +81,25 @@ def test_judged_pages(spark):
     assert by_id[4]["verdict"] == "block" and by_id[2]["verdict"] == "allow" and by_id[7]["verdict"] == "block" and by_id[12]["verdict"] == "allow"
 
 
+def test_far_hosts_and_a_cycle_equal_an_exact_solve(spark):
+    # A chain beyond any small number of passes, behind a cycle of two, and a component no seed reaches.
+    hosts = [f"h{i:02d}" for i in range(24)] + ["x", "y"]
+    links = {(f"h{i:02d}", f"h{i + 1:02d}"): 1 for i in range(23)} | {("h01", "h00"): 3, ("x", "y"): 1}
+    edges = spark.createDataFrame([(s, d, n) for (s, d), n in links.items()], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("h00", 2.0, 0.0), ("h23", 0.0, 1.0)], "host string, trusted double, blocked double")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in tp.propagate(edges, seeds, damping=0.5, tolerance=1e-12).collect()}
+    for place, (turned, seed) in enumerate(((links, "h00"), ({(d, s): n for (s, d), n in links.items()}, "h23"))):
+        step = np.zeros((26, 26))
+        for (s, d), n in turned.items():
+            step[hosts.index(d), hosts.index(s)] = n / sum(m for (a, _), m in turned.items() if a == s)
+        want = np.linalg.solve(np.eye(26) - 0.5 * step, 0.5 * np.array([h == seed for h in hosts]))
+        assert all(got.get(h, (0.0, 0.0))[place] == pytest.approx(w, abs=1e-11) for h, w in zip(hosts, want))
+        assert all(got[h][place] > 0 for h in hosts[:24])
+    assert "x" not in got
+    with pytest.raises(RuntimeError):
+        tp.propagate(edges, seeds, passes=3)
+
+
 def test_empty_table(spark):
     assert tp.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
