@@ -34,6 +34,13 @@ def whole_text(text: str) -> Column:
     return F.coalesce(quoted(text).cast("string"), F.lit(""))
 
 
+def slices(batches: Batches, rows: int = 128) -> Batches:
+    """The batches cut into a few rows each, so that what a task builds from them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def batches_of(build: Callable[[list[dict]], list[dict]], schema: pa.Schema) -> Callable[[Batches], Batches]:
     """A function for mapInArrow from one on lists of rows."""
 

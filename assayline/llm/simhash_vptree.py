@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayline.llm.common import Batches, quoted
+from assayline.llm.common import Batches, quoted, slices
 from assayline.session import materialise, scratch, shuffles_removed
 
 NOT_WORD = re.compile(r"[\x20\x09-\x0D]+")
@@ -454,7 +454,7 @@ def _near_duplicates(
 
     # What is frequent, from a bounded sample of the texts. Copies in it only make shingles seem more frequent.
     def tokens(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["token"])
 
@@ -468,7 +468,7 @@ def _near_duplicates(
     shared = spark.sparkContext.broadcast((often_tokens[sort], often["n"].to_numpy(dtype=np.int64)[sort]))
 
     def sketch(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             prints = [np.array(sample_prints(s, views, sample), dtype=np.uint64).view(np.int64) for s in sets]
             firsts = [prefix(s, *shared.value, similarity) for s in sets]
@@ -494,13 +494,13 @@ def _near_duplicates(
     pairs = within.unionAll(across.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
 
     def chosen_texts(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             # Another text may stand under the same key.
             good = [digest(shingles(t)) == same for t, same in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=HELD.names).filter(pa.array(good, pa.bool_()))
 
     def verify(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = shingles(x), shingles(y)
