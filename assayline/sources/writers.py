@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,10 +23,40 @@ def write_artifacts(df: DataFrame, path: str, by: Sequence[str] = ("brand",), mo
     whole.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def append_responses(df: DataFrame, path: str) -> None:
-    """Raw payloads are kept before anything judges them."""
-    df.write.mode("append").parquet(path)
+def write_texts(df: DataFrame, path: str, name: str = "request_id", text: str = "artifact") -> None:
+    """One text file per artifact, in a folder ``name=value`` of its own under ``path``.
 
+    Spark's committer moves files into place when their tasks have succeeded, so a retried task leaves
+    no second copy, and writing the same names again replaces their files and no others. Files hold the
+    text byte for byte where it ends in a newline, as composed ones do; others get one at the end. A
+    ``name`` belongs to one row (of several, the texts follow each other); rows without a text are left out.
+    """
+    ended = F.regexp_replace(F.col(text), r"\n\z", "")  # the sink ends each row with a newline
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(name), ended.alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).text(path)
 
-def write_quarantine(df: DataFrame, path: str, reason: str = "reject_reason", mode: str = "append") -> None:
-    df.filter(F.col(reason).isNotNull()).write.mode(mode).parquet(path)
+
+def _write_batch(df: DataFrame, path: str, batch: str | None, mode: str) -> None:
+    if batch is None:
+        df.write.mode(mode).parquet(path)
+        return
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
+        raise ValueError(f"a batch id holds letters, digits, _ . and - only: {batch!r}")
+    # Its folder is replaced as a whole, so a batch that turns out smaller, or empty, leaves nothing behind.
+    df.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def append_responses(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Raw payloads are kept before anything judges them.
+
+    With a ``batch`` id a job that runs again replaces the rows it wrote under that id; without one its
+    rows are appended each time. The id comes back as the column ``batch``.
+    """
+    _write_batch(df, path, batch, "append")
+
+
+def write_quarantine(
+    df: DataFrame, path: str, reason: str = "reject_reason", mode: str = "append", batch: str | None = None
+) -> None:
+    """Rows with a reason; ``batch`` as in ``append_responses``."""
+    _write_batch(df.filter(F.col(reason).isNotNull()), path, batch, mode)

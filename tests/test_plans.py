@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from assayline.operators.blocks import COVER_MARKER
@@ -5,7 +6,7 @@ from assayline.operators.quarantine import accepted, rejected
 from assayline.plans.covers import conform_responses
 from assayline.plans.incidents import incident_windows, log_reports
 from assayline.sources.readers import read_brands, read_images, read_log_lines, read_texts
-from assayline.sources.writers import append_responses, write_artifacts, write_quarantine
+from assayline.sources.writers import append_responses, compose, write_artifacts, write_quarantine, write_texts
 
 MACROS = r"\BookTitle \BookSubtitle \BookDescription \BookAuthor \BookDate \BookVersion"
 BLOCK = (
@@ -79,6 +80,36 @@ def test_brands_and_covers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "raw")).count() == 30
 
 
+def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", "x", None), ("r2", "y", "torn"), ("r3", "z", "torn")], "request_id string, raw string, reject_reason string")
+    kept, bad = str(tmp_path / "raw"), str(tmp_path / "bad")
+    for batch in ("2024-01-01", "b", "b"):
+        append_responses(rows, kept, batch)
+        write_quarantine(rows, bad, batch=batch)
+    got = sorted((str(r.batch), r.request_id) for r in spark.read.parquet(kept).collect())
+    assert got == [("2024-01-01", f"r{i}") for i in (1, 2, 3)] + [("b", f"r{i}") for i in (1, 2, 3)]
+    assert spark.read.parquet(bad).count() == 4
+    # Mended rows: the second run of the batch has no rejects, and none of the first run's stay.
+    write_quarantine(rows.withColumn("reject_reason", F.lit(None).cast("string")), bad, batch="b")
+    assert [r.batch for r in spark.read.schema(rows.schema.add("batch", "string")).parquet(bad).collect()] == ["2024-01-01"] * 2
+    with pytest.raises(ValueError):
+        append_responses(rows, kept, "a/b")
+
+
+def test_artifacts_as_text_files(spark, tmp_path):
+    texts = {"r1": "% a\n\\begin{x}\né\n\\end{x}\n\n", "r/2": "one line\n", "r3": "\n"}
+    rows = spark.createDataFrame([*texts.items(), ("r4", None)], "request_id string, artifact string")
+    out = tmp_path / "tex"
+    for _ in range(2):  # written again, nothing doubles
+        write_texts(rows.repartition(3), str(out))
+    files = {p.parent.name.removeprefix("request_id="): p.read_bytes() for p in out.glob("*/part-*")}
+    assert files == {k.replace("/", "%2F"): t.encode() for k, t in texts.items()}
+    write_texts(spark.createDataFrame([("r3", "new\n")], "request_id string, artifact string"), str(out))
+    assert len(list(out.glob("*/part-*"))) == 3
+    made = rows.select(compose(F.lit("c"), F.col("request_id")).alias("t")).first().t
+    assert made.endswith("\n")
+
+
 def test_text_and_image_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\n", encoding="utf-8")
     (tmp_path / "b.txt").write_text("é", encoding="utf-8")
