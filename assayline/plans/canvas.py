@@ -13,7 +13,7 @@ from assayline.operators.reference import definition_text
 from assayline.operators.render import assemble
 from assayline.operators.scale import HOT_MIN_ROWS, spread_join
 from assayline.operators.shapes import element_colours, expand_grid, first_seen_dictionary
-from assayline.session import materialise
+from assayline.session import materialise_counted
 
 # Fixed value: prefix of the names given to hex colours.
 COLOUR_PREFIX = "dyncolor"
@@ -31,18 +31,28 @@ def accepted_elements(docs: DataFrame, key: Sequence[str], json_col: str, contra
     return canvas_elements(accepted, key, json_col, contract.root)
 
 
-def colour_names(elements: DataFrame, key: Sequence[str], **slicing) -> DataFrame:
-    """Name of every hex colour of a document: (key, hex, name), numbered as first met."""
+def colour_mentions(elements: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, pos, slot, hex) of every hex colour that an element names."""
     flat = elements.select(
         *key,
         "pos",
         F.try_variant_get(F.try_element_at("fields", F.lit("color")), "$", "string").alias("color"),
         F.try_variant_get(F.try_element_at("fields", F.lit("colors")), "$", "array<string>").alias("colors"),
     )
-    words = first_seen_dictionary(element_colours(flat, key, "pos", "color", "colors"), key, "hex", ["pos", "slot"], **slicing)
+    return element_colours(flat, key, "pos", "color", "colors")
+
+
+def named_colours(mentions: DataFrame, key: Sequence[str], **slicing) -> DataFrame:
+    """(key, hex, name), numbered as first met."""
+    words = first_seen_dictionary(mentions, key, "hex", ["pos", "slot"], **slicing)
     return words.select(*key, "hex", F.concat(F.lit(COLOUR_PREFIX), F.col("id").cast("string")).alias("name"))
 
 
+def colour_names(elements: DataFrame, key: Sequence[str], **slicing) -> DataFrame:
+    """Name of every hex colour of a document: (key, hex, name), numbered as first met."""
+    return named_colours(colour_mentions(elements, key), key, **slicing)
+
+
 def colour_definitions(names: DataFrame, key: Sequence[str], part_items: int, **slicing) -> DataFrame:
     """Definitions of a document's colours, one per line in the order of their names as text, in
     pages of ``part_items``."""
@@ -70,12 +80,18 @@ def element_lists(
     return assemble(named, key, ["pos"], text, "\n", part_items=part_items, rows=rows)
 
 
+def canvas_definitions(docs: DataFrame, key: Sequence[str], json_col: str, part_items: int) -> DataFrame:
+    """Colour definitions of all documents that keep the contract. They are judged and parsed once: the
+    mentions are written, slim, and counted as they are written."""
+    mentions, rows = materialise_counted(colour_mentions(accepted_elements(docs, key, json_col), key))
+    return colour_definitions(named_colours(mentions, key, rows=rows), key, part_items, rows=rows)
+
+
 def canvas_listing(docs: DataFrame, key: Sequence[str], json_col: str, part_items: int) -> DataFrame:
     """Element lists of all documents that keep the contract."""
     # Written once: the elements are read for names, for sizes and for the lists.
-    elements = materialise(accepted_elements(docs, key, json_col).withColumn("fields", F.to_json("fields")))
+    elements, rows = materialise_counted(accepted_elements(docs, key, json_col).withColumn("fields", F.to_json("fields")))
     parsed = elements.withColumn("fields", F.try_variant_get(F.try_parse_json("fields"), "$", "map<string,variant>"))
-    rows = elements.count()
     # The contract allows a colour and a list of four per element.
     names = colour_names(parsed, key, rows=5 * rows)
     hot = {"hot": []} if rows <= HOT_MIN_ROWS else {}

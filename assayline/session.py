@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -75,6 +76,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialise`` and the number of rows, observed while they are written: ``df`` runs once."""
+    seen = Observation()
+    table = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return table, seen.get["rows"]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

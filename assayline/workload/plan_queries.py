@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.text import rounded
 from assayline.operators.blocks import COVER_MARKER
-from assayline.plans.canvas import accepted_elements, canvas_cells, canvas_listing, colour_definitions, colour_names, judged_documents
+from assayline.plans.canvas import canvas_cells, canvas_definitions, canvas_listing, judged_documents
 from assayline.plans.covers import conform_responses, resolved_requests
 from assayline.plans.logos import logo_manifest, logo_shapes
 from assayline.workload.registry import ROLES, luminance_sql, palette_rows_sql, part_palette, query
@@ -207,8 +207,7 @@ def listing(t):
     """,
 )
 def definitions(t):
-    names = colour_names(accepted_elements(canvas_documents(t), ["p_partkey"], "json"), ["p_partkey"])
-    return colour_definitions(names, ["p_partkey"], PAGE)
+    return canvas_definitions(canvas_documents(t), ["p_partkey"], "json", PAGE)
 
 
 @query(

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from assayline.operators import scale
 from assayline.operators.contract import canvas_elements
 from assayline.operators.scale import spread_join
-from assayline.plans.canvas import canvas_cells, canvas_listing, colour_definitions, colour_names, judged_documents
+from assayline.session import materialise_counted
+from assayline.plans.canvas import canvas_cells, canvas_definitions, canvas_listing, colour_definitions, colour_names, judged_documents
 from assayline.plans.logos import logo_manifest, logo_shapes
 
 
@@ -85,3 +86,24 @@ def test_broadcast_is_refused_beyond_its_bound(spark, monkeypatch):
     refused = spread_join(big, small, ["k"], "left", min_rows=50)
     assert "Union" not in refused._jdf.queryExecution().executedPlan().toString()
     assert refused.count() == plain.count() and refused.exceptAll(plain).count() == 0
+
+
+def test_rows_are_observed_while_they_are_written(spark):
+    for n in (0, 1, 1000):
+        table, rows = materialise_counted(spark.range(n).repartition(3))
+        assert rows == n == table.count()
+
+
+def test_canvas_definitions_judge_each_document_once(spark):
+    jobs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            jobs.add(batch.num_rows)
+            yield batch
+
+    doc = '{"elements": [{"type": "background", "color": "#0a0B0c"}, {"type": "background", "color": "#fff"}]}'
+    docs = spark.createDataFrame([("a", doc), ("b", "{}")], "doc string, json string").mapInArrow(seen, "doc string, json string")
+    text = {r.doc: (r.part, r["items"], r.text) for r in canvas_definitions(docs, ["doc"], "json", 100).collect()}
+    assert text == {"a": (0, 2, "  \\definecolor{dyncolor0}{HTML}{0A0B0C}\n  \\definecolor{dyncolor1}{HTML}{FFFFFF}")}
+    assert jobs.value == 2
