@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayline.operators.scale import SLICE, in_slices, join_null_safe
+from assayline.operators.scale import SLICE, in_slices, join_null_safe, possible
+from assayline.session import materialise_counted
 
 
 @dataclass(frozen=True)
@@ -84,8 +85,9 @@ def resolve_attempts(
 
     Attempts after the first ok or fatal one count for nothing. Ordering works on flags alone, and
     each slice of a key is resolved on its own before the few slice results of the key are merged,
-    so a key may be any size. Payloads join at the end by key and place in the order (which must be
-    unique per key), so no window sorts them and no key gathers them.
+    so a key may be any size. The resolved keys are written; payloads join them at the end by key and
+    place in the order (which must be unique per key), so no window sorts them and no key gathers them.
+    A filter over the chosen places drops the texts of all other attempts before they are shuffled.
     """
     wins = [ok] if isinstance(ok, str) else list(ok)
     won = F.coalesce(F.col(status_col).isin(wins), F.lit(False))
@@ -125,10 +127,12 @@ def resolve_attempts(
             )
         )
     # The one payload that each key ends with, met by key and place: no key is hot there.
+    ended, keys = materialise_counted(ended)
     payloads = df.select(*key, F.struct(*order).alias("__at"), text.alias("last_payload")).filter(
         "last_payload IS NOT NULL"
     )
-    held = join_null_safe(ended, payloads, [*key, "__at"], "left")
+    place = [*key, "__at"]
+    held = join_null_safe(ended, possible(payloads, ended.filter("__at IS NOT NULL"), place, keys), place, "left")
     return held.select(
         *key,
         F.when(F.col("__won").isNotNull(), "ok").when(F.col("__lost"), "aborted").otherwise("exhausted").alias("outcome"),

@@ -2,7 +2,8 @@
 
 ``hot_keys``      names the keys that hold a large share of the rows,
 ``in_slices``     cuts the rows of every key into slices along its order,
-``running_total`` sums along an order per key, slice by slice in large tables, and
+``running_total`` sums along an order per key, slice by slice in large tables,
+``possible``      drops rows that cannot meet a key before they are shuffled, and
 ``spread_join``   joins hot keys without shuffling them.
 
 Sizing a table takes one count and, for hot keys of large tables, one sampled aggregate. It
@@ -28,6 +29,9 @@ SAMPLE_ROWS = 4_000_000
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 32 << 20
 SAMPLE_SEED = 17
+# Words of 64 bits in a key filter, at eight bits a key; more keys than fill them get no filter.
+FILTER_WORDS = 2_000_000
+KEYS_PER_WORD = 8
 
 SLICE = "__slice"
 
@@ -137,6 +141,27 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(other, match, how).drop(*[f"__r_{c}" for c in on])
 
 
+def possible(big: DataFrame, wanted: DataFrame, on: Sequence[str], keys: int) -> DataFrame:
+    """The rows of ``big`` whose key may be one of the ``keys`` keys of ``wanted``, unmoved.
+
+    A Bloom filter in words of 64 bits, two bits a key, is aggregated from ``wanted`` and broadcast: about
+    one foreign row in twenty passes, no wanted row is lost, and a NULL is a value like any other. Its size
+    follows from ``keys``; where it would pass ``FILTER_WORDS`` (16 million keys), ``big`` comes back whole.
+    The join that must follow gives the same result either way.
+    """
+    words = -(-keys // KEYS_PER_WORD)
+    if words > FILTER_WORDS:
+        return big
+    code = key_hash(on)
+    word = F.pmod(code, F.lit(max(1, words)).cast("long"))
+    names = ", ".join(f"`{c}`" for c in on)
+    one_bit = "shiftleft(1L, cast(shiftrightunsigned(xxhash64({0}), {1}) & 63 AS int))"
+    bits = F.expr(" | ".join(one_bit.format(names, at) for at in (40, 52)))
+    held = wanted.select(word.alias("__word"), bits.alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__held"))
+    met = big.withColumns({"__filter_word": word, "__filter_bits": bits}).join(F.broadcast(held), F.col("__filter_word") == F.col("__word"))
+    return met.filter(F.col("__held").bitwiseAND(F.col("__filter_bits")) == F.col("__filter_bits")).select(*big.columns)
+
+
 def spread_join(
     big: DataFrame,
     small: DataFrame,

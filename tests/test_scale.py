@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from assayline.operators.attempts import resolve_attempts
 from assayline.operators.render import assemble
-from assayline.operators.scale import SLICE, hot_keys, in_slices, numbered, running_total, spread_join
+from assayline.operators.scale import SLICE, hot_keys, in_slices, numbered, possible, running_total, spread_join
 from assayline.operators.shapes import encode_first_seen, first_seen_dictionary
 from assayline.operators.tone import contrast_partners
 from assayline.session import CLEANUP_CONF, materialise, scratch
@@ -132,6 +132,28 @@ def test_partners_equal_all_pairs(spark):
         assert {(r.g, round(r.lum, 9)): r.partners for r in got.collect()} == want
 
 
+def test_possible_keeps_every_wanted_row_and_few_others(spark):
+    big = spark.range(20_000).select((F.col("id") % 7_001).alias("k"), F.struct(F.when(F.col("id") % 3 > 0, F.col("id")).alias("n")).alias("at"))
+    wanted = big.filter("k < 500")
+    keys = wanted.count()
+    kept = possible(big, wanted, ["k", "at"], keys)
+    assert kept.columns == big.columns
+    assert kept.filter("k < 500").count() == keys and kept.filter("k >= 500").count() < 0.1 * 20_000
+    assert possible(big, wanted.limit(0), ["k", "at"], 0).count() == 0
+    assert possible(big, wanted, ["k", "at"], 10**9) is big
+
+
+def test_texts_of_other_attempts_are_dropped_before_the_shuffle(spark):
+    """Of eight texts per request one is chosen; the filter leaves hardly more than those."""
+    tries = spark.range(16_000).select(
+        (F.col("id") % 2_000).alias("k"), "id", F.lit("busy").alias("status"), F.concat(F.lit("text "), "id").alias("v")
+    )
+    done = resolve_attempts(tries, ["k"], ["id"], "status", "v", "id")
+    assert {r.last_payload for r in done.collect()} == {f"text {i}" for i in range(14_000, 16_000)}
+    placed = tries.select("k", F.struct("id").alias("__at"), "v")
+    assert 2_000 <= possible(placed, placed.filter("__at.id >= 14000"), ["k", "__at"], 2_000).count() < 3_000
+
+
 def test_partition_count_does_not_matter(spark):
     df = skewed(spark, 600).withColumn("v", F.concat(F.lit("v"), F.col("id") % 23))
     tries = df.select("k", "id", F.when(F.col("id") % 50 == 7, "ok").otherwise("busy").alias("status"), "v")
