@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.colour import clean_hex
 from assayline.operators.reference import DEFINITION_PARTS
-from assayline.operators.scale import numbered
+from assayline.operators.scale import numbered, running_total
 
 
 def assemble(
@@ -20,25 +20,44 @@ def assemble(
     sep: str = "\n",
     header: str | None = None,
     *,
-    part_items: int,
+    part_items: int | None = None,
+    part_bytes: int | None = None,
     rows_per_slice: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
     """Join the texts of each key in ``order``: (key, part, items, text).
 
     ``header`` is a format with one ``%d`` that is put before the n-th text. Rows whose text is
-    NULL are dropped before counting. Texts come in pages of ``part_items`` rows, which the caller
-    chooses; joining the parts of a key in order with ``sep`` gives the whole text.
+    NULL are dropped before counting. Texts come in pages, which the caller sizes by ``part_items`` rows
+    or by ``part_bytes`` UTF-8 bytes; joining the parts of a key in order with ``sep`` gives the whole text.
+
+    Pages by bytes are cut from running sums, so a key of any size is paged in parallel. A page holds at
+    most ``part_bytes``; only a single text above that, which no cut between texts can divide, makes a larger
+    page, and is alone on it. Their ``part`` numbers rise, with gaps.
     """
+    if (part_items is None) == (part_bytes is None):
+        raise ValueError("size the pages by part_items or by part_bytes")
     shown = df.select(*key, *order, text.alias("__text")).filter("__text IS NOT NULL")
-    lines = numbered(shown, key, order, "__n", rows_per_slice, rows)
+    if part_items is not None:
+        lines = numbered(shown, key, order, "__n", rows_per_slice, rows)
+        part = F.expr(f"(__n - 1) div {part_items}")
+    else:
+        # The number in a heading is not known yet: room for the longest one.
+        around = len(sep.encode()) + (0 if header is None else len((header % (2**63 - 1)).encode()))
+        size = F.octet_length("__text").cast("bigint") + around
+        # Texts of at most half a page go by the half page in which they start; each longer one parts those before it from those after.
+        half = max(1, part_bytes // 2)
+        long = (size > half).cast("bigint")
+        sums = {"__n": F.lit(1).cast("bigint"), "__end": size, "__longs": long}
+        lines = running_total(shown, key, order, sums, rows_per_slice, rows)
+        part = F.floor((F.col("__end") - size) / F.lit(half)) + 2 * F.col("__longs") - long
     if header is not None:
         body = F.concat(F.format_string(header, F.col("__n")), F.col("__text"))
     else:
         body = F.col("__text")
     items = F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), body.alias("t"))))
     return (
-        lines.withColumn("part", F.expr(f"(__n - 1) div {part_items}"))
+        lines.withColumn("part", part)
         .groupBy(*key, "part")
         .agg(
             F.count(F.lit(1)).alias("items"),

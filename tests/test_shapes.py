@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from assayline.operators.attempts import REFINE, REFINE_FATAL, REPAIR, REPAIR_FATAL, classify_failures, failure_counts
-from assayline.operators.contract import CANVAS, canvas_elements, check_union, violation_report
+from assayline.operators.contract import CANVAS, Contract, Field, canvas_elements, check_union, violation_report
+from assayline.operators.contract_schema import contract_from_schema
 from assayline.operators.render import assemble, definition_lines, error_summary, render_template
 from assayline.operators.shapes import (
     element_colours,
@@ -172,3 +174,122 @@ def test_canvas_elements_and_report(spark):
     df = spark.createDataFrame([("d", doc)], "id string, json string")
     assert [(r.pos, r.type) for r in canvas_elements(df, ["id"], "json").select("pos", "type").collect()] == [(0, "background"), (1, "blob")]
     assert [tuple(r) for r in violation_report(check_union(df, ["id"], "json", CANVAS)).collect()] == [("blob", "unknown_type", 1)]
+
+
+@pytest.mark.parametrize("per_slice", [None, 40])
+@pytest.mark.parametrize("header", [None, "# %d\n"])
+def test_pages_by_bytes(spark, per_slice, header):
+    rng = random.Random(5)
+    rows = [("k", i, rng.choice(["", "é", "word " * rng.randint(1, 30), "x" * 400])) for i in range(600)] + [(None, 1, "a"), ("n", 1, None)]
+    df = spark.createDataFrame(rows, "k string, n int, t string")
+    whole = {r.k: r.text for r in assemble(df, ["k"], ["n"], F.col("t"), "\n", header, part_items=1000).collect()}
+    pages = assemble(df, ["k"], ["n"], F.col("t"), "\n", header, part_bytes=256, rows_per_slice=per_slice).orderBy("k", "part").collect()
+    for k, text in whole.items():
+        assert "\n".join(p.text for p in pages if p.k == k) == text
+    assert len({(p.k, p.part) for p in pages}) == len(pages) and {p.k for p in pages} == {None, "k"}
+    for p in pages:
+        assert len(p.text.encode()) <= 256 or p.items == 1
+    assert max(p.items for p in pages) > 2
+
+
+def test_pages_need_one_size(spark):
+    df = spark.createDataFrame([("k", 1, "t")], "k string, n int, t string")
+    for sizes in ({}, {"part_items": 1, "part_bytes": 1}):
+        with pytest.raises(ValueError):
+            assemble(df, ["k"], ["n"], F.col("t"), **sizes)
+
+
+PALETTE_SCHEMA = {
+    "type": "object", "required": ["items"], "additionalProperties": False,
+    "properties": {"items": {"type": "array", "minItems": 1, "items": {"oneOf": [{"$ref": "#/$defs/Fill"}, {"$ref": "#/$defs/Stack"}]}}},
+    "$defs": {
+        "Hue": {"type": "string", "pattern": "^#[0-9a-f]{6}$"},
+        "Share": {"type": "number", "minimum": 0, "maximum": 1},
+        "Fill": {
+            "type": "object", "required": ["type", "hue"], "additionalProperties": False,
+            "properties": {"type": {"const": "fill"}, "hue": {"$ref": "#/$defs/Hue"}, "alpha": {"$ref": "#/$defs/Share", "description": "opacity"}},
+        },
+        "Stack": {
+            "type": "object", "required": ["type", "layers", "mode", "n"], "additionalProperties": False,
+            "properties": {
+                "type": {"const": "stack"},
+                "layers": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"$ref": "#/$defs/Hue"}},
+                "mode": {"enum": ["add", "mix"]}, "n": {"type": "integer", "exclusiveMinimum": 0}, "on": {"type": "boolean"},
+            },
+            "allOf": [{"if": {"properties": {"mode": {"const": "mix"}}}, "then": {"required": ["on"]}}],
+        },
+    },
+}
+
+
+def test_contract_from_schema(spark):
+    got = contract_from_schema(json.dumps(PALETTE_SCHEMA))
+    assert got == Contract(
+        types={
+            "fill": {"hue": Field("colour"), "alpha": Field("number", least=0.0, most=1.0, required=False)},
+            "stack": {
+                "layers": Field("colours", min_items=1, max_items=2), "mode": Field("string", values=("add", "mix")),
+                "n": Field("integer", above=0.0), "on": Field("boolean", required=False),
+            },
+        },
+        colour="^#[0-9a-f]{6}$", needs={("stack", "mode", "mix"): ("on",)}, root="items",
+    )
+    docs = {
+        "good": {"items": [{"type": "fill", "hue": "#00ff00"}, {"type": "stack", "layers": ["#00ff00"], "mode": "add", "n": 1}]},
+        "bad": {"items": [{"type": "fill", "hue": "red", "alpha": 2}, {"type": "stack", "layers": [], "mode": "mix", "n": 1}, {"type": "x"}]},
+    }
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "id string, json string")
+    found = {(r.id, r.pos, r.rule, r.field) for r in check_union(df, ["id"], "json", got).collect()}
+    assert found == {("bad", 0, "colour", "hue"), ("bad", 0, "range", "alpha"), ("bad", 1, "items", "layers"), ("bad", 1, "needed", "on"), ("bad", 2, "unknown_type", "type")}
+
+
+def as_schema(contract):
+    """A schema document that states what a contract states."""
+    hue = {"$ref": "#/$defs/Hue"}
+
+    def of(f):
+        plain = {"type": f.kind, "minimum": f.least, "maximum": f.most, "exclusiveMinimum": f.above, "enum": list(f.values) or None}
+        if f.kind == "colour":
+            return hue
+        if f.kind == "colours":
+            return {"type": "array", "minItems": f.min_items, "maxItems": f.max_items, "items": hue}
+        return {k: v for k, v in plain.items() if v is not None}
+
+    kinds = []
+    for kind, spec in contract.types.items():
+        then = [
+            {"if": {"properties": {sel: {"const": choice}}}, "then": {"required": list(sizes)}}
+            for (t, sel, choice), sizes in contract.needs.items() if t == kind
+        ]
+        kinds.append({
+            "type": "object", "required": ["type", *[n for n, f in spec.items() if f.required]], "additionalProperties": False,
+            "properties": {"type": {"const": kind}} | {n: of(f) for n, f in spec.items()}, **({"allOf": then} if then else {}),
+        })
+    return {
+        "type": "object", "required": [contract.root], "additionalProperties": False,
+        "properties": {contract.root: {"type": "array", "minItems": 1, "items": {"oneOf": kinds}}}, "$defs": {"Hue": {"type": "string", "pattern": contract.colour}},
+    }
+
+
+def test_canvas_contract_comes_back_from_its_schema():
+    assert contract_from_schema(as_schema(CANVAS)) == CANVAS
+
+
+def test_schemas_that_a_contract_cannot_state_are_refused():
+    def changed(**of_fill):
+        doc = json.loads(json.dumps(PALETTE_SCHEMA))
+        doc["$defs"]["Fill"] |= of_fill
+        return doc
+
+    fill = PALETTE_SCHEMA["$defs"]["Fill"]["properties"]
+    for doc in (
+        changed(additionalProperties=True),
+        changed(properties=fill | {"alpha": {"type": "number", "multipleOf": 2}}),
+        changed(properties=fill | {"alpha": {"$ref": "#/$defs/None"}}),
+        changed(properties={"hue": fill["hue"]}),
+        changed(properties=fill | {"other": {"type": "string", "pattern": "x"}}),
+        changed(required=["type", "hue", "nowhere"]),
+        PALETTE_SCHEMA | {"additionalProperties": True},
+    ):
+        with pytest.raises(ValueError):
+            contract_from_schema(doc)
