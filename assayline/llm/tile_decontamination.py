@@ -15,16 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assayline.llm.common import Batches, quoted
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-FOUND = pa.schema(
+COUNTS = pa.schema(
     [
-        ("row", pa.int64()),
-        ("item_id", pa.int64()),
         ("item_words", pa.int64()),
         ("covered_words", pa.int64()),
         ("tiles", pa.int64()),
@@ -32,6 +31,7 @@ FOUND = pa.schema(
         ("coverage", pa.float64()),
     ]
 )
+COUNTS_SQL = "item_words long, covered_words long, tiles long, longest long, coverage double"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -73,45 +73,70 @@ def greedy_tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, in
     tiles = []
     top = min(len(a), len(b))
     while True:
-        low, high, best = least, top, []
+        low, high, best = least, top, None
         while low <= high:
             size = (low + high) // 2
-            matches = list(_common(a, b, free_a, free_b, size))
-            if matches:
+            matches = _Windows(a, b, free_a, free_b, size)
+            if matches.any():
                 best, low = matches, size + 1
             else:
                 high = size - 1
-        if not best:
+        if best is None:
             return tiles
-        size = top = low - 1
-        for i, j in best:
-            if free_a[i : i + size].all() and free_b[j : j + size].all():
-                tiles.append((i, j, size))
-                free_a[i : i + size] = free_b[j : j + size] = False
-
-
-def _common(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Starts of equal windows that lie in unmarked elements, by start in a and then in b."""
-    hashes = []
-    for x, free in ((a, free_a), (b, free_b)):
-        taken = np.concatenate([[0], np.cumsum(~free)])
-        hashes.append((running_hashes(x, size), np.nonzero(taken[size:] == taken[:-size])[0]))
-    (ha, at_a), (hb, at_b) = hashes
-    if not len(at_a) or not len(at_b):
-        return
-    order = at_b[np.argsort(hb[at_b], kind="stable")]
-    keys = hb[order]
-    left, right = np.searchsorted(keys, ha[at_a]), np.searchsorted(keys, ha[at_a], "right")
-    for i, lo, hi in zip(at_a[left < right], left[left < right], right[left < right]):
-        for j in order[lo:hi]:
-            if np.array_equal(a[i : i + size], b[j : j + size]):
-                yield int(i), int(j)
+        top = low - 1
+        tiles += best.mark(free_a, free_b)
+
+
+class _Windows:
+    """Windows of ``size`` unmarked elements of two sequences, those of b grouped by their hash."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, size: int):
+        self.a, self.b, self.size = a, b, size
+        hashes = []
+        for x, free in ((a, free_a), (b, free_b)):
+            taken = np.concatenate([[0], np.cumsum(~free)])
+            hashes.append((running_hashes(x, size), np.nonzero(taken[size:] == taken[:-size])[0]))
+        (ha, at_a), (hb, at_b) = hashes
+        self.order = at_b[np.argsort(hb[at_b], kind="stable")]
+        keys = hb[self.order]
+        left, right = np.searchsorted(keys, ha[at_a]), np.searchsorted(keys, ha[at_a], "right")
+        some = left < right
+        self.at, self.left, self.right = at_a[some].tolist(), left[some].tolist(), right[some].tolist()
+
+    def equal(self, i: int, j: int) -> bool:
+        return np.array_equal(self.a[i : i + self.size], self.b[j : j + self.size])
+
+    def any(self) -> bool:
+        """Whether a window of a occurs in b. Equal hashes are confirmed, in all but freak cases at the first try."""
+        return any(self.equal(i, self.order[n]) for i, lo, hi in zip(self.at, self.left, self.right) for n in range(lo, hi))
+
+    def mark(self, free_a: np.ndarray, free_b: np.ndarray) -> list[tuple[int, int, int]]:
+        """Mark equal windows by start in a, then in b, and return them.
+
+        All tiles of a round are of one size, so a touched window is touched at one of its ends, and stays
+        touched: each group of equal windows of b is walked once, however often its words repeat.
+        """
+        size, tiles, reached = self.size, [], {}
+        for i, lo, hi in zip(self.at, self.left, self.right):
+            if not (free_a[i] and free_a[i + size - 1]):
+                continue
+            n = reached.get(lo, lo)
+            while n < hi and not (free_b[self.order[n]] and free_b[self.order[n] + size - 1]):
+                n += 1
+            reached[lo] = n
+            for m in range(n, hi):
+                j = int(self.order[m])
+                if free_b[j] and free_b[j + size - 1] and self.equal(i, j):
+                    tiles.append((i, j, size))
+                    free_a[i : i + size] = free_b[j : j + size] = False
+                    break
+        return tiles
 
 
 class Items:
     """A block of test items: word numbers and the table of their seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]], least: int):
+    def __init__(self, rows: list[tuple], least: int):
         self.least, self.vocabulary, self.ids, self.words = least, {}, [], []
         for item_id, text in rows:
             words = words_of(text)
@@ -141,10 +166,12 @@ class Items:
             own = np.unique(running_hashes(ids, size)[here])
             hit = np.searchsorted(own, keys)
             shared = own[np.minimum(hit, len(own) - 1)] == keys
-            for k in np.unique(item[shared]):
+            of, where = item[shared], at[shared]
+            by_item = np.argsort(of, kind="stable")
+            met, first = np.unique(of[by_item], return_index=True)
+            for k, starts in zip(met.tolist(), np.split(where[by_item], first[1:])):
                 words = self.words[k]
                 under = np.zeros(len(words) + 1, dtype=np.int64)
-                starts = at[shared & (item == k)]
                 np.add.at(under, starts, 1)
                 np.add.at(under, np.minimum(starts + size, len(words)), -1)
                 # Words under shared seeds bound what tiles can cover.
@@ -163,15 +190,15 @@ class Items:
                     }
 
 
-def item_blocks(items: DataFrame, block_bytes: int, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of about ``block_bytes``, dealt by a hash of their id."""
-    rows = items.select(quoted(item_id).cast("long").alias("item_id"), quoted(text).cast("string").alias("text")).filter("text is not null").distinct()
+def item_blocks(items: DataFrame, block_bytes: int, item_id: str, text: str) -> Iterator[list[tuple]]:
+    """The test items, ids of any type or null, in blocks of about ``block_bytes``, dealt by a hash of their id."""
+    rows = items.select(quoted(item_id).alias("item_id"), quoted(text).cast("string").alias("text")).filter("text is not null").distinct()
     total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for block in range(blocks):
         held = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         if held:
-            yield sorted((r["item_id"], r["text"]) for r in held)
+            yield sorted(((r["item_id"], r["text"]) for r in held), key=lambda r: (r[1], r[0] is not None, str(r[0])))
 
 
 def contaminated(
@@ -191,12 +218,15 @@ def contaminated(
     ``coverage`` is the share of the item's words under tiles of at least ``least`` words (an item of
     fewer words must occur whole). Words are runs of letters, digits and underscores in lower case.
     Null and wordless texts match nothing, rows repeated in ``responses`` give repeated pairs, equal
-    items count once. Responses are read once per block of items and never move: the items, one
+    items count once. Keys and item ids keep their types and may be null: an item without an id is found
+    like any other. Responses are read once per block of items and never move: the items, one
     bounded block at a time, go to them.
     """
     spark, parts = responses.sparkSession, []
     rows = responses.select(quoted(key).alias(key), quoted(raw).cast("string").alias("raw"))
-    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, item_id long, item_words long, covered_words long, tiles long, longest long, coverage double"
+    key_type, id_type = rows.schema[key].dataType, items.schema[item_id].dataType
+    schema = f"`{key}` {key_type.simpleString()}, item_id {id_type.simpleString()}, {COUNTS_SQL}"
+    id_arrow = to_arrow_type(id_type)
     for block in item_blocks(items, block_bytes, item_id, item_text):
         shared = spark.sparkContext.broadcast(block)
 
@@ -209,8 +239,10 @@ def contaminated(
                         at.append(n)
                         found.append(pair)
                 if found:
-                    pairs = pa.Table.from_pylist(found, schema=pa.schema(list(FOUND)[1:])).to_batches()[0]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *pairs.columns], names=[key, *pairs.schema.names])
+                    ids = pa.array([pair.pop("item_id") for pair in found], id_arrow)
+                    counts = pa.RecordBatch.from_pylist(found, schema=COUNTS)
+                    names = [key, "item_id", *COUNTS.names]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids, *counts.columns], names=names)
 
         parts.append(rows.mapInArrow(scan, schema))
     if not parts:

@@ -1,5 +1,7 @@
 """Greedy tiling against a plain search for longest runs, and whole pairs."""
 
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,3 +84,30 @@ def test_empty_tables(spark):
     assert pairs(spark, TEXTS, [(1, None)]) == {}
     docs = spark.createDataFrame([], "request_id long, raw string")
     assert td.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0
+
+
+def test_repeated_words_take_no_quadratic_time():
+    item, text = np.zeros(400, dtype=np.int64), np.zeros(20_000, dtype=np.int64)
+    began = time.process_time()
+    assert td.greedy_tiles(item, text, 5) == [(0, 0, 400)]
+    held = td.Items([(1, "no " * 400)], 5)
+    assert [p["coverage"] for p in held.compare("no " * 20_000, 0.5)] == [1.0]
+    mixed = np.arange(20_000, dtype=np.int64) % 7
+    mixed[::6] = -1
+    assert len(td.greedy_tiles(item, mixed, 5)) == 0
+    assert time.process_time() - began < 5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 1), max_size=60), st.lists(st.integers(0, 1), max_size=60), st.integers(1, 4))
+def test_tiles_of_few_words(a, b, least):
+    assert td.greedy_tiles(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), least) == plain_tiles(a, b, least)
+
+
+def test_text_keys_and_null_item_ids(spark):
+    docs = spark.createDataFrame([("req-a", ITEM), ("req-b", "x"), (None, "one two")], "request_id string, raw string")
+    tests = spark.createDataFrame([("t-1", ITEM), (None, "one two"), (None, ITEM), ("t-2", None)], "item_id string, text string")
+    got = {(r["request_id"], r["item_id"]) for r in td.contaminated(docs, tests).collect()}
+    assert got == {("req-a", "t-1"), ("req-a", None), (None, None)}
+    mixed = spark.createDataFrame([(1, ITEM), (None, "one two")], "item_id long, text string")
+    assert {(r["request_id"], r["item_id"]) for r in td.contaminated(docs, mixed).collect()} == {("req-a", 1), (None, None)}
