@@ -11,11 +11,13 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from assayline.llm.common import Batches, quoted, whole_text
 from assayline.session import materialise
@@ -25,24 +27,27 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 # The last byte of every bundle is the top byte of SEEKABLE; the writer adds it as the line end.
 LAST = bytes([SEEKABLE >> 24])
 
+# Names of records in the archive.
+PREFIX, NO_ID = "urn:request:", "urn:unnumbered"
+
 RECORD = pa.schema(
     [
-        ("request_id", pa.int64()),
+        ("request_id", pa.string()),
         ("bundle", pa.string()),
         ("frame", pa.int32()),
         ("offset", pa.int64()),
         ("length", pa.int64()),
         ("record_type", pa.string()),
         ("uri", pa.string()),
-        ("refers_to", pa.int64()),
+        ("refers_to", pa.string()),
         ("payload_bytes", pa.int64()),
         ("payload_digest", pa.string()),
         ("payload", pa.binary()),
     ]
 )
 RECORD_SQL = (
-    "request_id long, bundle string, frame int, offset long, length long, record_type string, uri string, "
-    "refers_to long, payload_bytes long, payload_digest string, payload binary"
+    "request_id string, bundle string, frame int, offset long, length long, record_type string, uri string, "
+    "refers_to string, payload_bytes long, payload_digest string, payload binary"
 )
 
 
@@ -56,17 +61,26 @@ def one_line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record_bytes(request_id: int | None, uri: str | None, payload: bytes, first_id: int | None) -> bytes:
+def urn(request_id: str | None) -> str:
+    """The record's name: the id in percent code, so that any text may be one."""
+    return f"<{NO_ID}>" if request_id is None else f"<{PREFIX}{quote(request_id, safe='', errors='replace')}>"
+
+
+def urn_id(value: str | None) -> str | None:
+    name = (value or f"<{NO_ID}>")[1:-1]
+    return None if name == NO_ID else unquote(name.removeprefix(PREFIX))
+
+
+def record_bytes(request_id: str | None, uri: str | None, payload: bytes, first_id: str | None) -> bytes:
     """A response with its payload, or a revisit of ``first_id`` without."""
-    name = "" if request_id is None else str(request_id)
     revisit = first_id is not None and first_id != request_id
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = f"{head}Content-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:request:{name}>"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(request_id)}"]
     if uri is not None:
         lines.append(f"WARC-Target-URI: {one_line(uri)}")
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:request:{first_id}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {urn(first_id)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += [f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -95,11 +109,6 @@ def read_frame(bundle: bytes, place: tuple[int, int]) -> bytes:
     return zstandard.ZstdDecompressor().decompressobj().decompress(bundle[place[0] : place[0] + place[1]])
 
 
-def urn_id(value: str | None) -> int | None:
-    found = (value or "").removeprefix("<urn:request:").removesuffix(">")
-    return int(found) if found else None
-
-
 def records_of(plain: bytes) -> Iterator[dict]:
     """The records of one frame: offset, length and fields."""
     at = 0
@@ -126,10 +135,10 @@ def records_of(plain: bytes) -> Iterator[dict]:
 def mark_revisits(responses: DataFrame, *, key: str, raw: str, uri: str, least_bytes: int) -> DataFrame:
     """(request_id, uri, payload, first_id): the smallest id among equal payloads, null where none is shared.
 
-    Only ids and digests are grouped and joined by payload; the texts move once, by id.
+    Ids are compared in their own type and come back as text. Only ids and digests are grouped and joined by payload; the texts move once, by id.
     """
     rows = responses.select(
-        quoted(key).cast("long").alias("request_id"), quoted(uri).cast("string").alias("uri"), whole_text(raw).cast("binary").alias("payload")
+        quoted(key).alias("request_id"), quoted(uri).cast("string").alias("uri"), whole_text(raw).cast("binary").alias("payload")
     ).withColumn("sha", F.sha2("payload", 256))
     slim = rows.filter(F.octet_length("payload") >= least_bytes).select("request_id", "sha")
     # Written, so that the join below is one of two plain tables, whose large partitions Spark can split.
@@ -137,7 +146,7 @@ def mark_revisits(responses: DataFrame, *, key: str, raw: str, uri: str, least_b
     firsts = slim.distinct().join(shared, "sha").select("request_id", "sha", "first_id")
     return (
         rows.join(firsts.withColumnsRenamed({"request_id": "r", "sha": "s"}), F.col("request_id").eqNullSafe(F.col("r")) & (F.col("sha") == F.col("s")), "left")
-        .select("request_id", "uri", "payload", "first_id")
+        .select(F.col("request_id").cast("string"), "uri", "payload", F.col("first_id").cast("string"))
     )
 
 
@@ -155,8 +164,8 @@ def write_bundles(
 ) -> None:
     """Write every response as a WARC record into bundle files under ``folder``.
 
-    Of rows with equal payloads of at least ``least_bytes`` bytes that with the smallest ``key`` (long)
-    is a response; the others are revisits that refer to it. A null text is an empty payload, rows
+    Of rows with equal payloads of at least ``least_bytes`` bytes that with the smallest ``key`` (of any
+    type that has an order and a text form) is a response; the others are revisits that refer to it. A null text is an empty payload, rows
     repeated under one id stay responses, a row with a null id revisits any row with an id. A frame
     holds whole records up to ``frame_bytes`` and a bundle frames up to ``bundle_bytes`` (plain sizes;
     one larger record gets a frame or bundle of its own), so a task holds one bundle. Files are
@@ -200,10 +209,10 @@ def write_bundles(
     as_text.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", LAST.decode("latin-1")).text(folder)
 
 
-def read_bundles(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFrame:
+def read_bundles(spark: SparkSession, folder: str, *, payloads: bool = True, key_type: str = "long") -> DataFrame:
     """Every record of the bundles with its place: request_id, bundle, frame, offset, length and fields.
 
-    ``payloads=False`` leaves the payload null: the index alone. A revisit has no payload here.
+    The archive holds ids as text; ``key_type`` is the type of the key that was written. ``payloads=False`` leaves the payload null: the index alone. A revisit has no payload here.
     """
 
     def parse(batches: Batches) -> Batches:
@@ -216,11 +225,14 @@ def read_bundles(spark: SparkSession, folder: str, *, payloads: bool = True) ->
                             r["payload"] = None
                     yield pa.RecordBatch.from_pylist(found, schema=RECORD)
 
-    return _files(spark, folder).mapInArrow(parse, RECORD_SQL)
+    return _typed(_files(spark, folder).mapInArrow(parse, RECORD_SQL), key_type)
 
 
 def fetch_records(spark: SparkSession, folder: str, index: DataFrame, wanted: Column) -> DataFrame:
-    """The records of ``index`` rows that satisfy ``wanted``: only their frames are decompressed."""
+    """The records of ``index`` rows that satisfy ``wanted``: only their frames are decompressed.
+
+    A bundle that holds one of them is read whole, by Spark's reader, which opens any path that Spark can.
+    """
     places = index.filter(wanted).groupBy(F.col("bundle").alias("path")).agg(F.collect_set(F.struct("frame", "offset")).alias("places"))
 
     def fetch(batches: Batches) -> Batches:
@@ -236,7 +248,11 @@ def fetch_records(spark: SparkSession, folder: str, index: DataFrame, wanted: Co
                         row = record | {"bundle": file["path"], "frame": frame, "offset": offset}
                         yield pa.RecordBatch.from_pylist([row], schema=RECORD)
 
-    return _files(spark, folder).join(places, "path").mapInArrow(fetch, RECORD_SQL)
+    return _typed(_files(spark, folder).join(places, "path").mapInArrow(fetch, RECORD_SQL), index.schema["request_id"].dataType)
+
+
+def _typed(records: DataFrame, key_type: str | DataType) -> DataFrame:
+    return records.withColumns({c: F.col(c).cast(key_type) for c in ("request_id", "refers_to")})
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

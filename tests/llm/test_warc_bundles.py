@@ -74,3 +74,17 @@ def test_empty_table(spark, tmp_path):
     folder = str(tmp_path / "a")
     wb.write_bundles(spark.createDataFrame([], "request_id long, uri string, raw string"), folder)
     assert wb.read_bundles(spark, folder).count() == 0
+
+
+def test_text_ids(spark, tmp_path):
+    """Ids of the table of responses are text: their order decides, and any text comes back."""
+    folder = str(tmp_path / "a")
+    ids = ["req-b", "req-a", "", "é> \r\n%41", "10", "9", None]
+    rows = spark.createDataFrame([(k, f"u{n}", "same" if n < 3 else f"own {n}") for n, k in enumerate(ids)], "request_id string, uri string, raw string")
+    wb.write_bundles(rows, folder)
+    index = wb.read_bundles(spark, folder, key_type="string")
+    got = {r["request_id"]: r for r in index.collect()}
+    assert set(got) == set(ids)
+    assert {k for k in ids if got[k]["record_type"] == "revisit"} == {"req-a", "req-b"} and got["req-a"]["refers_to"] == ""
+    one = wb.fetch_records(spark, folder, index, index["request_id"] == "10").collect()
+    assert [(r["request_id"], bytes(r["payload"])) for r in one] == [("10", b"own 4")]
