@@ -25,8 +25,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from assayline.llm.common import Batches, bytes_total, quoted
+from assayline.operators.scale import numbered
 from assayline.session import materialise
 
 NO_KEY = np.iinfo(np.int64).max
@@ -156,8 +158,10 @@ def address(anchors: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each run of equal values."""
-    first = np.nonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))[0] if len(sorted_values) else np.empty(0, np.int64)
+    """Start and end of each run of equal values; no runs in no values."""
+    if not len(sorted_values):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.nonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))[0]
     return first, np.concatenate([first[1:], [len(sorted_values)]]).astype(np.int64)
 
 
@@ -265,6 +269,12 @@ def least_keys(parts: list[bytes], keys: np.ndarray, least: int) -> list[np.ndar
 KEEP_SQL = "`{key}` long, n_bytes long, spans array<struct<start:long, end:long>>, kept binary"
 
 
+def _ranked_keys(responses: DataFrame, key: str) -> DataFrame:
+    """(name, rank) of the distinct keys in their order; large tables are ranked range by range."""
+    names = responses.select(quoted(key).alias("name")).filter("name is not null").distinct()
+    return materialise(numbered(names, [], ["name"], "rank"))
+
+
 def cut_repeats(
     responses: DataFrame,
     *,
@@ -278,11 +288,20 @@ def cut_repeats(
     """(key, n_bytes, spans, kept): removed byte ranges of each response and the bytes that stay.
 
     Texts are taken as UTF-8 bytes, null as empty. A byte is removed if it is covered by ``least`` bytes that
-    also start in a response with a smaller ``key`` (long), on the input as it stands; matches never
+    also start in a response with a smaller ``key``, on the input as it stands; matches never
     cross responses. A null key counts as larger than all others. Rows repeated under one key do not
     cut each other. ``spans`` are maximal, ordered and end-exclusive; ``kept`` is binary, as a cut may part a
-    character. Texts shorter than ``least`` and an empty table lose nothing.
+    character. Texts shorter than ``least`` and an empty table lose nothing. Keys that are no whole numbers
+    are numbered in their own order first, and come back as they were.
     """
+    kind = responses.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        ranks = _ranked_keys(responses, key)
+        sizes = {"least": least, "gram": gram, "block_bytes": block_bytes, "bucket_bytes": bucket_bytes}
+        rows = responses.select(quoted(key).alias("named"), quoted(raw).alias("raw")).join(ranks, F.col("named") == F.col("name"), "left")
+        cut_rows = cut_repeats(rows.select("rank", "raw"), key="rank", raw="raw", **sizes)
+        named = cut_rows.withColumnRenamed("rank", "at").join(ranks, F.col("at") == F.col("rank"), "left")
+        return named.select(F.col("name").alias(key), "n_bytes", "spans", "kept")
     buckets = max(1, -(-bytes_total(responses, raw) // bucket_bytes))
     blocks = pack_blocks(responses, key, raw, block_bytes)
 

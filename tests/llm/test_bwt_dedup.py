@@ -108,3 +108,23 @@ def test_query(spark):
     for r in got:
         n, spans, kept = want[r["doc_id"]]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("slice_rows", [None, 2])
+def test_text_keys(spark, monkeypatch, slice_rows):
+    """Keys of the table of responses are text: ``req-10`` comes before ``req-9``, a null key last."""
+    if slice_rows:
+        monkeypatch.setattr("assayline.operators.scale.HOT_MIN_ROWS", slice_rows)
+    same = "a passage that several responses hold and that is longer than the least"
+    texts = {"req-9": "x" + same, "req-10": same + "y", "": "z " + same, "req-a": None, "req-b": "short", "Z": same[:40]}
+    table = spark.createDataFrame([*texts.items(), (None, same)], "request_id string, raw string")
+    got = {r["request_id"]: (r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in bd.cut_repeats(table, least=20).collect()}
+    want = plain_cut({k or "": t for k, t in texts.items()} | {"~": same}, 20)
+    want[None] = want.pop("~")
+    assert got == want and got["req-9"][2] == b"x"
+
+
+def test_only_short_texts(spark):
+    """Blocks without a single window: nothing is offered, nothing is cut."""
+    texts = {1: "short", 2: "", 3: None, 4: "short"}
+    assert cut(spark, texts) == plain_cut(texts, 50)
