@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayline.functions.text import strip_space
-from assayline.operators.scale import join_null_safe
-from assayline.session import materialise
+from assayline.operators.scale import join_null_safe, possible
+from assayline.session import materialise, materialise_counted
 
 # Line starts that open an error block of a typesetter log, any case, and the
 # block length and placeholder of a log without one.
@@ -23,6 +24,8 @@ NO_ERROR_TEXT = "[no structured error pattern found in log]"
 FOLD_LINES = 4096
 FOLD_GROUP = 1024
 
+WINDOW_FOLD = "__fold"
+
 
 def error_line(col: str) -> Column:
     return F.col(col).rlike(ERROR_LINE)
@@ -157,15 +160,36 @@ def _through_group(steps: str, first: Column, per_group: int, every: Column, k:
     )
 
 
-def window_lines(lines: DataFrame, starts: DataFrame, key: Sequence[str], line_no: str, k: int = CONTEXT_LINES) -> DataFrame:
-    """Lines inside windows with ``start_line``. Windows do not overlap, so each line is wanted at
-    most once and the join key (key, line) is unique on both sides."""
-    wanted = starts.select(
-        *key,
-        F.col(line_no).alias("start_line"),
-        F.explode(F.sequence(F.col(line_no), F.col(line_no) + (k - 1))).alias(line_no),
-    )
-    return join_null_safe(lines, wanted, [*key, line_no])
+def window_lines(
+    lines: DataFrame,
+    starts: DataFrame,
+    key: Sequence[str],
+    line_no: str,
+    k: int = CONTEXT_LINES,
+    fold_lines: int | None = None,
+) -> DataFrame:
+    """Lines inside windows, with ``start_line`` and the fold of that start (``WINDOW_FOLD``).
+
+    Lines that can lie in no window are dropped where they are read. The others move once, by key
+    and fold, the first ``k - 1`` lines of a fold also to the fold before, whose last window may
+    reach them. The starts join them there as marker rows, and a running maximum spreads each over its lines.
+    Grouping the result by key, ``WINDOW_FOLD`` and ``start_line`` needs no further exchange.
+    """
+    lines_per = FOLD_LINES if fold_lines is None else fold_lines
+    if k > lines_per:
+        raise ValueError("a window must not be longer than a fold")
+    opened, number = materialise_counted(starts.select(*key, line_no))
+    wanted = opened.select(*key, F.explode(F.sequence(F.col(line_no), F.col(line_no) + (k - 1))).alias(line_no))
+    near = possible(lines, wanted, [*key, line_no], number * k)
+    fold = F.expr(f"(`{line_no}` - 1) div {lines_per}")
+    at_border = (fold > 0) & ((F.col(line_no) - 1) % lines_per < k - 1)
+    placed = near.withColumn(WINDOW_FOLD, F.explode(F.when(at_border, F.array(fold, fold - 1)).otherwise(F.array(fold))))
+    markers = opened.withColumns({WINDOW_FOLD: fold, "__start": F.col(line_no)})
+    both = placed.unionByName(markers, allowMissingColumns=True)
+    # A marker comes before the line it stands for.
+    upto = W.partitionBy(*key, WINDOW_FOLD).orderBy(line_no, F.col("__start").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    spread = both.withColumn("start_line", F.max("__start").over(upto))
+    return spread.filter((F.col("__start").isNull()) & (F.col(line_no) < F.col("start_line") + k)).drop("__start")
 
 
 def error_blocks(
@@ -188,12 +212,12 @@ def error_blocks(
     """
     opens = error_line(line) if trigger is None else trigger
     starts = window_starts(lines, key, line_no, opens, k, **folding)
-    inside = window_lines(lines, starts, key, line_no, k)
+    inside = window_lines(lines, starts, key, line_no, k, folding.get("fold_lines"))
     numbered_text = F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col(line).alias("t"))))
-    blocks = inside.groupBy(*key, "start_line").agg(
+    blocks = inside.groupBy(*key, WINDOW_FOLD, "start_line").agg(
         strip_space(F.max(F.when(F.col(line_no) == F.col("start_line"), F.col(line)))).alias("trigger_text"),
         strip_space(F.array_join(F.transform(numbered_text, lambda r: r["t"]), "\n")).alias("block"),
-    )
+    ).drop(WINDOW_FOLD)
     if dedup:
         blocks = first_occurrence(blocks, key, ["trigger_text"], ["start_line"])
     if placeholder:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayline.operators.render import error_summary
 from assayline.operators.scale import numbered
-from assayline.operators.windows import CONTEXT_LINES, error_blocks, first_occurrence, window_lines, window_starts
+from assayline.operators.windows import CONTEXT_LINES, WINDOW_FOLD, error_blocks, first_occurrence, window_lines, window_starts
 from assayline.session import materialise
 
 
@@ -31,12 +31,12 @@ def incident_windows(
     # Read for the triggers and again for the lines in windows; numbered once.
     lines = materialise(numbered(slim, key, order, "line_no", rows_per_slice))
     starts = window_starts(lines, key, "line_no", F.col("__opens"), k, **folding)
-    inside = window_lines(lines, starts, key, "line_no", k)
-    windows = inside.groupBy(*key, "start_line").agg(
+    inside = window_lines(lines, starts, key, "line_no", k, folding.get("fold_lines"))
+    windows = inside.groupBy(*key, WINDOW_FOLD, "start_line").agg(
         F.max(F.when(F.col("line_no") == F.col("start_line"), F.col(subject))).alias("subject"),
         F.count(F.lit(1)).alias("events"),
         F.sum(value).alias("total"),
-    )
+    ).drop(WINDOW_FOLD)
     return first_occurrence(windows, key, ["subject"], ["start_line"]) if dedup else windows
 
 
