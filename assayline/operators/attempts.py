@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -158,3 +158,43 @@ def reuse_check(df: DataFrame, status_col: str = "status", ok: str = "ok") -> Da
     return df.withColumn("reusable", F.coalesce(status == ok, F.lit(False))).withColumn(
         "reuse_error", F.when(~F.coalesce(status == ok, F.lit(False)), F.coalesce(status, F.lit("not_found")))
     )
+
+
+def judge_unseen(
+    df: DataFrame,
+    ledger: DataFrame | None,
+    key: Sequence[str],
+    order: Sequence[str],
+    judge: Callable[[DataFrame], DataFrame],
+    verdicts: Sequence[str],
+    version: str = "1",
+) -> DataFrame:
+    """The ledger of judged payloads after this run: (key, order, verdicts, ``judged_by``), written.
+
+    A payload is known by its key and its place in ``order``, which must be unique per key. Per key the
+    last row counts, as in ``latest_payload``. ``judge`` adds the columns ``verdicts`` to the rows that
+    ``ledger``, the result of an earlier run, does not hold under the same ``version``; all other entries are
+    taken over, also those of keys that ``df`` no longer has. So a run over a table judged before reads keys and
+    places alone, and a raised ``version`` has every payload of ``df`` judged anew.
+
+    NULL keys and places are values like any other. Without a ledger everything is judged; a ledger whose
+    key is older in ``df`` than in the ledger keeps its entry.
+    """
+    place = F.struct(*order)
+    latest = df.select(*key, place.alias("__at")).groupBy(*key).agg(F.max("__at").alias("__at"))
+    columns = [*key, *order, *verdicts, "judged_by"]
+    if ledger is not None:
+        entries = ledger.select(*key, place.alias("__held"), (F.col("judged_by") == version).alias("__same"))
+        met = join_null_safe(latest, entries, key, "left")
+        latest = met.filter("__same IS NULL OR NOT __same OR __at > __held").drop("__held", "__same")
+    unseen, number = materialise_counted(latest)
+    if ledger is not None and not number:
+        return ledger.select(*columns)
+    on = [*key, "__at"]
+    rows = possible(df.withColumn("__at", place), unseen, on, number)
+    chosen = join_null_safe(rows, unseen, on, "left_semi").drop("__at")
+    entries = judge(chosen).withColumn("judged_by", F.lit(version)).select(*columns)
+    if ledger is not None:
+        stay = join_null_safe(ledger, unseen.select(*key), key, "left_anti")
+        entries = stay.select(*columns).unionByName(entries)
+    return materialise_counted(entries)[0]

@@ -89,6 +89,24 @@ def latest_payload(t):
     return attempts.reuse_check(last, "event_type", "purchase").drop("ts")
 
 
+@query(
+    "judged_payloads",
+    """
+    SELECT user_id, event_id, event_type, length(props) AS chars, event_type = 'purchase' AS reusable
+    FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+    """,
+)
+def judged_payloads(t):
+    """Two runs: over the events of the first half year, then over all of them with the ledger of the first."""
+    def judge(rows):
+        return attempts.reuse_check(rows, "event_type", "purchase").withColumn("chars", F.length("props"))
+
+    ledger = None
+    for seen in (t.events.filter("ts < TIMESTAMP '2024-07-01 00:00:00'"), t.events):
+        ledger = attempts.judge_unseen(seen, ledger, ["user_id"], ["ts", "event_id"], judge, ["event_type", "chars", "reusable"])
+    return ledger.select("user_id", "event_id", "event_type", "chars", "reusable")
+
+
 # --- windows -----------------------------------------------------------------
 
 
