@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.colour import HEX6_PATTERN, clean_hex, contrast, luminance
 from assayline.operators.scale import hot_keys, join_null_safe, spread_join
+from assayline.session import materialise
 
 # Patterns of the artifact and the roles behind its colour aliases.
 DEFINITION = r"\\definecolor\{([A-Za-z0-9_]+)\}\{HTML\}\{([0-9A-Fa-f]{3,8})\}"
@@ -34,6 +35,9 @@ MUTED_ROLE = "muted"
 LINK_DEFAULT = "5D5956"
 LINK_RATIO = 2.5
 
+# Occurrences of one text that are looked up together in ``conform_rows``.
+PART_HITS = 256
+
 
 def literal_map(pairs: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
@@ -136,6 +140,67 @@ def conform(
     )
 
 
+def conform_rows(
+    df: DataFrame,
+    key: Sequence[str],
+    col: str,
+    reference: DataFrame,
+    on: Sequence[str] = (),
+    name: str = "role",
+    value: str = "hex",
+    pattern: str = DEFINITION,
+    name_group: int = 1,
+    rewrite=definition_text,
+    part_hits: int = PART_HITS,
+    **sizing,
+) -> DataFrame:
+    """``conform`` against reference rows (``on``, ``name``, ``value``) of any number, one per owner and name.
+
+    The names of each text are cut into parts of ``part_hits`` occurrences, distinct in each, and only they
+    meet the reference, hot ones unshuffled. Every part comes back with the entries it uses, so a
+    row carries no more of the reference than its own text names, and a lookup walks one part's entries
+    however long the text is. The text moves once, to its parts, and is joined again in order from the gaps and the
+    rewritten occurrences. ``key`` is unique per text; NULL keys meet, a NULL owner has no reference.
+    Names without an entry go to ``off_reference``, distinct and sorted; none where the owner has no entry at
+    all. An entry whose value is NULL is known and leaves the text as it is.
+    """
+    found = F.regexp_extract_all(col, F.lit(pattern), name_group)
+    # One constant column stands for the owner of a reference that all texts share.
+    owner = [*on, "__all"]
+    numbers = F.sequence(F.lit(0), F.expr(f"(size(__names) - 1) div {part_hits}"))
+    cut = F.transform(numbers, lambda i: F.array_distinct(F.slice("__names", i * part_hits + 1, F.lit(part_hits))))
+    named = df.select(*key, *[c for c in on if c not in key], F.lit(1).alias("__all"), found.alias("__names")).filter("size(__names) > 0")
+    parts = named.select(*key, *[c for c in owner if c not in key], F.posexplode(cut).alias("__part", "__some"))
+    asked = materialise(parts.select(*key, *[c for c in owner if c not in key], "__part", F.explode("__some").alias("__name")))
+    entries = reference.select(
+        *on, F.lit(1).alias("__all"), F.col(name).alias("__name"), F.struct(F.col(value).alias("value")).alias("__entry")
+    )
+    owners = entries.select(*owner).distinct().withColumn("__owned", F.lit(True))
+    met = spread_join(asked, entries, [*owner, "__name"], **sizing)
+    known = F.collect_list(F.when(F.col("__entry").isNotNull(), F.struct(F.col("__name").alias("key"), F.col("__entry.value").alias("value"))))
+    missing = F.collect_set(F.when(F.col("__entry").isNull(), F.col("__name")))
+    per_part = met.groupBy(*key, *[c for c in owner if c not in key], "__part").agg(known.alias("__known"), missing.alias("__missing"))
+    per_text = per_part.groupBy(*key, *[c for c in owner if c not in key]).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("__part", "__known"))), lambda p: F.map_from_entries(p["__known"])).alias("__maps"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__missing")))).alias("__off"),
+    )
+    judged = spread_join(per_text, owners, owner, **sizing).select(*key, "__maps", F.when(F.col("__owned"), F.col("__off")).alias("__off"))
+    held = join_null_safe(df, judged, key, "left")
+
+    gaps, whole = F.split(col, pattern, -1), F.regexp_extract_all(col, F.lit(pattern), 0)
+
+    def piece(hit: Column, at: Column) -> Column:
+        entry = F.try_element_at(F.get("__maps", F.floor(at / part_hits).cast("int")), hit["name"])
+        return F.coalesce(rewrite(hit["name"], entry), hit["text"])
+
+    pieces = F.transform(F.arrays_zip(whole.alias("text"), found.alias("name")), piece)
+    joined = F.array_join(F.zip_with(gaps, pieces, lambda gap, p: F.concat(gap, F.coalesce(p, F.lit("")))), "")
+    none = F.when(F.col(col).isNotNull(), F.coalesce("__off", F.array().cast("array<string>")))
+    return held.withColumns(
+        {"off_reference": none, col: F.when(F.col("__maps").isNull(), F.col(col)).otherwise(joined)}
+    ).drop("__maps", "__off")
+
+
 def off_reference(occ: DataFrame, ref_col: str, name: str = "name") -> DataFrame:
     """Names that the reference lacks, with their counts, sorted by name."""
     return (

@@ -257,6 +257,30 @@ def conform_text(t):
     return done.select("page_id", F.md5("html").alias("digest"), F.array_join("off_reference", " ").alias("off_reference"))
 
 
+# A glossary of all words of the benchmark; words of a turn that it lists are replaced by their codes.
+WORD = "([a-z]{4,})"
+
+
+@query(
+    "conform_text_rows",
+    f"""
+    WITH g AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORD}', 1)) AS name FROM benchmark),
+    t AS (SELECT conv_id, turn, regexp_split_to_array(text, '{WORD}') AS gaps, regexp_extract_all(text, '{WORD}', 1) AS names FROM conversations),
+    h AS (SELECT conv_id, turn, unnest(gaps) AS gap, unnest(list_append(names, NULL)) AS name, unnest(range(len(gaps))) AS i FROM t)
+    SELECT conv_id, turn, md5(string_agg(gap || CASE WHEN h.name IS NULL THEN '' WHEN g.name IS NULL THEN h.name
+                                              ELSE '#' || left(md5(g.name), 6) END, '' ORDER BY i)) AS digest,
+           coalesce(string_agg(DISTINCT h.name, ' ' ORDER BY h.name) FILTER (WHERE g.name IS NULL AND h.name IS NOT NULL), '') AS off_reference
+    FROM h LEFT JOIN g ON g.name = h.name GROUP BY ALL
+    """,
+)
+def conform_text_rows(t):
+    words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), 1)).alias("name")).distinct()
+    glossary = words.withColumn("code", F.concat(F.lit("#"), F.left(F.md5("name"), F.lit(6))))
+    turns = t.conversations.select("conv_id", "turn", "text")
+    done = reference.conform_rows(turns, ["conv_id", "turn"], "text", glossary, [], "name", "code", WORD, 1, lambda _, code: code)
+    return done.select("conv_id", "turn", F.md5("text").alias("digest"), F.array_join("off_reference", " ").alias("off_reference"))
+
+
 @query(
     "off_reference",
     f"""
