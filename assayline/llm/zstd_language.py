@@ -5,12 +5,17 @@ belongs to the language whose dictionary leaves it smallest: sequences that the
 cost a reference, all others are spelt out. So that very short texts count too, each text is written
 behind short primers of the language, which set the coder's letter costs, and the primers' own
 size is taken off. Only runs of letters count, in lower case.
+
+A language that was not learned leaves every text about equally large, and larger than texts of known
+languages get. Some of the sample is therefore kept out of the dictionaries and tells how many bits a letter
+costs at each length; a text above that which no language fits clearly better is rejected.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,9 +27,28 @@ from pyspark.sql.window import Window
 from assayline.llm.common import fresh, quoted
 
 UNDETERMINED = "und"
+LEVEL = 5  # of compression
 # Two primers of this many bytes each follow the dictionary in what is learned.
 PRIMER_BYTES, PRIMERS = 1024, 2
 LETTERS = re.compile(r"[^\W\d_]+")
+# Every such text of a language's sample measures costs and is in no dictionary.
+MEASURE_EVERY = 4
+# What a known language may cost above the dearest measured text of its length.
+SLACK = 1.1
+# Bits a letter, beyond what sizes waver by, that the best language must lead by where the text costs more than that.
+CLEAR_BITS = 1.0
+# Bytes, over all primers, by which sizes waver: they are whole bytes.
+LEAST_BYTES = 3
+
+
+class Dictionaries(dict[str, bytes]):
+    """Content by language; ``bounds`` holds the bits a letter that texts of known languages cost at most, by ``length_class``."""
+
+    bounds: dict[int, float]
+
+
+def length_class(words: bytes) -> int:
+    return len(words).bit_length()
 
 
 def letters_only(raw: str | None) -> bytes:
@@ -41,14 +65,15 @@ def learn_dictionaries(
     texts_per_language: int = 400,
     text_bytes: int = 16_384,
     dictionary_bytes: int = 131_072,
-) -> dict[str, bytes]:
-    """Dictionary content per value of ``lang``, from the labelled rows of ``responses``.
+) -> Dictionaries:
+    """Dictionary content per value of ``lang`` and cost bounds, from the labelled rows of ``responses``.
 
     The sample is bounded: of each language's rows about four times ``texts_per_language`` by a hash of
     their key, and of these the ``texts_per_language`` that come first, texts of at most ``text_bytes``
-    before longer ones; the dictionary ends at ``dictionary_bytes``, the primers follow. Only these rows reach the driver. Rows without a label, without a text
-    or without letters teach nothing; rows that repeat a key count once. An empty table gives no
-    dictionary.
+    before longer ones; the dictionary ends at ``dictionary_bytes``, the primers follow. Every fourth of them is
+    left out and measured. Only these rows reach the driver, each cut to what a dictionary can hold. Rows
+    without a label, without a text or without letters teach nothing; rows that repeat a key count once. An
+    empty table gives no dictionary.
     """
     rows = responses.select(
         F.xxhash64(quoted(key)).alias("h"),
@@ -70,17 +95,41 @@ def learn_dictionaries(
         .filter(F.col("n") <= texts_per_language)
         .select("lang", "h")
     )
-    # The picked keys are at most texts_per_language for each label.
-    sample = rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").groupBy("lang", "h", "long").agg(F.min("raw").alias("raw"))
-    content: dict[str, bytes] = {}
     most = dictionary_bytes + PRIMERS * PRIMER_BYTES
+    # The picked keys are at most texts_per_language for each label.
+    cut = F.left(F.min("raw"), F.lit(most)).alias("raw")
+    sample = rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").groupBy("lang", "h", "long").agg(cut)
+    content, measured, seen = Dictionaries(), [], Counter()
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["long"], r["h"])):
-        held = content.setdefault(row["lang"], b"")
-        if len(held) < most:
-            content[row["lang"]] = (held + letters_only(row["raw"]) + b" ")[:most]
+        lang, words = row["lang"], letters_only(row["raw"])
+        held = content.setdefault(lang, b"")
+        seen[lang] += 1
+        if seen[lang] % MEASURE_EVERY == 0:
+            measured.append(words)
+        elif len(held) < most:
+            content[lang] = (held + words + b" ")[:most]
+    content.bounds = cost_bounds(content, measured)
     return content
 
 
+def cost_bounds(content: dict[str, bytes], measured: list[bytes], level: int = LEVEL) -> dict[int, float]:
+    """Bits a letter of the dearest measured text of each length class or a longer one, and some slack.
+
+    Shorter texts cost more a letter, so each bound also serves the shorter classes that have no text.
+    """
+    dearest: dict[int, float] = {}
+    coders = compressors(content, level)
+    for words in filter(None, measured):
+        size = max(min(coder.size(words) for coder in coders), 0)
+        at = length_class(words)
+        dearest[at] = max(dearest.get(at, 0.0), 8 * size / len(words))
+    bounds, bound = {}, 0.0
+    for at in range(max(dearest, default=0), 0, -1):
+        bound = max(bound, dearest.get(at, 0.0))
+        bounds[at] = SLACK * bound
+    return bounds
+
+
 # Of the latest call that a worker has seen.
 _CODERS: dict[str, list] = {}
 
@@ -113,17 +162,20 @@ def compressors(content: dict[str, bytes], level: int) -> list[Coder]:
     return found
 
 
-def judge(raw: str | None, coders: list[Coder], reject_margin: float) -> tuple[str, float, bool]:
+def judge(raw: str | None, coders: list[Coder], reject_margin: float, bounds: dict[int, float] | None = None) -> tuple[str, float, bool]:
     """Language, margin between the two smallest sizes as a share of the second, rejected."""
     words = letters_only(raw)
     if not words or not coders:
         return UNDETERMINED, 0.0, True
     sizes = sorted((max(coder.size(words), 0), coder.lang) for coder in coders)
+    best, lang = sizes[0]
+    dear = 8 * best > (bounds or {}).get(length_class(words), float("inf")) * len(words)
     if len(sizes) == 1:
-        return sizes[0][1], 1.0, False
-    (best, lang), (second, _) = sizes[:2]
-    margin = (second - best) / second if second else 0.0
-    return lang, margin, margin < reject_margin
+        return lang, 1.0, dear
+    lead = sizes[1][0] - best
+    margin = lead / (sizes[1][0] + LEAST_BYTES)
+    unclear = dear and 8 * (lead - LEAST_BYTES) < CLEAR_BITS * len(words)
+    return lang, margin, lead < LEAST_BYTES or margin < reject_margin or unclear
 
 
 def identify_language(
@@ -131,20 +183,22 @@ def identify_language(
     content: dict[str, bytes],
     *,
     raw: str = "raw",
-    level: int = 5,
+    level: int = LEVEL,
     reject_margin: float = 0.002,
 ) -> DataFrame:
     """``responses`` with ``lang_pred``, ``score`` and ``rejected``, from the whole text alone.
 
     ``lang_pred`` is a key of ``content``, or ``und`` where the text is null or has no letter, or
     nothing was learned; ``score`` is the margin in size between the best and the second language,
-    0 to 1 (1 with a single language); ``rejected`` marks ``und`` and margins under
-    ``reject_margin``. Ties go to the first language in alphabetical order, are of score 0 and
+    0 to 1 (1 with a single language). ``rejected`` marks ``und``, margins under ``reject_margin`` or of fewer bytes
+    than sizes waver by, and texts that cost more a letter than texts of their length in any known language,
+    unless one language leads clearly. A plain dict as ``content`` has no such costs. Ties go to the first language in alphabetical order, are of score 0 and
     rejected. Rows are judged one by one, so repeated rows get equal answers and no row moves.
     Columns of these names in the input are replaced.
     """
     schema = "lang_pred string, score double, rejected boolean"
-    shared, name = responses.sparkSession.sparkContext.broadcast(content), uuid.uuid4().hex
+    shared, name = responses.sparkSession.sparkContext.broadcast(dict(content)), uuid.uuid4().hex
+    bounds = getattr(content, "bounds", {})
 
     @F.pandas_udf(schema)
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -152,7 +206,7 @@ def identify_language(
             _CODERS.clear()
             _CODERS[name] = compressors(shared.value, level)
         coders = _CODERS[name]
-        return pd.DataFrame([judge(t, coders, reject_margin) for t in texts], columns=["lang_pred", "score", "rejected"])
+        return pd.DataFrame([judge(t, coders, reject_margin, bounds) for t in texts], columns=["lang_pred", "score", "rejected"])
 
     (found,) = fresh(responses, "found")
     kept = [quoted(c) for c in responses.columns if c not in ("lang_pred", "score", "rejected")]
