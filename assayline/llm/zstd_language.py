@@ -169,7 +169,8 @@ def judge(raw: str | None, coders: list[Coder], reject_margin: float, bounds: di
         return UNDETERMINED, 0.0, True
     sizes = sorted((max(coder.size(words), 0), coder.lang) for coder in coders)
     best, lang = sizes[0]
-    dear = 8 * best > (bounds or {}).get(length_class(words), float("inf")) * len(words)
+    # Texts longer than all measured ones cost no more a letter than the longest of these.
+    dear = bool(bounds) and 8 * best > bounds[min(length_class(words), max(bounds))] * len(words)
     if len(sizes) == 1:
         return lang, 1.0, dear
     lead = sizes[1][0] - best

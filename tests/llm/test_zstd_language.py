@@ -100,3 +100,10 @@ def test_long_texts_are_cut_before_they_are_collected(spark):
     table = spark.createDataFrame([(i, "wort " * 200_000, "de") for i in range(3)], "request_id long, raw string, lang string")
     content = zl.learn_dictionaries(table, dictionary_bytes=4096)
     assert len(content["de"]) == 4096 + zl.PRIMERS * zl.PRIMER_BYTES and content.bounds == {}
+
+
+def test_texts_longer_than_all_measured_have_the_last_bound():
+    coders = zl.compressors({"a": b"xyz ", "b": b"uvw "}, 5)
+    letters = [chr(97 + i * i * 7 % 26) for i in range(64)]
+    text = " ".join("".join(letters[i : i + 5]) for i in range(60))
+    assert zl.judge(text, coders, 0.0, {at: 0.1 for at in range(1, 4)})[2]
